@@ -6,15 +6,18 @@ videos, vectors of differing length, and metadata that is dirty on purpose.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.functions.text import UNKNOWN, video_of
-from nearkin.functions.vectors import as_double, l2_normalize
+from nearkin.functions.vectors import l2_normalize
 from nearkin.operators.clips import split_holdout
 from nearkin.operators.clusters import assign_clusters, lloyd_step
 from nearkin.operators.means import metadata_centroids
 from nearkin.plans.search import Enrolled
+from nearkin.session import cut_lineage
 from nearkin.sources.readers import clean_metadata, speakers_with_default
 
 WIDTH = 64
@@ -22,41 +25,64 @@ SPEAKERS = 40
 CLUSTERS = 8
 
 
+def _once(build):
+    name = f"_{build.__name__}"
+
+    @wraps(build)
+    def stored(self):
+        if name not in self.__dict__:
+            self.__dict__[name] = build(self)
+        return self.__dict__[name]
+
+    return stored
+
+
+# The two tables in use; a given schema saves a look into the files.
+SCHEMAS = {
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
 class Views:
-    """The views over the tables of one folder; each is a fresh lazy frame."""
+    """Lazy frames over the tables of one folder; each is built once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    @_once
     def clips(self) -> DataFrame:
-        speaker = (F.col("vec_id") % SPEAKERS).cast("int")
-        number = F.floor(F.col("vec_id") / SPEAKERS).cast("int")
-        parts = self.table("embeddings").select(
-            "vec_id", "embedding", speaker.alias("sp"), number.alias("u")
+        parts = self.table("embeddings").selectExpr(
+            "vec_id",
+            "embedding",
+            f"CAST(vec_id % {SPEAKERS} AS INT) AS sp",
+            f"CAST(floor(vec_id / {SPEAKERS}) AS INT) AS u",
+        ).selectExpr(
+            "*",
+            "CASE WHEN sp % 10 = 9 THEN 0 ELSE u % 4 END AS vid",
+            "concat('id', CAST(10000 + sp AS STRING)) AS speaker_id",
         )
-        video = F.when(F.col("sp") % 10 == 9, 0).otherwise(F.col("u") % 4)
-        label = F.concat(F.lit("id"), (10000 + F.col("sp")).cast("string"))
-        stretch = 1 + F.col("vec_id") % 3
-        return parts.select(
-            F.col("vec_id").alias("id"),
-            label.alias("speaker_id"),
-            F.concat(
-                F.lit("/wav/"), label, F.lit("/vid"), video.cast("string"), F.lit("/"),
-                F.lpad(F.col("u").cast("string"), 5, "0"), F.lit(".wav"),
-            ).alias("file_path"),
-            "sp", video.alias("vid"), "u",
-            F.transform(as_double("embedding"), lambda x: x * stretch).alias("embedding"),
+        return parts.selectExpr(
+            "vec_id AS id",
+            "speaker_id",
+            "concat('/wav/', speaker_id, '/vid', CAST(vid AS STRING), '/',"
+            " lpad(CAST(u AS STRING), 5, '0'), '.wav') AS file_path",
+            "sp", "vid", "u",
+            "transform(CAST(embedding AS ARRAY<DOUBLE>), x -> x * (1 + vec_id % 3)) AS embedding",
         )
 
+    @_once
     def split(self) -> tuple[DataFrame, DataFrame]:
         return split_holdout(self.clips().withColumn("video_id", video_of(F.col("file_path"))))
 
+    @_once
     def gallery(self) -> DataFrame:
         return self.split()[0].select("id", "speaker_id", "file_path", "embedding")
 
+    @_once
     def probes(self) -> DataFrame:
         return self.split()[1].select(
             F.col("id").alias("query_id"), "speaker_id",
@@ -73,6 +99,7 @@ class Views:
             F.when(sp % 13 != 12, F.col("n_name")).alias("nationality_raw"),
         )
 
+    @_once
     def speakers(self) -> DataFrame:
         return speakers_with_default(self.clips(), clean_metadata(self.metadata_raw()))
 
@@ -90,6 +117,7 @@ class Views:
             l2_normalize(F.col("embedding")).alias("centroid"),
         )
 
+    @_once
     def clusters(self) -> DataFrame:
         return lloyd_step(self.gallery(), self.seeds())
 
@@ -105,16 +133,19 @@ class Views:
     def done(self) -> DataFrame:
         return self.clips().where(F.col("id") % 3 == 0).select("file_path")
 
+    @_once
     def metadata_centroids(self) -> DataFrame:
         return metadata_centroids(self.gallery(), self.speakers())
 
-    def enrolled(self, *, clustered: bool = False) -> Enrolled:
-        """The searched tables; only a clustered gallery pays for the assignment."""
-        clusters = self.clusters() if clustered else None
+    def enrolled(self, architecture: str = "brute_force") -> Enrolled:
+        """The tables one architecture searches; the others are left out."""
+        by_cluster = architecture in ("kmeans_clusters", "all")
+        by_metadata = architecture in ("metadata_hierarchy", "all")
+        clusters = cut_lineage(self.clusters()) if by_cluster else None
         return Enrolled(
-            gallery=self.gallery_clustered(clusters) if clustered else self.gallery(),
-            speakers=self.speakers(),
-            metadata_centroids=self.metadata_centroids(),
+            gallery=self.gallery_clustered(clusters) if by_cluster else self.gallery(),
+            speakers=self.speakers() if by_metadata else None,
+            metadata_centroids=self.metadata_centroids() if by_metadata else None,
             cluster_centroids=clusters,
             width=WIDTH,
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,12 @@ from nearkin.operators.nearest import append_nearest
 @dataclass(frozen=True)
 class Clustering:
     centroids: DataFrame  # cluster_id, centroid of unit length
-    assigned: DataFrame  # id, cluster_id
+    model: KMeansModel  # holds the centres as trained
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """Rows with the ``cluster_id`` of the nearest centre as trained; no shuffle."""
+        point = array_to_vector(l2_normalize(as_double("embedding")))
+        return self.model.transform(rows.drop("cluster_id").withColumn("point", point)).drop("point")
 
 
 def train_clusters(
@@ -42,10 +47,7 @@ def train_clusters(
     ).fit(points)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centres, "cluster_id int, centroid array<double>")
-    return Clustering(
-        centroids.withColumn("centroid", l2_normalize(F.col("centroid"))),
-        model.transform(points).select("id", "cluster_id"),
-    )
+    return Clustering(centroids.withColumn("centroid", l2_normalize(F.col("centroid"))), model)
 
 
 def assign_clusters(rows: DataFrame, centroids: DataFrame, row_id: str = "id") -> DataFrame:

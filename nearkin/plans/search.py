@@ -22,12 +22,12 @@ DEFAULT_CANDIDATE_LIMIT = 25
 
 @dataclass(frozen=True)
 class Enrolled:
-    """The tables of one model.  ``speaker_means`` are computed when not given."""
+    """The tables of one model; brute force needs the gallery only."""
 
     gallery: DataFrame  # id, speaker_id, embedding, cluster_id
-    speakers: DataFrame  # speaker_id, gender, nationality
-    metadata_centroids: DataFrame  # category, category_value, centroid
-    cluster_centroids: DataFrame  # cluster_id, centroid
+    speakers: DataFrame | None = None  # speaker_id, gender, nationality
+    metadata_centroids: DataFrame | None = None  # category, category_value, centroid
+    cluster_centroids: DataFrame | None = None  # cluster_id, centroid
     width: int = WIDEST_VECTOR
 
 
@@ -68,6 +68,30 @@ def utterance_hits(
 ) -> DataFrame:
     """``(query_id, rank, id, speaker_id, distance)``: the nearest gallery rows of each probe."""
     _check(architecture, "closest", metric)
+    routed = route(probes, enrolled, architecture, metric, n_probes)
+    return routed_utterances(routed, enrolled, architecture, metric, candidate_limit, strategy)
+
+
+def centroid_hits(
+    probes: DataFrame,
+    enrolled: Enrolled,
+    architecture: str = "brute_force",
+    metric: str = "cosine",
+    top_k: int = DEFAULT_TOP_K,
+    n_probes: int = 1,
+    strategy: str = "auto",
+) -> DataFrame:
+    """``(query_id, rank, speaker_id, score)``: the nearest speaker centroids of each probe."""
+    _check(architecture, "speaker_centroid", metric)
+    routed = route(probes, enrolled, architecture, metric, n_probes)
+    return routed_centroids(routed, enrolled, architecture, metric, top_k, strategy)
+
+
+def routed_utterances(
+    routed: DataFrame, enrolled: Enrolled, architecture: str, metric: str, limit: int,
+    strategy: str = "auto",
+) -> DataFrame:
+    """Utterance hits of probes that already carry their route."""
     gallery = enrolled.gallery.where(F.col("speaker_id").isNotNull())
     routing = {}
     if architecture == "metadata_hierarchy":
@@ -75,46 +99,39 @@ def utterance_hits(
         routing = {"routed": "routed", "bucket": "buckets"}
     elif architecture == "kmeans_clusters":
         routing = {"routed": "routed", "bucket": "cluster_id"}
-    routed = route(probes, enrolled, architecture, metric, n_probes)
     return nearest(
-        routed, gallery, candidate_limit, metric, key="id", labels=("speaker_id",),
+        routed, gallery, limit, metric, key="id", labels=("speaker_id",),
         strategy=strategy, width=enrolled.width, **routing,
     )
 
 
-def centroid_hits(
-    probes: DataFrame,
-    enrolled: Enrolled,
-    architecture: str = "brute_force",
-    metric: str = "cosine",
-    top_k: int = DEFAULT_TOP_K,
-    n_probes: int = 1,
+def routed_centroids(
+    routed: DataFrame, enrolled: Enrolled, architecture: str, metric: str, top_k: int,
     strategy: str = "auto",
 ) -> DataFrame:
-    """``(query_id, rank, speaker_id, score)``: the nearest speaker centroids of each probe.
+    """Centroid hits of probes that already carry their route.
 
     A probe whose buckets hold no speaker with a centroid searches all of them.
     """
-    _check(architecture, "speaker_centroid", metric)
     gallery = enrolled.gallery.where(F.col("speaker_id").isNotNull())
-    routed, routing = route(probes, enrolled, architecture, metric, n_probes), {}
+    routing = {}
     if architecture == "brute_force":
         centroids = speaker_centroids(gallery)
     else:
         if architecture == "kmeans_clusters":
             # The whole speaker is ranked; it belongs to every cluster one of its clips is in.
-            member_of = F.collect_set("cluster_id").alias("buckets")
+            member_of = F.collect_set(F.col("cluster_id").cast("string")).alias("buckets")
             centroids = speaker_centroids(gallery, member_of)
-            inhabited = gallery.agg(F.collect_set("cluster_id"))
+            inhabited = gallery.agg(F.collect_set(F.col("cluster_id").cast("string")))
         else:
-            centroids = speaker_centroids(gallery).join(
-                _speaker_buckets(enrolled.speakers), "speaker_id", "left"
-            )
+            buckets = _speaker_buckets(enrolled.speakers)
+            centroids = speaker_centroids(gallery).join(buckets, "speaker_id", "left")
             present = gallery.select("speaker_id").distinct()
-            known = _speaker_buckets(enrolled.speakers).join(present, "speaker_id", "left_semi")
+            known = buckets.join(present, "speaker_id", "left_semi")
             inhabited = known.select(F.explode("buckets").alias("b")).agg(F.collect_set("b"))
-        reachable = F.arrays_overlap("routed", inhabited.scalar())
-        routed = routed.withColumn("routed", F.when(reachable, F.col("routed")))
+        names = F.col("routed").cast("array<string>")
+        reachable = F.arrays_overlap(names, inhabited.scalar())
+        routed = routed.withColumn("routed", F.when(reachable, names))
         routing = {"routed": "routed", "bucket": "buckets"}
     hits = nearest(
         routed, centroids, top_k, centroid_measure(metric), key="speaker_id",
