@@ -138,14 +138,14 @@ class Views:
         return metadata_centroids(self.gallery(), self.speakers())
 
     def enrolled(self, architecture: str = "brute_force") -> Enrolled:
-        """The tables one architecture searches; the others are left out."""
-        by_cluster = architecture in ("kmeans_clusters", "all")
-        by_metadata = architecture in ("metadata_hierarchy", "all")
-        clusters = cut_lineage(self.clusters()) if by_cluster else None
-        return Enrolled(
-            gallery=self.gallery_clustered(clusters) if by_cluster else self.gallery(),
-            speakers=self.speakers() if by_metadata else None,
-            metadata_centroids=self.metadata_centroids() if by_metadata else None,
-            cluster_centroids=clusters,
-            width=WIDTH,
-        )
+        """The tables one architecture searches; what enrolment would store is written out."""
+        if architecture == "brute_force":
+            return Enrolled(self.gallery(), width=WIDTH)
+        if architecture == "metadata_hierarchy":
+            centroids = cut_lineage(self.metadata_centroids())
+            return Enrolled(self.gallery(), self.speakers(), centroids, width=WIDTH)
+        clusters = cut_lineage(self.clusters())
+        if architecture == "kmeans_clusters":
+            return Enrolled(self.gallery_clustered(clusters), cluster_centroids=clusters, width=WIDTH)
+        stored = (self.gallery_clustered(clusters), self.speakers(), self.metadata_centroids())
+        return Enrolled(*map(cut_lineage, stored), clusters, WIDTH)

@@ -62,7 +62,7 @@ N_PROBES = 2
 FIRST_PROBES = 20
 FIRST_SPEAKERS = 5
 EXPECTED_DIM = 32
-FILTER_NATIONS = ["ALGERIA", "BRAZIL"]
+FILTER_NATIONS = ["NATION_0", "NATION_2"]
 FILTER_CLUSTERS = [0, 3]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,7 +458,7 @@ def _speaker_metrics(v: Views) -> DataFrame:
 
 def _sweep(v: Views) -> DataFrame:
     return _percentages(
-        sweep(v.probes(), v.enrolled("all"), ("cosine", "euclidean"), cluster_probes=(N_PROBES,),
+        sweep(cut_lineage(v.probes()), v.enrolled("all"), ("cosine", "euclidean"), cluster_probes=(N_PROBES,),
               metadata_probes=(N_PROBES,), top_k=TOP_K, candidate_limit=LIMIT)
     )
 

@@ -28,10 +28,11 @@ class Enrolled:
     speakers: DataFrame | None = None  # speaker_id, gender, nationality
     metadata_centroids: DataFrame | None = None  # category, category_value, centroid
     cluster_centroids: DataFrame | None = None  # cluster_id, centroid
+    speaker_centroids: DataFrame | None = None  # stored result of described_speakers
     width: int = WIDEST_VECTOR
 
 
-def _check(architecture: str, aggregation: str, metric: str) -> None:
+def check_search(architecture: str, aggregation: str, metric: str) -> None:
     check_metric(metric)
     if architecture not in ARCHITECTURES:
         raise ValueError(f"Unsupported architecture: {architecture}")
@@ -57,6 +58,19 @@ def _speaker_buckets(speakers: DataFrame) -> DataFrame:
     return speakers.select("speaker_id", buckets.alias("buckets"))
 
 
+def described_speakers(gallery: DataFrame) -> DataFrame:
+    """``(speaker_id, embedding, buckets)``: each centroid with the clusters of its clips.
+
+    A whole speaker is ranked, and belongs to every cluster one of its clips is in.
+    """
+    gallery = gallery.where(F.col("speaker_id").isNotNull())
+    if "cluster_id" not in gallery.columns:
+        return speaker_centroids(gallery)
+    return speaker_centroids(
+        gallery, F.collect_set(F.col("cluster_id").cast("string")).alias("buckets")
+    )
+
+
 def utterance_hits(
     probes: DataFrame,
     enrolled: Enrolled,
@@ -67,7 +81,7 @@ def utterance_hits(
     strategy: str = "auto",
 ) -> DataFrame:
     """``(query_id, rank, id, speaker_id, distance)``: the nearest gallery rows of each probe."""
-    _check(architecture, "closest", metric)
+    check_search(architecture, "closest", metric)
     routed = route(probes, enrolled, architecture, metric, n_probes)
     return routed_utterances(routed, enrolled, architecture, metric, candidate_limit, strategy)
 
@@ -82,7 +96,7 @@ def centroid_hits(
     strategy: str = "auto",
 ) -> DataFrame:
     """``(query_id, rank, speaker_id, score)``: the nearest speaker centroids of each probe."""
-    _check(architecture, "speaker_centroid", metric)
+    check_search(architecture, "speaker_centroid", metric)
     routed = route(probes, enrolled, architecture, metric, n_probes)
     return routed_centroids(routed, enrolled, architecture, metric, top_k, strategy)
 
@@ -113,25 +127,16 @@ def routed_centroids(
 
     A probe whose buckets hold no speaker with a centroid searches all of them.
     """
-    gallery = enrolled.gallery.where(F.col("speaker_id").isNotNull())
+    centroids = enrolled.speaker_centroids or described_speakers(enrolled.gallery)
     routing = {}
-    if architecture == "brute_force":
-        centroids = speaker_centroids(gallery)
-    else:
-        if architecture == "kmeans_clusters":
-            # The whole speaker is ranked; it belongs to every cluster one of its clips is in.
-            member_of = F.collect_set(F.col("cluster_id").cast("string")).alias("buckets")
-            centroids = speaker_centroids(gallery, member_of)
-            inhabited = gallery.agg(F.collect_set(F.col("cluster_id").cast("string")))
-        else:
+    if architecture != "brute_force":
+        if architecture == "metadata_hierarchy":
             buckets = _speaker_buckets(enrolled.speakers)
-            centroids = speaker_centroids(gallery).join(buckets, "speaker_id", "left")
-            present = gallery.select("speaker_id").distinct()
-            known = buckets.join(present, "speaker_id", "left_semi")
-            inhabited = known.select(F.explode("buckets").alias("b")).agg(F.collect_set("b"))
+            centroids = centroids.drop("buckets").join(buckets, "speaker_id", "left")
+        named = centroids.where(F.col("buckets").isNotNull()).select(F.explode("buckets").alias("b"))
+        inhabited = named.agg(F.collect_set("b")).scalar()  # clusters or categories: few
         names = F.col("routed").cast("array<string>")
-        reachable = F.arrays_overlap(names, inhabited.scalar())
-        routed = routed.withColumn("routed", F.when(reachable, names))
+        routed = routed.withColumn("routed", F.when(F.arrays_overlap(names, inhabited), names))
         routing = {"routed": "routed", "bucket": "buckets"}
     hits = nearest(
         routed, centroids, top_k, centroid_measure(metric), key="speaker_id",
@@ -153,7 +158,7 @@ def search(
     strategy: str = "auto",
 ) -> DataFrame:
     """``(query_id, rank, speaker_id, score)``: the ranked speakers of each probe."""
-    _check(architecture, aggregation, metric)
+    check_search(architecture, aggregation, metric)
     if aggregation == "speaker_centroid":
         return centroid_hits(probes, enrolled, architecture, metric, top_k, n_probes, strategy)
     hits = utterance_hits(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,14 +18,19 @@ from nearkin.plans.search import (
     DEFAULT_CANDIDATE_LIMIT,
     DEFAULT_TOP_K,
     Enrolled,
-    _check,
+    check_search,
+    described_speakers,
     route,
     routed_centroids,
     routed_utterances,
+    search,
 )
 from nearkin.session import cut_lineage
 
 
+RANKED = ("query_id", "rank", "speaker_id", "score")
+
+
 def depths(values: Sequence[int]) -> list[int]:
     return sorted({max(1, value) for value in values})
 
@@ -45,8 +51,6 @@ def evaluate(
     **settings,
 ) -> DataFrame:
     """The six metrics of one configuration, in one row."""
-    from nearkin.plans.search import search
-
     ranked = search(probes, enrolled, metric, architecture, aggregation, **settings)
     return speaker_metrics(cut_lineage(outcomes(probes, ranked)))
 
@@ -64,45 +68,42 @@ def sweep(
 ) -> DataFrame:
     """``(architecture, aggregation, metric, cluster_probes, six metrics)``.
 
-    Probes are routed once per metric and architecture, at the greatest depth;
-    a smaller depth is the head of that route.  The utterance hits of one depth
-    are written once and read by both utterance modes.  All configurations are
-    then scored together, with the configuration as a grouping column.
+    Speaker centroids are computed once.  Probes are routed once per metric and
+    architecture, at the greatest depth; a smaller depth is the head of that
+    route.  The utterance hits of a metric are written once and read by both
+    utterance modes.  All configurations are then scored together, with the
+    configuration as a grouping column.
     """
     spark = probes.sparkSession
     modes = aggregations(utterance_mode)
     wanted = {"kmeans_clusters": depths(cluster_probes), "metadata_hierarchy": depths(metadata_probes)}
+    centroids = cut_lineage(described_speakers(enrolled.gallery))
+    enrolled = replace(enrolled, speaker_centroids=centroids)
     configs, ranked = [], []
-
-    def add(frame: DataFrame, *config) -> None:
-        ranked.append(
-            frame.select("query_id", "rank", "speaker_id", "score",
-                         F.lit(len(configs)).alias("config"))
-        )
-        configs.append((len(configs), *config))
-
     for metric in metrics:
+        hits = []
         for architecture in architectures:
-            _check(architecture, AGGREGATIONS[0], metric)
+            check_search(architecture, AGGREGATIONS[0], metric)
             levels = wanted.get(architecture, [1])
             routed = route(probes, enrolled, architecture, metric, levels[-1])
             if architecture in wanted:
                 routed = cut_lineage(routed)
             for depth in levels:
+                first = F.lit(len(configs)).alias("config")
                 at = routed
                 if architecture in wanted:
                     at = routed.withColumn("routed", F.slice("routed", 1, depth))
-                hits = None
-                if set(modes) & set(MODES):
-                    hits = cut_lineage(
-                        routed_utterances(at, enrolled, architecture, metric, candidate_limit)
-                    )
-                for mode in modes:
-                    if mode in MODES:
-                        found = rank_speakers(hits, mode, metric, top_k)
-                    else:
-                        found = routed_centroids(at, enrolled, architecture, metric, top_k)
-                    add(found, architecture, mode, metric, depth)
+                found = routed_centroids(at, enrolled, architecture, metric, top_k)
+                ranked.append(found.select(*RANKED, first))
+                if len(modes) > 1:
+                    near = routed_utterances(at, enrolled, architecture, metric, candidate_limit)
+                    hits.append(near.select("query_id", "rank", "speaker_id", "distance", first))
+                configs += [(len(configs) + i, architecture, m, metric, depth) for i, m in enumerate(modes)]
+        if hits:
+            together = cut_lineage(reduce(DataFrame.unionByName, hits))
+            for place, mode in enumerate(modes[1:], start=1):
+                found = rank_speakers(together, mode, metric, top_k, ("config",))
+                ranked.append(found.select(*RANKED, (F.col("config") + place).alias("config")))
 
     every = F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))
     asked = probes.select("query_id", "speaker_id", every.alias("config"))
@@ -122,7 +123,7 @@ def results_table(results: DataFrame) -> DataFrame:
     """The metrics as text with two decimals."""
     keys = ["architecture", "aggregation", "metric", "cluster_probes"]
     return results.select(
-        *keys, *[F.format_string("%.2f", F.round(n, 6)).alias(n) for n in METRIC_NAMES if n != "eer"]
+        *keys, *[F.format_string("%.2f", F.bround(F.round(n, 6), 2)).alias(n) for n in METRIC_NAMES if n != "eer"]
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,26 @@ def build_session(app: str = "nearkin", master: str | None = None, **settings: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
+
+    One is made up only where that setting is missing, as in local tests.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="nearkin-shared-")
+        context.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows to the shared folder and go on from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made up only
-    where that setting is missing, which is the case in local tests.
+    They are written as a table, not as a checkpoint of rows, so later steps
+    still read single columns and know the size of what they read.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nearkin-checkpoint-"))
-    return frame.checkpoint()
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/nearkin/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
