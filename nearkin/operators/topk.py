@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 TILE = 1 << 22  # products held at once
 WARM_UP = 1024  # rows of the first slice, from which the first bounds come
 PAIR_CELLS = 1 << 22  # vector elements of candidate pairs held at once
+NO_VALUE = -1e30  # product of a row that has no cosine; finite, as matrix products want
 MEASURES = ("cosine", "euclidean", "dot")
 
 
@@ -153,7 +154,7 @@ class TopK:
             row_error = 2 * slack * square + 8 * width * np.finfo(kind).tiny
             bias = row_error - (square / 2 if self.measure == "euclidean" else 0.0)
             left = np.c_[self.vectors[queries], np.ones(len(queries))].astype(kind)
-            right = np.c_[vectors, np.where(blank, -np.inf, bias)].astype(kind)
+            right = np.c_[vectors, np.where(blank, NO_VALUE, bias)].astype(kind)
             product = left @ right.T
             own = self.square[queries]
             floor = self.bound[queries] - 2 * slack * own
