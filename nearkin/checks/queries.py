@@ -17,7 +17,6 @@ from nearkin.functions.vectors import (
     cosine_distance,
     dot,
     euclidean_distance,
-    format_number_12,
     format_vector,
     l2_normalize,
     parse_vector,
@@ -228,11 +227,12 @@ def _l2_normalize(v: Views) -> DataFrame:
 
 @_register("vector_text_roundtrip")
 def _vector_text_roundtrip(v: Views) -> DataFrame:
-    text = v.clips().select("id", format_vector(F.col("embedding")).alias("text"))
-    back = text.select("id", F.posexplode(parse_vector(F.col("text"))).alias("p", "v"))
+    text = v.clips().select("id", format_vector(F.col("embedding")).alias("t"))
+    parts = F.split(F.regexp_replace("t", r"[\[\]]", ""), ",")
+    both = F.arrays_zip(parse_vector(F.col("t")).alias("value"), parts.alias("text"))
+    back = text.select("id", F.posexplode(both).alias("p", "e"))
     return back.select(
-        "id", (F.col("p") + 1).alias("pos"), round6(F.col("v")).alias("value"),
-        format_number_12(F.col("v")).alias("text"),
+        "id", (F.col("p") + 1).alias("pos"), round6(F.col("e.value")).alias("value"), "e.text"
     )
 
 
@@ -317,7 +317,7 @@ def _cluster_assign(v: Views) -> DataFrame:
 
 @_register("kmeans_train")
 def _kmeans_train(v: Views) -> DataFrame:
-    trained = train_clusters(v.gallery(), CLUSTERS, partitions=4)
+    trained = train_clusters(v.gallery(), CLUSTERS, width=WIDTH)
     return trained.label(v.gallery()).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 

@@ -83,9 +83,39 @@ def parse_vector(text: Column) -> Column:
     )
 
 
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """What ``a * b`` lost to rounding, exactly (Dekker's product)."""
+
+    def high(x: Column) -> Column:
+        return x * 134217729.0 - (x * 134217729.0 - x)
+
+    ah, bh = high(a), high(b)
+    al, bl = a - ah, b - bh
+    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+
+
+def round_12(x: Column) -> Column:
+    """The nearest number with 12 significant digits, judged on the exact binary value.
+
+    Outside 1e-11 .. 1e12 the printed digits are rounded instead.
+    """
+    exponent = F.substring_index(F.format_string("%.11e", x), "e", -1).cast("int")
+    scale = F.pow(F.lit(10.0), F.lit(11) - exponent)
+
+    def rounded(power: Column) -> Column:
+        scaled = F.abs(x) * power
+        whole = F.floor(scaled).cast("double")
+        rest = (scaled - whole - 0.5) + _product_error(F.abs(x), power, scaled)
+        up = (rest > 0) | ((rest == 0) & (whole % 2 == 1))
+        return F.signum(x) * (whole + up.cast("int")) / power
+
+    exact = (F.abs(x) >= 1e-11) & (F.abs(x) < 1e12)
+    return F.when(exact, _let(scale, rounded)).otherwise(x)
+
+
 def format_number_12(x: Column) -> Column:
     """A number with 12 significant digits in general notation, zeros cut."""
-    scientific = F.format_string("%.11e", x)
+    scientific = F.format_string("%.11e", round_12(x))
 
     def general(s: Column) -> Column:
         exponent = F.substring_index(s, "e", -1).cast("int")

@@ -4,60 +4,124 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.vectors import as_double, l2_normalize
 from nearkin.operators.means import vector_mean
-from nearkin.operators.nearest import append_nearest
+from nearkin.operators.nearest import MERGED_LISTS, WIDEST_VECTOR, append_nearest
+from nearkin.operators.topk import to_matrix
+
+# Unit vectors are summed as whole numbers of this many steps, which is finer than
+# their single-precision source.  Whole sums do not depend on the order of rows.
+STEPS = 1 << 24
+# Rows per cluster from which the first centres are found.
+SEED_ROWS = 64
 
 
 @dataclass(frozen=True)
 class Clustering:
     centroids: DataFrame  # cluster_id, centroid of unit length
-    model: KMeansModel  # holds the centres as trained
+    trained: DataFrame  # cluster_id, centre as trained: a mean, shorter than one
+    width: int
 
-    def label(self, rows: DataFrame) -> DataFrame:
+    def label(self, rows: DataFrame, row_id: str = "id") -> DataFrame:
         """Rows with the ``cluster_id`` of the nearest centre as trained; no shuffle."""
-        point = array_to_vector(l2_normalize(as_double("embedding")))
-        return self.model.transform(rows.drop("cluster_id").withColumn("point", point)).drop("point")
+        unit = rows.drop("cluster_id").withColumn("_unit", l2_normalize(as_double("embedding")))
+        found = append_nearest(
+            unit, self.trained.withColumnRenamed("centroid", "embedding"), 1, "euclidean", "_near",
+            label="cluster_id", row_id=row_id, vector="_unit", width=self.width,
+        )
+        return found.withColumn("cluster_id", F.get("_near", F.lit(0))).drop("_near", "_unit")
 
 
 def train_clusters(
-    gallery: DataFrame, k: int = 256, seed: int = 42, partitions: int | None = None,
-    iterations: int = 20,
+    gallery: DataFrame, k: int = 256, seed: int = 42, iterations: int = 20, tolerance: float = 1e-4,
+    width: int = WIDEST_VECTOR,
 ) -> Clustering:
     """Full-batch k-means on normalised vectors.
 
+    First centres are clustered from a bounded draw of rows.  Every step then
+    reads all vectors where they lie and returns one sum per cluster and task.
+    The draw goes by a hash of the id and the sums are exact, so the result does
+    not depend on how the gallery is partitioned.
+
     Labels come from the centres as trained; the stored centres are scaled to
-    unit length afterwards.  A fixed layout makes runs repeatable.
+    unit length afterwards.
     """
     spark = gallery.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = (
-        gallery.where(F.col("embedding").isNotNull())
-        .select("id", array_to_vector(l2_normalize(as_double("embedding"))).alias("point"))
-        .repartition(partitions, "id")
-        .sortWithinPartitions("id")
-    )
-    model = KMeans(
-        k=k, seed=seed, maxIter=iterations, featuresCol="point", predictionCol="cluster_id"
-    ).fit(points)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = spark.createDataFrame(centres, "cluster_id int, centroid array<double>")
-    return Clustering(centroids.withColumn("centroid", l2_normalize(F.col("centroid"))), model)
-
-
-def assign_clusters(rows: DataFrame, centroids: DataFrame, row_id: str = "id") -> DataFrame:
+    present = gallery.where(F.col("embedding").isNotNull())
+    centres = _first_centres(present, k, seed)
+    points = present.select("embedding")
+    for _ in range(iterations):
+        moved = _step(points, centres)
+        shift = np.abs(moved - centres).max(initial=0.0)
+        centres = moved
+        if shift <= tolerance:
+            break
+    rows = [(i, c.tolist()) for i, c in enumerate(centres)]
+    trained = spark.createDataFrame(rows, "cluster_id int, centroid array<double>")
+    unit = trained.withColumn("centroid", l2_normalize(F.col("centroid")))
+    return Clustering(unit, trained, width)
+
+
+def _first_centres(gallery: DataFrame, k: int, seed: int) -> np.ndarray:
+    point = array_to_vector(l2_normalize(as_double("embedding"))).alias("point")
+    drawn = gallery.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SEED_ROWS * k)
+    model = KMeans(k=k, seed=seed, featuresCol="point").fit(drawn.select(point).coalesce(1))
+    return np.array(model.clusterCenters())
+
+
+def _step(points: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The mean of the rows nearest to each centre; a centre without rows stays."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        known = shared.value
+        bias = (known * known).sum(axis=1) / 2
+        totals, counts = np.zeros(known.shape, np.int64), np.zeros(len(known), np.int64)
+        for batch in batches:
+            vectors = to_matrix(batch.column(0))
+            if not len(vectors):
+                continue
+            length = np.sqrt((vectors * vectors).sum(axis=1))
+            unit = vectors / np.where(length > 1e-12, length, 1.0)[:, None]
+            owner = (unit @ known.T - bias).argmax(axis=1)
+            member = np.zeros((len(known), len(unit)))
+            member[owner, np.arange(len(unit))] = 1.0
+            # Exact: the sum of a batch is a whole number far below 2 ** 53.
+            totals += (member @ np.rint(unit * STEPS)).astype(np.int64)
+            counts += member.sum(axis=1).astype(np.int64)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(counts[used]),
+             pa.array(list(totals[used]), pa.list_(pa.int64()))],
+            names=["cluster_id", "n", "total"],
+        )
+
+    sums = points.coalesce(MERGED_LISTS).mapInArrow(run, "cluster_id int, n long, total array<long>")
+    elements = sums.select("cluster_id", "n", F.posexplode("total").alias("pos", "value"))
+    merged = elements.groupBy("cluster_id", "pos").agg(F.sum("value").alias("t"), F.sum("n").alias("n"))
+    cluster, place, total, count = (c.to_numpy() for c in merged.toArrow().columns)  # k x width rows
+    moved = centres.copy()
+    moved[cluster, place] = total / (count * float(STEPS))
+    return moved
+
+
+def assign_clusters(
+    rows: DataFrame, centroids: DataFrame, row_id: str = "id", width: int = WIDEST_VECTOR
+) -> DataFrame:
     """Set ``cluster_id`` of every row to its nearest centroid, in place of a join.
 
     Rows without a vector keep a null cluster.
     """
     found = append_nearest(
         rows.drop("cluster_id"), centroids.select("cluster_id", F.col("centroid").alias("embedding")),
-        1, "dot", "_nearest", label="cluster_id", row_id=row_id,
+        1, "dot", "_nearest", label="cluster_id", row_id=row_id, width=width,
     )
     return found.withColumn("cluster_id", F.get("_nearest", F.lit(0))).drop("_nearest")
 
@@ -68,7 +132,7 @@ def update_clusters(rows: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def lloyd_step(gallery: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Assign every row to its nearest centre, then move the centres."""
+    """Assign every row to its nearest centre, then move the centres; unit length throughout."""
     unit = gallery.select("id", l2_normalize(as_double("embedding")).alias("embedding"))
     means = vector_mean(
         assign_clusters(unit, centroids), ["cluster_id"], "embedding", "centroid"

@@ -42,8 +42,10 @@ cloudpickle.register_pickle_by_value(topk)
 
 BROADCAST_BYTES = 128 << 20
 WIDEST_VECTOR = 1024
-SHARD_ROWS = 1 << 16
-BLOCK_ROWS = 1 << 14
+# Bytes of one side of a grid cell.  What the grid shuffles falls with this size.
+CELL_BYTES = 128 << 20
+# A search leaves at most this many partial lists per query, however many files it reads.
+MERGED_LISTS = 20_000
 # Above this many buckets a filter on them is no longer written into the scan.
 PUSHED_BUCKETS = 1000
 # The bucket of every row, used by queries without a restriction.
@@ -63,8 +65,7 @@ def nearest(
     strategy: str = "auto",
     width: int = WIDEST_VECTOR,
     broadcast_bytes: int = BROADCAST_BYTES,
-    shard_rows: int = SHARD_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Rows ``(query_id, rank, key, *labels, distance)``, at most ``k`` per query.
 
@@ -97,7 +98,7 @@ def nearest(
         hits = _stream_candidates(small, right, k, measure, schema)
     else:
         right = _candidate_side(candidates, key, labels, bucket)
-        hits = _grid(left, right, k, measure, schema, shard_rows, block_rows)
+        hits = _grid(left, right, k, measure, schema, max(1, cell_bytes // (8 * width)))
     return keep_nearest(hits, k, key)
 
 
@@ -212,7 +213,7 @@ def _stream_candidates(small, right, k, measure, schema) -> DataFrame:
             best.feed_routed(pa.Table.from_batches([batch]), routes)
         yield from best.hits(queries.column("query_id"))
 
-    return right.mapInArrow(run, schema)
+    return right.coalesce(MERGED_LISTS).mapInArrow(run, schema)
 
 
 def _append_task(shared, k, measure, output) -> Callable:
@@ -233,7 +234,7 @@ def _append_task(shared, k, measure, output) -> Callable:
     return run
 
 
-def _grid(left, right, k, measure, schema, shard_rows, block_rows) -> DataFrame:
+def _grid(left, right, k, measure, schema, cell_rows) -> DataFrame:
     everything = F.array(F.lit(EVERYTHING))
     key = schema.fields[1].name
     asked = left.withColumn(
@@ -244,9 +245,9 @@ def _grid(left, right, k, measure, schema, shard_rows, block_rows) -> DataFrame:
         F.explode(F.array_distinct(F.concat(F.coalesce("_buckets", F.array()), everything))),
     ).drop("_buckets")
     cuts = (
-        asked.groupBy("_bucket").agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+        asked.groupBy("_bucket").agg(F.ceil(F.count("*") / cell_rows).alias("_blocks"))
         .join(
-            offered.groupBy("_bucket").agg(F.ceil(F.count("*") / shard_rows).alias("_shards")),
+            offered.groupBy("_bucket").agg(F.ceil(F.count("*") / cell_rows).alias("_shards")),
             "_bucket",
         )
     )

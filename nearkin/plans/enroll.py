@@ -30,7 +30,7 @@ def enroll(
     rebuild(speakers_with_default(gallery, metadata), model, "speakers")
     rebuild(metadata_centroids(gallery, model_table(spark, model, "speakers")), model,
             "metadata_centroids")
-    trained = train_clusters(gallery, clusters, seed)
+    trained = train_clusters(gallery, clusters, seed, width=model.dim)
     rebuild(trained.centroids, model, "cluster_centroids")
     rebuild(trained.label(gallery), model, "audio_embeddings")
     return open_model(spark, model)

@@ -43,6 +43,7 @@ def test_metric_dispatch(spark):
 def test_vector_text(spark):
     random.seed(1)
     values = [0.0, 1.0, -1.0, 100.0, 1e-4, 1.5e-5, 123456789012.0, 1e12, 0.1, -2.5e20, 1 / 3]
+    values += [-0.06384302303195, 0.5 + 2**-13, 0.0123456789012500, 1.00000000000500, 999999999999.5]
     values += [random.uniform(-1, 1) * 10 ** random.randint(-8, 14) for _ in range(300)]
     rows = spark.createDataFrame([(values,)], "v array<double>")
     written = rows.select(vec.format_vector(F.col("v")).alias("t")).first()["t"]

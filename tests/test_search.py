@@ -163,7 +163,7 @@ def test_forms_agree_with_all_pairs(crowd, metric):
         order = np.lexsort((np.arange(len(rows)), np.round(d, 12)))[:25]
         want += [(q, n + 1, int(i), abs(round(d[i], 9))) for n, i in enumerate(order)]
     assert [(*r[:3], abs(r[3])) for r in by_query(utterance_hits(probes, enrolled, metric=metric))] == want
-    grid = nearest(probes, enrolled.gallery, 25, metric, strategy="grid", shard_rows=200, block_rows=16)
+    grid = nearest(probes, enrolled.gallery, 25, metric, strategy="grid", width=8, cell_bytes=64 * 150)
     assert [(*r[:3], abs(r[3])) for r in by_query(grid)] == want
 
 
@@ -176,7 +176,7 @@ def test_routed_grid_equals_routed_stream(crowd):
     mixed = probes.withColumn("routed", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("0"), F.lit("3"))))
     common = {"routed": "routed", "bucket": "cluster_id"}
     stream = nearest(mixed, enrolled.gallery, 9, "cosine", **common)
-    grid = nearest(mixed, enrolled.gallery, 9, "cosine", **common, strategy="grid", shard_rows=100, block_rows=8)
+    grid = nearest(mixed, enrolled.gallery, 9, "cosine", **common, strategy="grid", width=8, cell_bytes=64 * 9)
     assert by_query(stream) == by_query(grid)
 
 

@@ -197,8 +197,8 @@ def test_wrong_width_stops_the_enrolment(spark, clips):
 
 def test_training_repeats_and_steps_lower_the_cost(spark, clips):
     gallery = clips.select(F.xxhash64("file_path").alias("id"), "speaker_id", "embedding")
-    first = train_clusters(gallery, 5, partitions=4)
-    second = train_clusters(gallery.repartition(7), 5, partitions=4)
+    first = train_clusters(gallery, 5)
+    second = train_clusters(gallery.repartition(7), 5)
     centres = [sorted((r["cluster_id"], r["centroid"]) for r in t.centroids.collect()) for t in (first, second)]
     assert centres[0] == centres[1]
     assert all(sum(x * x for x in c) == pytest.approx(1) for _, c in centres[0])
