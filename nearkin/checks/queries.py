@@ -317,8 +317,8 @@ def _cluster_assign(v: Views) -> DataFrame:
 
 @_register("kmeans_train")
 def _kmeans_train(v: Views) -> DataFrame:
-    trained = train_clusters(v.gallery(), CLUSTERS, width=WIDTH)
-    return trained.label(v.gallery()).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    gallery = cut_lineage(v.gallery())  # every step reads it again
+    return train_clusters(gallery, CLUSTERS, width=WIDTH).label(gallery).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 # Routing

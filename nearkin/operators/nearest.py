@@ -8,7 +8,7 @@ Both sides are DataFrames; three physical forms give the same rows.
     gallery never moves.
 ``candidates``
     The candidate side is small (centroids): it is broadcast and the queries
-    stream past it.  Nothing is shuffled.
+    stream past it.  Nothing is shuffled and nothing is left to merge.
 ``grid``
     Both sides are large: each bucket is cut into shards of candidates and
     blocks of queries of bounded size, and each (shard, block) cell is one
@@ -63,6 +63,7 @@ def nearest(
     routed: str | None = None,
     bucket: str | None = None,
     strategy: str = "auto",
+    few_candidates: bool = False,
     width: int = WIDEST_VECTOR,
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_bytes: int = CELL_BYTES,
@@ -71,11 +72,12 @@ def nearest(
 
     Queries carry ``query_id`` and ``embedding``; candidates carry ``key``,
     ``labels`` and ``embedding``.  Null vectors are no candidates.  ``bucket``
-    names a scalar or an array column of the candidates.
+    names a scalar or an array column of the candidates.  ``few_candidates``
+    makes the automatic choice try the candidate side first.
     """
     if measure not in topk.MEASURES:
         raise ValueError(f"Unsupported measure: {measure}")
-    if strategy not in ("auto", "queries", "grid"):
+    if strategy not in ("auto", "queries", "candidates", "grid"):
         raise ValueError(f"Unsupported strategy: {strategy}")
     k = max(1, k)
     left = queries.where(F.col("embedding").isNotNull()).select(
@@ -89,17 +91,22 @@ def nearest(
         + [T.StructField(name, candidates.schema[name].dataType) for name in (key, *labels)]
         + [T.StructField("distance", T.DoubleType())]
     )
-    small = read_bounded(left, broadcast_bytes, width) if strategy != "grid" else None
-    if small is None and strategy == "queries":
-        raise ValueError("the query side is larger than the broadcast bound")
-    if small is not None:
-        restriction = _pushed_buckets(small.column("_routed"), candidates, bucket)
-        right = _candidate_side(candidates.where(restriction), key, labels, bucket)
-        hits = _stream_candidates(small, right, k, measure, schema)
-    else:
+    if strategy == "candidates" or (strategy == "auto" and few_candidates):
         right = _candidate_side(candidates, key, labels, bucket)
-        hits = _grid(left, right, k, measure, schema, max(1, cell_bytes // (8 * width)))
-    return keep_nearest(hits, k, key)
+        small = read_bounded(right, broadcast_bytes, width)
+        if small is not None:
+            return _stream_queries(small, left, k, measure, schema)
+    if strategy in ("auto", "queries"):
+        small = read_bounded(left, broadcast_bytes, width)
+        if small is not None:
+            restriction = _pushed_buckets(small.column("_routed"), candidates, bucket)
+            right = _candidate_side(candidates.where(restriction), key, labels, bucket)
+            return keep_nearest(_stream_candidates(small, right, k, measure, schema), k, key)
+    if strategy in ("queries", "candidates"):
+        raise ValueError(f"the {strategy} are larger than the broadcast bound")
+    right = _candidate_side(candidates, key, labels, bucket)
+    cell_rows = max(1, cell_bytes // (8 * width))
+    return keep_nearest(_grid(left, right, k, measure, schema, cell_rows), k, key)
 
 
 def keep_nearest(hits: DataFrame, k: int, key: str) -> DataFrame:
@@ -216,6 +223,25 @@ def _stream_candidates(small, right, k, measure, schema) -> DataFrame:
     return right.coalesce(MERGED_LISTS).mapInArrow(run, schema)
 
 
+def _stream_queries(small, left, k, measure, schema) -> DataFrame:
+    shared = left.sparkSession.sparkContext.broadcast(small)
+    names = [f.name for f in schema.fields]
+    ranked = T.StructType([schema.fields[0], T.StructField("rank", T.IntegerType()), *schema.fields[1:]])
+
+    def run(batches):
+        for batch in batches:
+            queries = pa.Table.from_batches([batch])
+            best = TopK(to_matrix(queries.column("_vector")), k, measure)
+            best.feed_routed(shared.value, route_index(queries.column("_routed")))
+            for hits in best.hits(queries.column("query_id")):
+                rank = best.ranks().astype(np.int32)
+                yield hits.add_column(1, "rank", pa.array(rank)).select(
+                    [names[0], "rank", *names[1:]]
+                )
+
+    return left.mapInArrow(run, ranked)
+
+
 def _append_task(shared, k, measure, output) -> Callable:
     def run(batches):
         known = shared.value

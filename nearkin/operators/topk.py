@@ -249,7 +249,12 @@ class TopK:
         names = best.column_names[2:]
         columns = [query_ids.take(best.column("_query")), *[best.column(n) for n in names],
                    best.column("_distance")]
-        return pa.table(columns, names=["query_id", *names, "distance"]).to_batches()
+        found = pa.table(columns, names=["query_id", *names, "distance"])
+        return found.combine_chunks().to_batches()
+
+    def ranks(self) -> np.ndarray:
+        """The 1-based rank of each row of ``hits``."""
+        return group_position(self.best.column("_query").to_numpy()) + 1
 
     def label_lists(self, name: str, kind: pa.DataType) -> pa.Array:
         """One list per query with a column of its rows, nearest first."""

@@ -13,6 +13,7 @@ from nearkin.operators.means import speaker_centroids
 from nearkin.operators.nearest import WIDEST_VECTOR, nearest
 from nearkin.operators.ranking import MODES, rank_speakers
 from nearkin.operators.routing import centroid_measure, route_clusters, route_metadata
+from nearkin.session import cut_lineage
 
 ARCHITECTURES = ("brute_force", "metadata_hierarchy", "kmeans_clusters")
 AGGREGATIONS = ("speaker_centroid", *MODES)
@@ -127,7 +128,7 @@ def routed_centroids(
 
     A probe whose buckets hold no speaker with a centroid searches all of them.
     """
-    centroids = enrolled.speaker_centroids or described_speakers(enrolled.gallery)
+    centroids = enrolled.speaker_centroids or cut_lineage(described_speakers(enrolled.gallery))
     routing = {}
     if architecture != "brute_force":
         if architecture == "metadata_hierarchy":
@@ -140,7 +141,7 @@ def routed_centroids(
         routing = {"routed": "routed", "bucket": "buckets"}
     hits = nearest(
         routed, centroids, top_k, centroid_measure(metric), key="speaker_id",
-        strategy=strategy, width=enrolled.width, **routing,
+        strategy=strategy, few_candidates=True, width=enrolled.width, **routing,
     )
     # The product of unit vectors is the cosine score itself.
     return hits.select("query_id", "rank", "speaker_id", (-F.col("distance")).alias("score"))

@@ -163,6 +163,9 @@ def test_forms_agree_with_all_pairs(crowd, metric):
         order = np.lexsort((np.arange(len(rows)), np.round(d, 12)))[:25]
         want += [(q, n + 1, int(i), abs(round(d[i], 9))) for n, i in enumerate(order)]
     assert [(*r[:3], abs(r[3])) for r in by_query(utterance_hits(probes, enrolled, metric=metric))] == want
+    near = nearest(probes.repartition(3), enrolled.gallery, 25, metric, strategy="candidates")
+    assert [(*r[:3], abs(r[3])) for r in by_query(near)] == want
+    assert "Exchange hashpartitioning(query_id" not in near._jdf.queryExecution().executedPlan().toString()
     grid = nearest(probes, enrolled.gallery, 25, metric, strategy="grid", width=8, cell_bytes=64 * 150)
     assert [(*r[:3], abs(r[3])) for r in by_query(grid)] == want
 
@@ -200,6 +203,20 @@ def test_centroids_beyond_the_bound_give_the_same_lists(crowd):
     assert lists() == lists(broadcast_bytes=64, width=8)
 
 
+def test_centroid_searches_agree_in_every_form(crowd):
+    from nearkin.plans.search import centroid_hits
+
+    _, _, _, enrolled, probes = crowd
+    for architecture, n in (("brute_force", 1), ("kmeans_clusters", 1), ("kmeans_clusters", 3)):
+        forms = [
+            [(r["query_id"], r["rank"], r["speaker_id"], round(r["score"], 9)) for r in centroid_hits(
+                probes, enrolled, architecture, n_probes=n, strategy=strategy
+            ).orderBy("query_id", "rank").collect()]
+            for strategy in ("candidates", "queries", "grid")
+        ]
+        assert forms[0] == forms[1] == forms[2] and len(forms[0]) == 41 * 10
+
+
 def test_all_clusters_probed_equals_brute_force(crowd):
     _, _, _, enrolled, probes = crowd
     brute = utterance_hits(probes, enrolled)
