@@ -202,11 +202,15 @@ def _pushed_buckets(routed: pa.ChunkedArray, candidates: DataFrame, bucket: str
         return F.lit(True)
     if not by_bucket:
         return F.lit(False)
-    names = [F.lit(name) for name in sorted(by_bucket)]
+    names = sorted(by_bucket)
     if _is_array(candidates, bucket):
-        return F.arrays_overlap(F.col(bucket).cast("array<string>"), F.array(*names))
-    kind = candidates.schema[bucket].dataType
-    return F.col(bucket).isin([name.cast(kind) for name in names])
+        # one literal, split while planning: much quicker to build than an array of literals
+        wanted = F.split(F.lit("\x00".join(names)), "\x00")
+        return F.arrays_overlap(F.col(bucket).cast("array<string>"), wanted)
+    if isinstance(candidates.schema[bucket].dataType, T.IntegralType):
+        numbers = [name for name in names if name.lstrip("-").isdigit()]
+        return F.expr(f"`{bucket}` IN ({', '.join(numbers)})") if numbers else F.lit(False)
+    return F.col(bucket).cast("string").isin(names)
 
 
 def _stream_candidates(small, right, k, measure, schema) -> DataFrame:

@@ -16,7 +16,7 @@ from nearkin.session import cut_lineage
 
 
 def number_rows(frame: DataFrame, order: list[Column], output: str) -> DataFrame:
-    """Add the 1-based position of each row; pass only the columns that are needed."""
+    """Add the 1-based position of each row; all given columns are shuffled and written once."""
     # The low 33 bits of the generated id count the rows of a partition, the others name it.
     placed = cut_lineage(
         frame.repartitionByRange(*order)
@@ -26,6 +26,7 @@ def number_rows(frame: DataFrame, order: list[Column], output: str) -> DataFrame
         .withColumn("_place", F.col("_at") - F.shiftleft(F.col("_part"), 33))
         .drop("_at")
     )
+    # one row per partition, so this window may run in one task
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")

@@ -199,19 +199,17 @@ class TopK:
         merged = pa.concat_tables(tables).combine_chunks()
         key = merged.column_names[2]
         query, distance = (merged.column(i).to_numpy() for i in (0, 1))
-        if pa.types.is_integer(merged.schema.field(key).type):
-            order = np.lexsort((merged.column(key).to_numpy(), distance, query))
+        names = merged.column(key).combine_chunks()
+        if pa.types.is_integer(names.type):
+            place = names.to_numpy()
         else:
-            by = [("_query", "ascending"), ("_distance", "ascending"), (key, "ascending")]
-            order = pc.sort_indices(merged, sort_keys=by).to_numpy()
+            place = pc.rank(names, tiebreaker="dense").to_numpy()
+        order = np.lexsort((place, distance, query))
         merged = merged.take(pa.array(order))
         # A row reached through two buckets stands next to its copy: same query, distance, key.
-        names = merged.column(key).combine_chunks()
-        query, distance = query[order], distance[order]
+        query, distance, place = query[order], distance[order], place[order]
         repeat = np.zeros(len(query), bool)
-        if len(query) > 1:
-            same_key = pc.equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
-            repeat[1:] = (query[1:] == query[:-1]) & (distance[1:] == distance[:-1]) & same_key
+        repeat[1:] = (query[1:] == query[:-1]) & (distance[1:] == distance[:-1]) & (place[1:] == place[:-1])
         kept = np.flatnonzero(~repeat)
         position = group_position(query[kept])
         inside = position < self.k

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearkin.models import Model
 from nearkin.operators.clusters import train_clusters
 from nearkin.operators.means import metadata_centroids
+from nearkin.operators.order import number_rows
 from nearkin.plans.search import Enrolled
-from nearkin.session import cut_lineage
 from nearkin.sources.readers import require_dim, speakers_with_default
-from nearkin.sources.tables import assign_ids, ensure_tables, model_table, rebuild
+from nearkin.sources.tables import ensure_tables, model_table, rebuild
 
 
 def enroll(
@@ -22,11 +23,9 @@ def enroll(
     """
     spark = clips.sparkSession
     ensure_tables(spark, model)
-    checked = require_dim(clips, model.dim)
-    ids = assign_ids(checked).withColumnRenamed("row_id", "id")
-    gallery = cut_lineage(
-        checked.join(ids, "file_path").select("id", "speaker_id", "file_path", "embedding")
-    )
+    checked = require_dim(clips, model.dim).select("speaker_id", "file_path", "embedding")
+    # Numbering writes the rows out in path order; all later stages read that table.
+    gallery = number_rows(checked, [F.asc("file_path")], "id")
     rebuild(speakers_with_default(gallery, metadata), model, "speakers")
     rebuild(metadata_centroids(gallery, model_table(spark, model, "speakers")), model,
             "metadata_centroids")

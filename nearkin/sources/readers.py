@@ -53,19 +53,18 @@ def as_gallery(frame: DataFrame) -> DataFrame:
     return frame.select(
         _alias(frame, LABEL_NAMES, True).cast("string").alias("speaker_id"),
         _alias(frame, PATH_NAMES, True).alias("file_path"),
-        as_double(_alias(frame, VECTOR_NAMES, True)).alias("embedding"),
+        _alias(frame, VECTOR_NAMES, True).alias("embedding"),
     )
 
 
 def as_probes(frame: DataFrame) -> DataFrame:
     """``(query_id, speaker_id, file_path, embedding)``, vectors normalised, labels required."""
-    probes = frame.select(
+    return frame.select(
         "query_id",
         _alias(frame, LABEL_NAMES, True).cast("string").alias("speaker_id"),
         _alias(frame, PATH_NAMES, False).alias("file_path"),
         l2_normalize(as_double(_alias(frame, VECTOR_NAMES, True))).alias("embedding"),
     )
-    return probes
 
 
 def read_gallery(spark: SparkSession, path: str, dim: int) -> DataFrame:
@@ -79,7 +78,7 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
 def describe_vectors(frame: DataFrame) -> DataFrame:
     """Everything but the vector, with its width and length."""
     rest = [c for c in frame.columns if c != "embedding"]
-    return frame.select(*rest, F.size("embedding").alias("dim"), norm(F.col("embedding")).alias("norm"))
+    return frame.select(*rest, F.size("embedding").alias("dim"), norm(as_double("embedding")).alias("norm"))
 
 
 def clean_metadata(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
