@@ -274,16 +274,15 @@ def _sweep() -> str:
 def _profile() -> str:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-    counts = " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in names
-    )
-    return f"""SELECT DISTINCT c.table_name AS "table", c.column_name AS "column",
-        CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+    return " UNION ALL ".join(
+        f"""SELECT '{n}' AS "table", column_name AS "column",
+        CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
             WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date'
             WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-            WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE c.data_type END AS "type",
-        true AS "nullable", k.n AS "rows"
-        FROM information_schema.columns c JOIN ({counts}) k ON k.table_name = c.table_name"""
+            WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE column_type END AS "type",
+        true AS "nullable", (SELECT count(*) FROM {n}) AS "rows" FROM (DESCRIBE {n})"""
+        for n in names
+    )
 
 
 def _search_row(view: str) -> str:

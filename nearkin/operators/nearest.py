@@ -163,9 +163,8 @@ def append_nearest(
     shared = rows.sparkSession.sparkContext.broadcast(small)
     label_type = centroids.schema[label].dataType
     schema = T.StructType([*rows.schema.fields, T.StructField(output, T.ArrayType(label_type))])
-    task = _append_task(shared, k, measure, output)
-    wide = rows.withColumns({"_vector": F.col(vector), "_routed": group})
-    return wide.mapInArrow(task, schema)
+    task = _append_task(shared, k, measure, vector, output)
+    return rows.withColumn("_routed", group).mapInArrow(task, schema)
 
 
 def read_bounded(frame: DataFrame, max_bytes: int, width: int = WIDEST_VECTOR) -> pa.Table | None:
@@ -246,19 +245,19 @@ def _stream_queries(small, left, k, measure, schema) -> DataFrame:
     return left.mapInArrow(run, ranked)
 
 
-def _append_task(shared, k, measure, output) -> Callable:
+def _append_task(shared, k, measure, vector, output) -> Callable:
     def run(batches):
         known = shared.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            present = table.column("_vector").is_valid()
-            queries = table.filter(present)
-            best = TopK(to_matrix(queries.column("_vector")), k, measure)
+            present = table.column(vector).is_valid()
+            queries = table.select([vector, "_routed"]).filter(present)
+            best = TopK(to_matrix(queries.column(vector)), k, measure)
             best.feed_routed(known, route_index(queries.column("_routed")))
             lists = best.label_lists("label", known.schema.field("label").type)
             place = np.cumsum(present.to_numpy()) - 1
             places = pa.array(place, mask=~present.to_numpy())
-            kept = table.drop_columns(["_vector", "_routed"])
+            kept = table.drop_columns(["_routed"])
             yield from kept.append_column(output, lists.take(places)).to_batches()
 
     return run
