@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.text import pair_label
-from nearkin.functions.vectors import check_metric, score_from_distance
+from nearkin.functions.vectors import check_metric
 from nearkin.operators.means import speaker_centroids
 from nearkin.operators.nearest import WIDEST_VECTOR, nearest
 from nearkin.operators.ranking import MODES, rank_speakers

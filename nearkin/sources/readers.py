@@ -101,7 +101,7 @@ def read_metadata(spark: SparkSession, path: str | None) -> DataFrame:
     A missing file is an empty lookup.
     """
     empty = spark.createDataFrame([], "speaker_id string, gender string, nationality string")
-    if not path or not _exists(spark, path):
+    if not path or not path_exists(spark, path):
         return empty
     header = spark.read.text(path).first()
     if header is None:
@@ -121,7 +121,7 @@ def read_metadata(spark: SparkSession, path: str | None) -> DataFrame:
     return clean_metadata(raw, ["_block", "_line"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     # binaryFile lists without reading; a path that is not there fails on analysis
     try:
         spark.read.format("binaryFile").load(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearkin.models import Model
 from nearkin.operators.order import number_rows
+from nearkin.sources.readers import path_exists
 
 # Table names and columns.
 TABLES = {
@@ -78,9 +79,7 @@ def append_finished(finished: DataFrame, path: str) -> None:
 
 def finished_clips(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Clips finished so far; none when the store does not exist yet."""
-    from nearkin.sources.readers import _exists
-
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

@@ -8,7 +8,7 @@ from nearkin.operators.nearest import append_nearest, nearest
 from nearkin.operators.ranking import rank_speakers
 from nearkin.operators.routing import route_metadata
 from nearkin.plans.search import ARCHITECTURES, Enrolled, search, utterance_hits
-from nearkin.plans.sweep import aggregations, depths, sweep
+from nearkin.plans.sweep import aggregations, depths, evaluate, sweep
 
 GALLERY = "id long, speaker_id string, embedding array<double>, cluster_id int"
 PROBES = "query_id long, speaker_id string, embedding array<double>"
@@ -238,6 +238,8 @@ def test_sweep_settings(world, probes):
     assert aggregations("vote") == ["speaker_centroid", "vote"]
     with pytest.raises(ValueError):
         aggregations("median")
+    row = evaluate(probes, world, aggregation="vote", candidate_limit=1).first()
+    assert (row["top1_accuracy"], row["f1"], row["eer"]) == (100.0, 100.0, 0.0)
     got = sweep(probes, world, cluster_probes=(2, 1, 1), metadata_probes=(0,), utterance_mode="closest", top_k=2)
     rows = {(r["architecture"], r["aggregation"], r["cluster_probes"]): r for r in got.collect()}
     assert set(rows) == {
