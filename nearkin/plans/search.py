@@ -52,11 +52,14 @@ def route(
     return probes
 
 
-def _speaker_buckets(speakers: DataFrame) -> DataFrame:
+def _bucket_list():
     """A speaker can be reached by gender and by gender:nationality."""
     gender = F.lower("gender")
-    buckets = F.array(gender, pair_label(gender, F.col("nationality")))
-    return speakers.select("speaker_id", buckets.alias("buckets"))
+    return F.array(gender, pair_label(gender, F.col("nationality"))).alias("buckets")
+
+
+def _speaker_buckets(speakers: DataFrame) -> DataFrame:
+    return speakers.select("speaker_id", _bucket_list())
 
 
 def described_speakers(gallery: DataFrame) -> DataFrame:
@@ -110,7 +113,10 @@ def routed_utterances(
     gallery = enrolled.gallery.where(F.col("speaker_id").isNotNull())
     routing = {}
     if architecture == "metadata_hierarchy":
-        gallery = gallery.join(_speaker_buckets(enrolled.speakers), "speaker_id")
+        if {"gender", "nationality"} <= set(gallery.columns):
+            gallery = gallery.select("*", _bucket_list())  # stored with the rows: no join
+        else:
+            gallery = gallery.join(_speaker_buckets(enrolled.speakers), "speaker_id")
         routing = {"routed": "routed", "bucket": "buckets"}
     elif architecture == "kmeans_clusters":
         routing = {"routed": "routed", "bucket": "cluster_id"}

@@ -73,6 +73,14 @@ def test_metadata_route_limits_the_candidates(world, probes):
         assert set(deep[10]) == {"a", "b"} and deep[20] == ["c"]
 
 
+def test_metadata_stored_with_the_gallery_saves_the_join(world, probes):
+    wide = swap(world, gallery=world.gallery.join(world.speakers, "speaker_id"), speakers=None)
+    found = search(probes, wide, architecture="metadata_hierarchy", aggregation="vote", n_probes=2)
+    assert ranked(found) == ranked(
+        search(probes, world, architecture="metadata_hierarchy", aggregation="vote", n_probes=2)
+    )
+
+
 def test_without_gender_centroids_there_is_no_restriction(world, probes):
     bare = swap(world, metadata_centroids=none_of(world.metadata_centroids))
     for aggregation in ("closest", "vote", "speaker_centroid"):
