@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.session import cut_lineage
 
-__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed"]
+__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "block_rows", "add_blocks"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,3 +71,33 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def block_rows(values: np.ndarray, size: int, **constant: int) -> pa.RecordBatch:
+    """An array of counters as rows ``block, counts`` of ``size`` numbers each, blocks of zeros left out."""
+    blocks = values.reshape(-1, size)
+    used = np.flatnonzero(blocks.any(axis=1))
+    arrays = [pa.array(used, pa.int64()), pa.array([blocks[i].tobytes() for i in used], pa.binary())]
+    arrays += [pa.array(np.full(len(used), v), pa.int64()) for v in constant.values()]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "counts", *constant])
+
+
+def add_blocks(frame: DataFrame, dtype: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of the ``counts`` arrays per key and block, in two levels, so no task gathers one from every task."""
+
+    def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in parts:
+            for raw in part.column("counts"):
+                one = np.frombuffer(raw.as_buffer(), dtype=dtype)
+                total = one.copy() if total is None else total + one
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k.as_py()], pa.int64()) for k in key), pa.array([total.tobytes()], pa.binary())],
+            [*by, "counts"],
+        )
+
+    frame = frame.select("block", *keys, F.pmod(F.spark_partition_id(), F.lit(64)).alias("_slot"), "counts")
+    for by in (["block", *keys, "_slot"], ["block", *keys]):
+        schema = ", ".join(f"{k} long" for k in by) + ", counts binary"
+        frame = frame.groupBy(*by).applyInArrow(add, schema)
+    return frame

@@ -4,18 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from llm.block_naming import exact_duplicates
 from llm.common import table
 from llm.jaccard_join import near_duplicates
+from llm.language import identify
+from llm.mixing import mix
+from llm.packing import pack
+
+#: The mixture's tree: sources belong to three domains, English weighs most, one source is favoured.
+WEIGHTS = {
+    ("web",): 5, ("books",): 3, ("code",): 2,
+    ("web", "en"): 4, ("books", "en"): 3, ("code", "en"): 3,
+    ("web", "en", "src0"): 2, ("web", "en", "src3"): 9, ("books", "fr", "src4"): 4,
+}
+
+
+def source_levels() -> dict:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]*)$", 1)
+    third = F.coalesce(number.try_cast("long") if hasattr(number, "try_cast") else number.cast("long"), F.lit(0)) % 3
+    return {
+        "domain": F.when(third == 0, "web").when(third == 1, "books").otherwise("code"),
+        "language": F.col("lang"), "origin": F.col("source"),
+    }
+
+
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), source_levels(), WEIGHTS)
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), n=3, percent=90)
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("row")
+
+
+def op6_block_naming(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents"))
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op5_packing": op5_packing,
+    "op6_block_naming": op6_block_naming,
+    "op9_language": op9_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_block_naming": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
+             g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)
+    """,
+}
