@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from llm.block_naming import exact_duplicates
 from llm.common import table
+from llm.html_text import extract
 from llm.jaccard_join import near_duplicates
 from llm.language import identify
+from llm.license_scan import scan
 from llm.mixing import mix
 from llm.packing import pack
+from llm.url_filter import filter_urls
 
 #: The mixture's tree: sources belong to three domains, English weighs most, one source is favoured.
 WEIGHTS = {
@@ -23,6 +26,12 @@ WEIGHTS = {
 }
 
 
+#: Host and path with what the rule decides.
+RULES = (
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+)
+
+
 def source_levels() -> dict:
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]*)$", 1)
     third = F.coalesce(number.try_cast("long") if hasattr(number, "try_cast") else number.cast("long"), F.lit(0)) % 3
@@ -40,6 +49,14 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), n=3, percent=90)
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"), RULES)
+
+
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("row")
 
@@ -53,15 +70,35 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_block_naming": op6_block_naming,
     "op9_language": op9_language,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+        WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+             p AS (SELECT page_id,
+                          coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+             r(suffix, prefix, rule, verdict) AS (VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'),
+                 ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')),
+             f AS (SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS n
+                   FROM p LEFT JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, prefix))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict,
+               CASE WHEN rule IS NULL THEN 'none' ELSE 'rule' END AS via
+        FROM f WHERE n = 1
+    """,
     "op6_block_naming": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
              g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
