@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 from tests.conftest import DATA
 
 FOLDER = f"{DATA}/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = dict(entry_points.QUERIES), dict(entry_points.ORACLES)
 WITHOUT_ORACLE = {"clip_catalog", "kmeans_train"}
 
 
