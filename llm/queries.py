@@ -16,6 +16,8 @@ from llm.language import identify
 from llm.license_scan import scan
 from llm.mixing import mix
 from llm.packing import pack
+from llm.permutation_index import nearest
+from llm.substring_dedup import remove_repeats
 from llm.url_filter import filter_urls
 
 #: The mixture's tree: sources belong to three domains, English weighs most, one source is favoured.
@@ -65,6 +67,14 @@ def op6_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op7_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_block_naming": op6_block_naming,
+    "op7_permutation_index": op7_permutation_index,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
 }
