@@ -7,9 +7,11 @@ members, so the number ``t`` of members they must share is fixed by ``n`` and ``
 * Light sets, up to a boundary size, enumerate their subsets of exactly those sizes
   ``t``; two linked light sets meet in a subset.
 * Heavy sets scan inverted lists.  A list belongs to one n-gram and holds every set
-  that has it among its rarest ones; linked sets meet in one of their rarest
-  ``n - ceil(n * percent / 100) + 1`` members, whatever order "rarest" stands for.  Light
-  sets large enough to link with a heavy one are in the lists too.
+  that has it among its rarest ones; linked sets share at least ``c`` of their rarest
+  ``n - ceil(n * percent / 100) + c`` members, whatever order "rarest" stands for.  ``c`` is
+  one for small sets and grows with their size, so large sets that share a list or two by
+  chance are told apart without reading them.  Light sets large enough to link with a
+  heavy one are in the lists too.
 * The boundary minimises subsets to enumerate plus list entries to scan, from the
   counts of all sets by size and the frequencies of all n-grams.
 
@@ -33,8 +35,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from llm.common import connected_components, cut_lineage, quiet_shuffles, signed
 from llm.words import Words, mix, pieces, split_words
@@ -42,6 +45,9 @@ from llm.words import Words, mix, pieces, split_words
 COUNTER_BITS, BLOCK_BITS = 22, 16
 LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
 LEADER_ROUNDS = 2
+GRAMS_PER_LIST = 50
+PARITY = [f"p{i}" for i in range(8)]
+MEASURED = ["doc_id", "size", "set", "guard", "block", "counts", *PARITY]
 
 _SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -51,8 +57,13 @@ def shared_needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def kept_prefix(n: np.ndarray | int, percent: int):
-    return n - (n * percent + 99) // 100 + 1
+def shared_lists(n: int) -> int:
+    """How many lists two linked sets share if the smaller has n members."""
+    return 1 + n // GRAMS_PER_LIST
+
+
+def kept_prefix(n: int, percent: int) -> int:
+    return min(n, n - (n * percent + 99) // 100 + shared_lists(n))
 
 
 def subset_sizes(n: int, percent: int) -> list[int]:
@@ -89,27 +100,47 @@ def set_names(grams: np.ndarray) -> tuple[int, int]:
     return int(name), int(guard)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the members that hash to it.
+
+    A member that only one of two sets has changes one bit, so the bits in which the
+    sets differ never outnumber the members in which they differ.
+    """
+    odd = np.bincount((grams >> np.uint64(8) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes n and m and the parities leave room for a link; never false for linked sets."""
+    differing = sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, 8)),
+                    F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (
+        differing * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    )
+
+
 def _measure(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                rows = []
+                rows, bits = [], []
                 for grams in gram_sets(split_words(piece.column("text"), lower=True), n):
                     rows.append((len(grams), *set_names(grams)))
+                    bits.append(parity(grams))
                     np.add.at(counters, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
                 size, name, guard = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
-                     pa.array(guard, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())],
-                    ["doc_id", "size", "set", "guard", "block", "counts"],
+                     pa.array(guard, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary()), *map(pa.array, np.array(bits).T)],
+                    MEASURED,
                 )
         blocks = counters.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(used, pa.int32()), pa.array([blocks[i].astype("<i8").tobytes() for i in used], pa.binary())],
-            ["doc_id", "size", "set", "guard", "block", "counts"],
+            [none, none, none, none, pa.array(used, pa.int32()), pa.array([blocks[i].astype("<i8").tobytes() for i in used], pa.binary()), *[none] * 8],
+            MEASURED,
         )
 
     return run
@@ -157,7 +188,7 @@ def boundary(sizes: DataFrame, counters: np.ndarray, percent: int) -> int:
 
     def cost(x: int) -> float:
         light = sum(number.get(n, 0) * sum(comb(n, t) for t in subset_sizes(n, percent)) for n in range(1, x + 1))
-        return light + scanned * sum(e for n, e in entries.items() if n > x * percent // 100)
+        return light + scanned * sum(e for n, e in entries.items() if n >= (x + 1) * percent // 100)
 
     return min(range(LARGEST_BOUNDARY + 1), key=cost)
 
@@ -199,6 +230,28 @@ def _post(n: int, percent: int, bound: int, shared):
     return run
 
 
+def _compatible(posted: DataFrame, percent: int) -> DataFrame:
+    """The list entries of sets that share enough lists with sets of about their size.
+
+    Sizes that can be linked lie in one or in neighbouring classes, so a set stands in two.
+    """
+    steps = float(np.log(100 / percent))
+    several = cut_lineage(
+        posted.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key")
+    )
+    lists = cut_lineage(posted.join(several, "key", "left_semi").distinct())
+    for _ in range(2):
+        # A little is taken off so that rounding cannot part two sizes at the very limit.
+        low = F.floor(F.log(F.col("size").cast("double")) / steps - 1e-9)
+        placed = lists.withColumn("near", F.explode(F.array(low, low + 1, low + 2)))
+        met = placed.groupBy("key", "near").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
+        lists = placed.join(met, ["key", "near"], "left_semi").drop("near").distinct()
+        least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST) + 1
+        enough = lists.groupBy("set", "size").agg(F.count("*").alias("lists")).where(F.col("lists") >= least)
+        lists = cut_lineage(lists.join(enough.select("set"), "set", "left_semi"))
+    return lists
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,10 +313,11 @@ def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
 def _leader_pairs(placed: DataFrame, percent: int, last: bool) -> DataFrame:
     """For each set the leader of another component that most of its lists name."""
     pick = F.max if last else F.min
-    leaders = placed.groupBy("key").agg(pick(F.struct(F.hash("set"), "set", "size", "component")).alias("l"))
+    leaders = placed.groupBy("key").agg(pick(F.struct(F.hash("set"), "set", "size", "component", *PARITY)).alias("l"))
     named = placed.join(leaders, "key").where(F.col("component") != F.col("l.component")).select(
-        F.col("set").alias("a"), F.col("size").alias("n"), F.col("l.set").alias("b"), F.col("l.size").alias("m")
-    ).where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+        F.col("set").alias("a"), F.col("size").alias("n"), F.col("l.set").alias("b"), F.col("l.size").alias("m"),
+        *(F.col(p).alias(f"x{p[1:]}") for p in PARITY), *(F.col(f"l.{p}").alias(f"y{p[1:]}") for p in PARITY),
+    ).where(_may_link("x", "y", percent))
     votes = named.groupBy("a", "n", "b", "m").agg(F.count("*").alias("votes"))
     best = votes.groupBy("a").agg(F.max(F.struct("votes", "b", "n", "m")).alias("v")).select("a", "v.b", "v.n", "v.m")
     return _ordered_pairs(best, percent).distinct()
@@ -280,14 +334,14 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     measured = cut_lineage(docs.mapInArrow(
-        _measure(n), "doc_id long, size long, set long, guard long, block int, counts binary"
+        _measure(n), "doc_id long, size long, set long, guard long, block int, counts binary, " + ", ".join(f"{p} long" for p in PARITY)
     ))
     counters = _frequencies(measured)
-    members = measured.where("block is null").select("doc_id", "size", "set", "guard")
+    members = measured.where("block is null").drop("block", "counts")
     names = cut_lineage(
         members.where("size > 0").groupBy("set").agg(
             F.min("doc_id").alias("doc_id"), F.min("size").alias("size"),
-            (F.min("guard") != F.max("guard")).alias("clash"),
+            (F.min("guard") != F.max("guard")).alias("clash"), *(F.min(p).alias(p) for p in PARITY),
         )
     )
     if not names.where("clash").isEmpty():
@@ -295,8 +349,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     bound = boundary(names, counters, percent)
     shared = context.broadcast(counters)
     posted = cut_lineage(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"))
-    several = posted.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key")
-    lists = cut_lineage(posted.join(several, "key", "left_semi").distinct())
+    lists = cut_lineage(_compatible(posted, percent).join(names.select("set", *PARITY), "set"))
     # The texts of one document per set that shares a list with another set.
     wanted = names.join(lists.select("set").distinct(), "set", "left_semi").select("doc_id", "set")
     texts = docs.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -308,11 +361,15 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
         new = cut_lineage(verify(_leader_pairs(placed, percent, turn % 2 == 1), sets, percent))
         links = new if links is None else links.unionByName(new)
         placed = _placed(lists, links)
-    other = placed.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"))
-    left = placed.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component")
-    rest = _ordered_pairs(
-        left.join(other, "key").where("a < b and component != other").select("a", "n", "b", "m"), percent
-    ).distinct()
+    # Linked sets share c lists, so they still meet if each leaves its c - 1 longest ones.
+    long = placed.groupBy("key").agg(F.count("*").alias("entries"))
+    order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")
+    least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST)
+    short = cut_lineage(placed.join(long, "key").withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least))
+    left = short.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component", *(F.col(p).alias(f"x{p[1:]}") for p in PARITY))
+    right = short.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"), *(F.col(p).alias(f"y{p[1:]}") for p in PARITY))
+    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link("x", "y", percent))
+    rest = _ordered_pairs(rest.select("a", "n", "b", "m"), percent).distinct()
     links = links.unionByName(cut_lineage(verify(rest, sets, percent)))
     components = connected_components(links)
     members = members.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn(
