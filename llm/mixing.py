@@ -137,17 +137,20 @@ def mix(
     return whole.unionByName(partly)
 
 
+def _first_words(text: pa.Scalar, count: int) -> str:
+    raw = text.as_buffer().to_pybytes()
+    at = next(word.end() for n, word in enumerate(_WORD.finditer(raw), 1) if n == count)
+    return raw[:at].decode()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, take in zip(batch.column("text"), batch.column("_take")):
-            raw, at = text.as_buffer().to_pybytes(), 0
-            for n, word in enumerate(_WORD.finditer(raw), 1):
-                if n == take.as_py():
-                    at = word.end()
-                    break
-            texts.append(raw[:at].decode())
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
+        place = batch.schema.get_field_index("text")
+        take, own = batch.column("_take").to_pylist(), batch.column("_tokens_own").to_pylist()
+        if take != own:
+            texts = [_first_words(x, t) if t < o else x.as_py() for x, t, o in zip(batch.column("text"), take, own)]
+            batch = batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type))
+        yield batch
 
 
 def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights, **options) -> DataFrame:
@@ -157,7 +160,6 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     follows the text.  Rows that share a doc_id, leaf and number of tokens count as copies of one document.
     """
     names = list(levels)
-    keys = [f"_{n}" for n in names] + ["_tokens"]
     taken = mix(docs, levels, weights, **options)
     # Rows with equal keys may stand in for each other, so one is drawn for all.
     taken = taken.groupBy(
@@ -175,11 +177,11 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     for n in names:
         same = same & (F.col(f"{n}_own") == F.col(f"_{n}"))
     once = rows.where("_tokens_own > 0").withColumn("_copies", F.lit(1))
-    found = once.join(taken, same).drop(*keys, "_id", "_copies", *(f"{n}_own" for n in names))
-    whole = found.where("_take = _tokens_own").select(columns)
-    partly = found.where("_take < _tokens_own").select(*columns, "_take")
-    schema = partly.schema
-    partly = partly.mapInArrow(_cut, schema).select(columns)
+    found = once.join(taken, same).select(*columns, "_take", "_tokens_own")
+    cut = found.mapInArrow(_cut, found.schema).select(columns)
     if "n_chars" in columns:
-        partly = partly.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(partly)
+        partly = F.col("_take") < F.col("_tokens_own")
+        cut = found.mapInArrow(_cut, found.schema).withColumn(
+            "n_chars", F.when(partly, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        ).select(columns)
+    return cut
