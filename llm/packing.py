@@ -26,14 +26,15 @@ from llm.words import pieces
 
 CAPACITY = 2048
 END = 1
-_KNOWN_WORDS = 200_000  # words whose ids a worker keeps; the rest are tokenized anew
+_KNOWN_WORDS = 250_000  # words and stems whose ids a worker keeps; the rest are tokenized anew
 
 
 class Tokens:
     """Ids of texts as little-endian bytes, word by word.
 
-    The tokenizer drops white space and never joins what it separates, so a text's
-    ids are those of its words, one after another.
+    The tokenizer ignores case, drops white space and never joins what it separates, so a
+    text's ids are those of its words, one after another.  Nor does it join letters and the
+    marks after them, so most words are made up of a known stem and known marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,21 +43,44 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        found = {}
+        for at in range(0, len(stems), 10_000):
+            part = stems[at : at + 10_000]
+            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            found.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, encoded))
+        return found
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            missing = list(set(words) - self.known.keys())
-        if len(self.known) + len(missing) > _KNOWN_WORDS:
-            self.known.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-        return b"".join(map(self.known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        missing = {w for w, f in zip(words, found) if f is None}
+        if missing:
+            parts = {w: _parts(w) for w in missing}
+            new = self._encode(list({p for ps in parts.values() for p in ps if p not in self.stems}))
+            if len(self.stems) < _KNOWN_WORDS:
+                self.stems.update(new)
+            new = {w: b"".join(new.get(p) or self.stems.get(p, b"") for p in ps) for w, ps in parts.items()}
+            if len(self.known) < _KNOWN_WORDS:
+                self.known.update(new)
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+        return b"".join(found)
+
+
+_MARKS = b".,;:!?%$#&*"
+
+
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """Pieces of a word that the tokenizer treats apart."""
+    if b"<|" in word:  # may be a special token, where case counts
+        return (word,)
+    word = word.lower()
+    stem = word.rstrip(_MARKS)
+    if not stem or stem == word or not stem.decode()[-1].isalpha():
+        return (word,)
+    return stem, word[len(stem) :]
 
 
 _LOADED: dict[str, Tokens] = {}
