@@ -110,11 +110,19 @@ def mix(
     without tokens takes part in no epoch.  Repeated rows are documents of their own; among
     equal places in an epoch the longer comes first.
     """
+    return _mix(_measured(docs, levels), list(levels), weights, budget, percent, epochs, seed)
+
+
+def _measured(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
     quiet_shuffles(docs.sparkSession)
-    names = list(levels)
-    rows = cut_lineage(docs.select(
+    return cut_lineage(docs.select(
         "doc_id", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), word_tokens().alias("n_tokens")
     ).where("n_tokens > 0"))
+
+
+def _mix(
+    rows: DataFrame, names: list[str], weights: Weights, budget: int | None = None, percent: int = 100, epochs: int = 4, seed: int = 7,
+) -> DataFrame:
     leaves = cut_lineage(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
@@ -160,8 +168,11 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     follows the text.  Rows that share a doc_id, leaf and number of tokens count as copies of one document.
     """
     names = list(levels)
-    taken = mix(docs, levels, weights, **options)
+    measured = _measured(docs, levels)
+    taken = _mix(measured, names, weights, **options)
     # Rows with equal keys may stand in for each other, so one is drawn for all.
+    keys = [F.col("doc_id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in names), F.col("n_tokens").alias("_tokens")]
+    repeated = cut_lineage(measured.groupBy(*keys).count().where("count > 1").drop("count"))
     taken = taken.groupBy(
         F.col("doc_id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in names), F.col("n_tokens").alias("_tokens"), "epoch"
     ).agg(F.sum("take_tokens").alias("_sum"), F.count("*").alias("_n")).withColumn(
@@ -176,7 +187,10 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tokens_own") == F.col("_tokens"))
     for n in names:
         same = same & (F.col(f"{n}_own") == F.col(f"_{n}"))
-    once = rows.where("_tokens_own > 0").withColumn("_copies", F.lit(1))
+    once = rows.where("_tokens_own > 0")
+    if not repeated.isEmpty():
+        first = once.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_tokens_own", *(f"{n}_own" for n in names)])
+        once = once.join(repeated, same, "left_anti").unionByName(first)
     found = once.join(taken, same).select(*columns, "_take", "_tokens_own")
     cut = found.mapInArrow(_cut, found.schema).select(columns)
     if "n_chars" in columns:
