@@ -215,8 +215,8 @@ def _scores(name: str, ranked: str) -> dict[str, str]:
                 / nullif(sum(1 - o.correct), 0) AS far,
             sum(CASE WHEN o.correct = 1 AND o.s < t.score THEN 1 ELSE 0 END)
                 / nullif(sum(o.correct), 0) AS frr
-            FROM (SELECT DISTINCT round(score, 6) AS score FROM out_{name}) t,
-                (SELECT round(score, 6) AS s, correct FROM out_{name}) o GROUP BY t.score""",
+            FROM (SELECT DISTINCT CAST(score AS FLOAT) AS score FROM out_{name}) t,
+                (SELECT CAST(score AS FLOAT) AS s, correct FROM out_{name}) o GROUP BY t.score""",
         f"eer_{name}": f"""SELECT coalesce((SELECT (far + frr) / 2 * 100 FROM far_{name}
             WHERE far IS NOT NULL AND frr IS NOT NULL ORDER BY abs(far - frr), score LIMIT 1), 0) AS eer""",
         f"metrics_{name}": f"""SELECT avg(correct) * 100 AS top1_accuracy, avg(hit) * 100 AS hit_k,

@@ -81,13 +81,13 @@ def macro_scores(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def equal_error_rate(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Equal error rate of accepting a top-1 result by its score.
 
-    Every distinct score is a threshold.  The one with the least gap between
+    Every distinct score, in single precision, is a threshold.  The one with the least gap between
     false acceptance and false rejection wins, the lowest on ties.  A missing
     score is below every threshold.
     """
     if not by:
         return _as_one_group(equal_error_rate, rows, ["eer"])
-    score = F.coalesce(F.round("score", 6), F.lit(float("-inf")))
+    score = F.coalesce(F.col("score").cast("float").cast("double"), F.lit(float("-inf")))
     per_score = rows.groupBy(*by, score.alias("score")).agg(
         F.sum("correct").alias("pos"), F.sum(1 - F.col("correct")).alias("neg")
     )

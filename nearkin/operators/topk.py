@@ -29,6 +29,8 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if column.null_count or widths["min"] != widths["max"]:
         raise ValueError(f"vectors differ in width: {widths['min']} to {widths['max']}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    if not np.isfinite(flat).all():
+        raise ValueError("vectors hold null or non-finite elements")
     return flat.astype(np.float64, copy=False).reshape(len(column), widths["min"])
 
 

@@ -26,11 +26,13 @@ def build_session(app: str = "nearkin", master: str | None = None, **settings: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    One is made up only where that setting is missing, as in local tests.
+    One is made up only where that setting is missing and all tasks run on this machine.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="nearkin-shared-")
         context.setCheckpointDir(named)
     return named

@@ -29,14 +29,26 @@ def dim_violations(frame: DataFrame, dim: int, key: str = "id") -> DataFrame:
     return frame.where(size != dim).select(key, size.alias("dim"))
 
 
+def bad_elements(vector):
+    """How many elements of a vector are null, NaN or infinite."""
+    return F.size(F.filter(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def require_finite(vector):
+    """The vector; fails the job that reads it at any null or non-finite element."""
+    bad = bad_elements(vector)
+    message = F.concat(F.lit("null or non-finite elements in a vector: "), bad.cast("string"))
+    return F.when(vector.isNull() | (bad == 0), vector).otherwise(F.raise_error(message))
+
+
 def require_dim(frame: DataFrame, dim: int) -> DataFrame:
-    """Fail the job that reads the rows at any vector of another width.
+    """Fail the job that reads the rows at any vector of another width or with a non-finite element.
 
-    The check rides on the scan; ``dim_violations`` lists the rows.
+    The check rides on the scan; ``dim_violations`` lists the rows of another width.
     """
     vector, size = F.col("embedding"), F.size("embedding")
     message = F.concat(F.lit(f"expected vectors of width {dim}, got "), size.cast("string"))
-    checked = F.when(vector.isNull() | (size == dim), vector).otherwise(F.raise_error(message))
+    checked = F.when(vector.isNull() | (size == dim), require_finite(vector)).otherwise(F.raise_error(message))
     return frame.withColumn("embedding", checked)
 
 
@@ -63,7 +75,7 @@ def as_probes(frame: DataFrame) -> DataFrame:
         "query_id",
         _alias(frame, LABEL_NAMES, True).cast("string").alias("speaker_id"),
         _alias(frame, PATH_NAMES, False).alias("file_path"),
-        l2_normalize(as_double(_alias(frame, VECTOR_NAMES, True))).alias("embedding"),
+        l2_normalize(require_finite(as_double(_alias(frame, VECTOR_NAMES, True)))).alias("embedding"),
     )
 
 
@@ -107,11 +119,12 @@ def read_metadata(spark: SparkSession, path: str | None) -> DataFrame:
     if header is None:
         return empty
     separator = "\t" if "\t" in header[0] else ","
-    table = spark.read.option("header", True).option("sep", separator).csv(path)
+    table = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', multiLine=True)
 
     def column(name: str):
-        # an absent column reads as unknown, an empty cell as an empty text
-        return F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in table.columns else F.lit(UNKNOWN)
+        # an absent column reads as unknown, an empty cell and an absent id as an empty text
+        absent = "" if name == METADATA_COLUMNS["id_raw"] else UNKNOWN
+        return F.coalesce(F.col(f"`{name}`"), F.lit("")) if name in table.columns else F.lit(absent)
 
     raw = table.select(
         *[column(name).alias(raw_name) for raw_name, name in METADATA_COLUMNS.items()],

@@ -48,7 +48,14 @@ def rebuild(frame: DataFrame, model: Model, table: str) -> None:
     rows = frame.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields])
     if table in PARTITIONED:
         rows = rows.hint("rebalance", PARTITIONED[table])
-    rows.write.mode("overwrite").insertInto(f"`{model.namespace}`.{table}", overwrite=True)
+    # All rows go, also those of partitions that the new ones do not have.
+    conf, mode = frame.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    conf.set(mode, "static")
+    try:
+        rows.write.mode("overwrite").insertInto(f"`{model.namespace}`.{table}", overwrite=True)
+    finally:
+        conf.set(mode, before)
 
 
 def with_absent(existing: DataFrame, new: DataFrame, key: str = "speaker_id") -> DataFrame:
@@ -57,7 +64,10 @@ def with_absent(existing: DataFrame, new: DataFrame, key: str = "speaker_id") ->
 
 
 def absent(existing: DataFrame, new: DataFrame, key: str = "speaker_id") -> DataFrame:
-    return new.join(existing.select(key), key, "left_anti")
+    """New rows whose key is not there, one for each key: the least by its other columns."""
+    rest = [c for c in new.columns if c != key]
+    once = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else new.distinct()
+    return once.select(*new.columns).join(existing.select(key), key, "left_anti")
 
 
 def insert_absent(frame: DataFrame, model: Model, table: str = "speakers") -> None:

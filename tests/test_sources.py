@@ -234,3 +234,36 @@ def test_checks_on_inputs(spark):
         profile.stage_check("serve", {}, 2)
     with pytest.raises(ValueError, match="needs the input"):
         profile.stage_check("evaluate", {}, 2)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_non_finite_vectors_are_refused(spark, bad):
+    from nearkin.operators.topk import to_matrix
+    from nearkin.sources.readers import as_probes, require_dim
+
+    frame = spark.createDataFrame([(1, "a", [1.0, bad])], "query_id long, speaker_id string, embedding array<double>")
+    for checked in (require_dim(frame, 2), as_probes(frame)):
+        with pytest.raises(Exception, match="non-finite elements in a vector: 1"):
+            checked.collect()
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="non-finite"):
+        to_matrix(pa.array([[1.0, bad]], pa.list_(pa.float64())))
+
+
+def test_only_one_row_of_a_new_key(spark):
+    from nearkin.sources.tables import with_absent
+
+    schema = "speaker_id string, gender string"
+    old, new = spark.createDataFrame([("b", "x")], schema), spark.createDataFrame([("a", "m"), ("a", "f"), ("b", "y")], schema)
+    assert sorted(map(tuple, with_absent(old, new).collect())) == [("a", "f"), ("b", "x")]
+
+
+def test_metadata_quotes_and_missing_id(spark, tmp_path):
+    from nearkin.sources.readers import read_metadata
+
+    quoted, without = tmp_path / "q.csv", tmp_path / "w.csv"
+    quoted.write_text('VoxCeleb1 ID,Gender,Nationality\nid1,m,"Say ""x"", y"\n')
+    without.write_text("Gender,Nationality\nm,X\n")
+    assert [r["nationality"] for r in read_metadata(spark, str(quoted)).collect()] == ['Say "x", y']
+    assert read_metadata(spark, str(without)).count() == 0
