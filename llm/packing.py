@@ -26,7 +26,8 @@ from llm.words import pieces
 
 CAPACITY = 2048
 END = 1
-_KNOWN_WORDS = 250_000  # words and stems whose ids a worker keeps; the rest are tokenized anew
+# Words and stems whose ids a worker keeps, about 200 bytes each; the rest are tokenized anew.
+_KNOWN_WORDS, _KNOWN_STEMS = 400_000, 400_000
 
 
 class Tokens:
@@ -53,20 +54,21 @@ class Tokens:
             found.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, encoded))
         return found
 
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        found = list(map(self.known.get, words))
-        missing = {w for w, f in zip(words, found) if f is None}
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words not yet known are tokenized in one go."""
+        words = [text.split() for text in texts]
+        found = [list(map(self.known.get, w)) for w in words]
+        missing = {w for ws, fs in zip(words, found) if None in fs for w, f in zip(ws, fs) if f is None}
         if missing:
             parts = {w: _parts(w) for w in missing}
             new = self._encode(list({p for ps in parts.values() for p in ps if p not in self.stems}))
-            if len(self.stems) < _KNOWN_WORDS:
+            if len(self.stems) < _KNOWN_STEMS:
                 self.stems.update(new)
             new = {w: b"".join(new.get(p) or self.stems.get(p, b"") for p in ps) for w, ps in parts.items()}
             if len(self.known) < _KNOWN_WORDS:
                 self.known.update(new)
-            found = [new[w] if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
+            found = [[new[w] if f is None else f for w, f in zip(ws, fs)] if None in fs else fs for ws, fs in zip(words, found)]
+        return [b"".join(f) for f in found]
 
 
 _MARKS = b".,;:!?%$#&*"
@@ -95,8 +97,9 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = []
-                for doc_id, row, text in zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), piece.column("text")):
-                    raw = memoryview(tokens.ids(text.as_buffer().to_pybytes() if text.is_valid else b"") + end)
+                found = tokens.ids([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in piece.column("text")])
+                for doc_id, row, ids in zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), found):
+                    raw = memoryview(ids + end)
                     total = len(raw) // 4
                     for start in range(0, total, capacity):
                         part = raw[4 * start : 4 * (start + capacity)]
