@@ -58,20 +58,21 @@ def _pack(pivots: np.ndarray, prefix: int, longest: float, stored: bool):
 
 
 def footrule_gains(queries: np.ndarray, rows: np.ndarray, pivots: int) -> np.ndarray:
-    """Half of what the pivots in common take off the footrule distance, for every query and row of two blocks."""
-    prefix = rows.shape[1]
+    """Half of what the pivots in common take off the footrule distance, for every query and row of two blocks.
 
-    def posted(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(places.ravel(), kind="stable")
-        cuts = np.searchsorted(places.ravel()[order], np.arange(pivots + 1))
-        return order // prefix, (prefix - order % prefix).astype(np.int32), cuts
-
-    (q, qw, qc), (r, rw, rc) = posted(queries), posted(rows)
-    gains = np.zeros((len(queries), len(rows)), dtype=np.int32)
-    for p in range(pivots):
-        a, b = slice(qc[p], qc[p + 1]), slice(rc[p], rc[p + 1])
-        if a.start < a.stop and b.start < b.stop:
-            gains[np.ix_(q[a], r[b])] += np.minimum.outer(qw[a], rw[b])
+    A pivot's list holds for each row of the block ``prefix`` less its place, or 0 if the row is
+    not posted there; a query adds up the lists of its own pivots.
+    """
+    prefix = rows.shape[1]
+    weights = np.arange(prefix, 0, -1).astype(np.uint16)
+    kind = np.uint16 if prefix * (prefix + 1) // 2 < 1 << 16 else np.uint32
+    lists = np.zeros((pivots, len(rows)), dtype=kind)
+    lists[rows.ravel(), np.repeat(np.arange(len(rows)), prefix)] = np.tile(weights, len(rows))
+    gains = np.empty((len(queries), len(rows)), dtype=kind)
+    for q, places in enumerate(queries):
+        own = lists[places]
+        np.minimum(own, weights[:, None], out=own)
+        np.add.reduce(own, axis=0, out=gains[q])
     return gains
 
 
@@ -83,6 +84,20 @@ def _best(hits: np.ndarray, k: int) -> np.ndarray:
     return hits[np.arange(len(hits)) - start < k]
 
 
+def measured_rows(
+    queries: np.ndarray, rows: np.ndarray, near: np.ndarray, valid: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of queries and rows to measure exactly: all but near rows that rounding cannot bring among the k best."""
+    products = np.where(valid, np.take_along_axis(queries @ rows.T, near, axis=1), -np.inf)
+    least = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] > k else np.full(len(queries), -np.inf)
+    lengths = np.sqrt((queries**2).sum(axis=1)) * np.sqrt((rows**2).sum(axis=1).max())
+    slack = 4 * rows.shape[1] * np.finfo(np.float64).eps * lengths
+    floor = least - slack
+    floor[~np.isfinite(floor)] = -np.inf
+    q, at = np.nonzero(valid & (products >= floor[:, None]))
+    return q, near[q, at]
+
+
 def _search(pivots: int, prefix: int, k: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +110,11 @@ def _search(pivots: int, prefix: int, k: int, share: float):
                 wanted = min(len(rid), max(2 * k + 1, int(np.ceil(share * len(rid)))))
                 rank = gains * len(rid) + np.arange(len(rid))[::-1]  # rows lie in order of id
                 near = np.argpartition(-rank, wanted - 1, axis=1)[:, :wanted] if wanted < len(rid) else np.tile(np.arange(len(rid)), (len(qid), 1))
-                found = []
-                for q in range(len(qid)):
-                    c = near[q][rid[near[q]] != qid[q]]
-                    hits = np.empty(len(c), dtype=_HIT)
-                    hits["query"], hits["id"], hits["score"] = qid[q], rid[c], (rv[c] * qv[q]).sum(axis=1)
-                    found.append(_best(hits, k))
+                q, r = measured_rows(qv, rv, near, rid[near] != qid[:, None], k)
+                hits = np.empty(len(q), dtype=_HIT)
+                hits["query"], hits["id"], hits["score"] = qid[q], rid[r], (rv[r] * qv[q]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["q_block"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([np.concatenate(found).tobytes()], pa.binary())],
+                    [pa.array([row["q_block"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_best(hits, k).tobytes()], pa.binary())],
                     ["q_block", "block", "hits"],
                 )
 
