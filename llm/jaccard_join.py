@@ -15,8 +15,8 @@ members, so the number ``t`` of members they must share is fixed by ``n`` and ``
 * The boundary minimises subsets to enumerate plus list entries to scan, from the
   counts of all sets by size and the frequencies of all n-grams.
 
-Rarity comes from one array of counters over all n-grams of all documents (fixed
-size, so it may be broadcast); it only orders n-grams and cannot lose a link.
+Rarity comes from one array of counters over all n-grams of all documents (of fixed
+size, four megabytes, so it may be broadcast); it only orders n-grams and cannot lose a link.
 
 Lists are not turned into pairs.  Each set is first compared with the one set that
 most of its lists name as their leader, which contracts groups of copies; after
@@ -121,14 +121,14 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 def _measure(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows, bits = [], []
                 for grams in gram_sets(split_words(piece.column("text"), lower=True), n):
                     rows.append((len(grams), *set_names(grams)))
                     bits.append(parity(grams))
-                    np.add.at(counters, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+                    np.add.at(counters, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
                 size, name, guard = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
@@ -139,42 +139,67 @@ def _measure(n: int):
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(used, pa.int32()), pa.array([blocks[i].astype("<i8").tobytes() for i in used], pa.binary()), *[none] * 8],
+            [none, none, none, none, pa.array(used, pa.int32()), pa.array([_sparse(blocks[i]) for i in used], pa.binary()), *[none] * 8],
             MEASURED,
         )
 
     return run
 
 
-def _add_blocks(
-    key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]
-) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+def _sparse(counts: np.ndarray) -> bytes:
+    """The places of a block's counts other than zero, two bytes each, and then these counts, eight bytes each."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<u8").tobytes()
+
+
+def _added(parts: Iterator[pa.RecordBatch]) -> np.ndarray:
+    total = np.zeros(1 << BLOCK_BITS, dtype=np.uint64)
     for part in parts:
         for raw in part.column("counts"):
-            total += np.frombuffer(raw.as_buffer(), dtype="<i8")
-    packed = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
+            n = len(raw.as_buffer()) // 10
+            total[np.frombuffer(raw.as_buffer(), "<u2", n)] += np.frombuffer(raw.as_buffer(), "<u8", n, 2 * n)
+    return total
+
+
+def _add_some(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([_sparse(_added(parts))], pa.binary())], ["block", "counts"]
+    )
+
+
+def _rank_block(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = _added(parts).astype(np.float64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"]
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([how_often(total).tobytes()], pa.binary()),
+         pa.array([total.sum()]), pa.array([(total**2).sum()])],
+        ["block", "often", "total", "squares"],
     )
 
 
-def _frequencies(measured: DataFrame) -> np.ndarray:
-    """The counters over all documents: at most 2**22 numbers of four bytes."""
+def how_often(counts: np.ndarray) -> np.ndarray:
+    """A byte that grows with the count, eight steps for each doubling."""
+    return np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
+
+
+def _frequencies(measured: DataFrame) -> tuple[np.ndarray, float]:
+    """How often n-grams occur, a byte for each of 2**22 counters over all documents, and the entries seen per entry posted."""
+    slot = F.pmod(F.spark_partition_id(), F.lit(64)).alias("slot")
     parts = (
-        measured.where("block is not null").select("block", "counts")
-        .groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
+        measured.where("block is not null").select("block", slot, "counts")
+        .groupBy("block", "slot").applyInArrow(_add_some, "block int, counts binary")
+        .groupBy("block").applyInArrow(_rank_block, "block int, often binary, total double, squares double").collect()
     )
-    counters = np.zeros((1 << (COUNTER_BITS - BLOCK_BITS), 1 << BLOCK_BITS), dtype=np.uint32)
+    often = np.zeros((1 << (COUNTER_BITS - BLOCK_BITS), 1 << BLOCK_BITS), dtype=np.uint8)
     for r in parts:
-        counters[r["block"]] = np.frombuffer(r["counts"], dtype="<u4")
-    return counters.ravel()
+        often[r["block"]] = np.frombuffer(r["often"], dtype=np.uint8)
+    total = sum(r["total"] for r in parts) or 1.0
+    return often.ravel(), 1 + max(0.0, sum(r["squares"] for r in parts) / total - 1 - total / often.size)
 
 
-def boundary(sizes: DataFrame, counters: np.ndarray, percent: int) -> int:
+def boundary(sizes: DataFrame, scanned: float, percent: int) -> int:
     """The size up to which enumerating subsets is cheaper than scanning lists.
 
-    ``sizes`` has one row per distinct set; at most ``LARGEST_BOUNDARY + 1`` counts reach the driver.
+    ``sizes`` has one row per distinct set, ``scanned`` is the entries seen per entry posted; at most ``LARGEST_BOUNDARY + 1`` counts reach the driver.
     """
     rows = (
         sizes.select(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("s"), "size")
@@ -182,9 +207,6 @@ def boundary(sizes: DataFrame, counters: np.ndarray, percent: int) -> int:
         .collect()
     )
     number, entries = {r["s"]: r["c"] for r in rows}, {r["s"]: r["p"] for r in rows}
-    weight = counters.astype(np.float64)
-    total = weight.sum() or 1.0
-    scanned = 1 + max(0.0, (weight**2).sum() / total - 1 - total / len(weight))  # entries seen per entry posted
 
     def cost(x: int) -> float:
         light = sum(number.get(n, 0) * sum(comb(n, t) for t in subset_sizes(n, percent)) for n in range(1, x + 1))
@@ -197,7 +219,7 @@ def _post(n: int, percent: int, bound: int, shared):
     least_listed = (bound + 1) * percent // 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = shared.value
+        rarity = shared.value
         for batch in batches:
             for piece in pieces(batch, "text"):
                 keys, names, sizes, seen = [], [], [], set()
@@ -208,7 +230,7 @@ def _post(n: int, percent: int, bound: int, shared):
                     seen.add(name)
                     own = []
                     if size >= least_listed:
-                        often = counters[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                        often = rarity[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                         own.append(grams[np.lexsort((grams, often))[: kept_prefix(size, percent)]])
                     if size <= bound:
                         for t in subset_sizes(size, percent):
@@ -336,7 +358,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     measured = cut_lineage(docs.mapInArrow(
         _measure(n), "doc_id long, size long, set long, guard long, block int, counts binary, " + ", ".join(f"{p} long" for p in PARITY)
     ))
-    counters = _frequencies(measured)
+    often, scanned = _frequencies(measured)
     members = measured.where("block is null").drop("block", "counts")
     names = cut_lineage(
         members.where("size > 0").groupBy("set").agg(
@@ -346,9 +368,10 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     )
     if not names.where("clash").isEmpty():
         raise ValueError("two different sets have one 64-bit name; choose other seeds")
-    bound = boundary(names, counters, percent)
-    shared = context.broadcast(counters)
+    bound = boundary(names, scanned, percent)
+    shared = context.broadcast(often)
     posted = cut_lineage(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"))
+    shared.destroy()
     lists = cut_lineage(_compatible(posted, percent).join(names.select("set", *PARITY), "set"))
     # The texts of one document per set that shares a list with another set.
     wanted = names.join(lists.select("set").distinct(), "set", "left_semi").select("doc_id", "set")
