@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+import llm.jaccard_join as jaccard_join
+import llm.permutation_index as permutation_index
 import llm.substring_dedup as substring_dedup
 from llm.block_naming import drop_duplicates, exact_duplicates
 from llm.common import connected_components
@@ -312,3 +315,28 @@ def test_queries(spark, name):
         assert names == sorted(want.column_names)
         as_rows = lambda t: sorted(map(repr, zip(*[t.column(n).to_pylist() for n in names])))
         assert as_rows(got) == as_rows(want)
+
+
+def test_footrule_gains_and_measured_rows():
+    draw = np.random.default_rng(5)
+    queries, rows = (np.argsort(draw.random((n, 32)), axis=1)[:, :12].astype(np.uint16) for n in (7, 40))
+    gains = permutation_index.footrule_gains(queries, rows, 32)
+    for q, r in product(range(7), range(40)):
+        places = {p: j for j, p in enumerate(rows[r])}
+        assert gains[q, r] == sum(12 - max(i, places[p]) for i, p in enumerate(queries[q]) if p in places)
+    qv, rv = draw.integers(-2, 3, (7, 4)).astype(float), draw.integers(-2, 3, (40, 4)).astype(float)
+    near = np.tile(np.arange(40), (7, 1))
+    valid = draw.random((7, 40)) < 0.8
+    q, r = permutation_index.measured_rows(qv, rv, near, valid, 5)
+    for i in range(7):
+        scores = np.where(valid[i], rv @ qv[i], -np.inf)
+        assert set(r[q == i]) == {j for j in range(40) if valid[i, j] and scores[j] >= np.sort(scores)[-5]}
+
+
+def test_rarity_counters_add_up():
+    draw = np.random.default_rng(6)
+    parts = [np.where(draw.random(1 << 16) < p, draw.integers(1, 9, 1 << 16), 0).astype(np.uint32) for p in (0.001, 0.6)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([jaccard_join._sparse(p)], pa.binary())], ["counts"]) for p in parts]
+    assert (jaccard_join._added(iter(batches)) == sum(parts)).all()
+    often = jaccard_join.how_often(np.array([0.0, 1, 2, 3, 1000, 2.0**63]))
+    assert often[0] == 0 and often[-1] == 255 and (np.diff(often.astype(int)) > 0).all()
