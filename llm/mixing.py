@@ -46,9 +46,8 @@ def _fill(nodes: DataFrame, parents: list[str], label: str) -> DataFrame:
     big = "cast({} as decimal(20,0))".format
     group = Window.partitionBy(*parents)
     order = group.orderBy("ratio", label)
-    nodes = nodes.where("weight > 0").withColumn(
-        "ratio", F.expr("cast(capacity as decimal(38,0)) * 1000000000000 div weight")
-    )
+    # A decimal with 18 places cannot wrap as div does, and tells ratios of weights below 10**9 apart.
+    nodes = nodes.where("weight > 0").withColumn("ratio", F.expr(f"{big('capacity')} / {big('weight')}"))
     nodes = nodes.withColumns({
         "before": F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "open": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)),
@@ -85,6 +84,8 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Weights, budget: int,
     ``weights`` gives positive whole numbers to nodes by path, and 0 to leave a node out.
     A budget beyond what all leaves hold is cut to that.
     """
+    if any(not 0 <= w < 10**9 for w in weights.values()):
+        raise ValueError("weights must be whole numbers from 0 to 10**9 - 1")
     leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
     for depth in range(1, len(levels) + 1):  # a node of weight 0 offers nothing
         leaves = leaves.withColumn("capacity", F.when(_weights(leaves, levels[:depth], weights) > 0, F.col("capacity")).otherwise(0))

@@ -26,7 +26,7 @@ from llm.html_text import extract, main_text
 from llm.jaccard_join import keep_first, near_duplicates, parity, shared_needed
 from llm.language import identify
 from llm.license_scan import scan
-from llm.mixing import mix, mixed_documents
+from llm.mixing import budgets, mix, mixed_documents
 from llm.packing import Tokens, first_fit_decreasing, pack
 from llm.permutation_index import nearest
 from llm.queries import QUERIES, RULES, SQL, WEIGHTS, source_levels
@@ -211,6 +211,38 @@ def test_mixing_shortage_goes_to_siblings_first(spark):
     assert dict(map(tuple, got)) == {"p": 20, "q": 200}
 
 
+def brute_shares(nodes, budget):
+    """``nodes``: name -> (weight, capacity); shares by filling up, in whole numbers of any size."""
+    share, left = {}, min(budget, sum(c for w, c in nodes.values() if w))
+    open_ = {n for n, (w, _) in nodes.items() if w}
+    while full := {n for n in open_ if nodes[n][1] * sum(nodes[m][0] for m in open_) <= nodes[n][0] * left}:
+        share |= {n: nodes[n][1] for n in full}
+        left -= sum(nodes[n][1] for n in full)
+        open_ -= full
+    total = sum(nodes[n][0] for n in open_)
+    share |= {n: nodes[n][0] * left // total for n in open_}
+    odd = left - sum(share[n] for n in open_)
+    return share | {n: share[n] + 1 for n in sorted(open_)[:odd]}
+
+
+@pytest.mark.parametrize("most", [10**7, 10**8, 10**9, 10**10])
+def test_mixing_budgets_of_large_leaves(spark, most):
+    draw = np.random.default_rng(most)
+    tokens = {(d, s): int(most * draw.random() ** 4) + 1 for d in "abc" for s in "pqrstu"}
+    weights = {("a",): 5, ("b",): 3, ("c",): 2, ("a", "p"): 9, ("a", "q"): 2, ("b", "r"): 7, ("c", "u"): 3}
+    capacity = {leaf: 4 * n for leaf, n in tokens.items()}
+    leaves = spark.createDataFrame([(*leaf, n) for leaf, n in tokens.items()], "domain string, origin string, tokens long")
+    for percent in (30, 100, 300):
+        budget = sum(tokens.values()) * percent // 100
+        domains = {d: (weights[d,], sum(c for leaf, c in capacity.items() if leaf[0] == d)) for d in "abc"}
+        want = {
+            (d, s): n for d, own in brute_shares(domains, budget).items()
+            for s, n in brute_shares({s: (weights.get((d, s), 1), capacity[d, s]) for s in "pqrstu"}, own).items()
+        }
+        got = {(r.domain, r.origin): r.budget for r in budgets(leaves, ["domain", "origin"], weights, budget, 4).collect()}
+        assert got == want and all(got[leaf] <= capacity[leaf] for leaf in got) and sum(got.values()) == budget
+
+
 def test_license_scan(spark, docs):
     cases = [(1, "all rights reserved. ALL RIGHTS, reserved cc by-nc"), (2, None), (3, "Licensed under the nice Apache License, Version 2.0"),
              (4, "rights reserved all"), (5, "the general public license")]
