@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.session import cut_lineage
 
-__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "block_rows", "add_blocks"]
+__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "text_digest", "block_rows", "add_blocks"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def input_bytes(frame: DataFrame, column: str) -> int:
     return frame.select(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of a text, which tells apart rows with one doc_id; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import connected_components, cut_lineage, quiet_shuffles, signed
+from llm.common import connected_components, cut_lineage, quiet_shuffles, signed, text_digest
 from llm.words import Words, mix, pieces, split_words
 
 COUNTER_BITS, BLOCK_BITS = 22, 16
@@ -47,7 +47,7 @@ LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
 LEADER_ROUNDS = 2
 GRAMS_PER_LIST = 50
 PARITY = [f"p{i}" for i in range(8)]
-MEASURED = ["doc_id", "size", "set", "guard", "block", "counts", *PARITY]
+MEASURED = ["doc_id", "digest", "size", "set", "guard", "block", "counts", *PARITY]
 
 _SEEDS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -131,7 +131,7 @@ def _measure(n: int):
                     np.add.at(counters, (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
                 size, name, guard = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
+                    [piece.column("doc_id"), piece.column("digest"), pa.array(size, pa.int64()), pa.array(name, pa.int64()),
                      pa.array(guard, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary()), *map(pa.array, np.array(bits).T)],
                     MEASURED,
                 )
@@ -139,7 +139,7 @@ def _measure(n: int):
         used = np.flatnonzero(blocks.any(axis=1))
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(used, pa.int32()), pa.array([_sparse(blocks[i]) for i in used], pa.binary()), *[none] * 8],
+            [none, pa.nulls(len(used), pa.binary()), none, none, none, pa.array(used, pa.int32()), pa.array([_sparse(blocks[i]) for i in used], pa.binary()), *[none] * 8],
             MEASURED,
         )
 
@@ -346,17 +346,18 @@ def _leader_pairs(placed: DataFrame, percent: int, last: bool) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """``members`` (doc_id, size, set, component) and ``links`` (a, b, both, n, m) that connect the sets.
+    """``members`` (doc_id, digest, size, set, component) and ``links`` (a, b, both, n, m) that connect the sets.
 
     ``component`` is the smallest set name reachable by links.  The links connect every
     component fully; links inside a component that was already connected are not repeated.
     A null or empty text has the empty set, size 0, and is linked with nothing.
+    ``digest`` tells apart the texts of rows with one doc_id.
     """
     quiet_shuffles(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    measured = cut_lineage(docs.mapInArrow(
-        _measure(n), "doc_id long, size long, set long, guard long, block int, counts binary, " + ", ".join(f"{p} long" for p in PARITY)
+    measured = cut_lineage(docs.withColumn("digest", text_digest()).mapInArrow(
+        _measure(n), "doc_id long, digest binary, size long, set long, guard long, block int, counts binary, " + ", ".join(f"{p} long" for p in PARITY)
     ))
     often, scanned = _frequencies(measured)
     members = measured.where("block is null").drop("block", "counts")
@@ -398,7 +399,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     members = members.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.when(F.col("size") > 0, F.coalesce("component", "set"))
     )
-    return members.select("doc_id", "size", "set", "component"), links
+    return members.select("doc_id", "digest", "size", "set", "component"), links
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -417,12 +418,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without those that are linked to one of a smaller doc_id.
+    """The documents, all columns, with one text of each component: of the smallest doc_id, nulls last.
 
-    Texts without words are all kept, and so is every row of the doc_id that stays.
+    Of several texts with that id the one of the smallest digest stays.  Rows are told apart by
+    doc_id and text, so repeated rows of the text that stays are all kept, as are texts without words.
     """
-    found = near_duplicates(docs, n, percent)
-    drop = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select(
-        F.col("doc_id").alias("_drop")
-    ).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
+    members, _ = similar_sets(docs, n, percent)
+    members = cut_lineage(members.where("size > 0").select("component", "doc_id", "digest"))
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    drop = members.join(first, "component").where(~stays).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    return docs.withColumn("_own", text_digest()).join(drop, same, "left_anti").drop("_own")

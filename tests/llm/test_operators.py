@@ -115,6 +115,17 @@ def test_near_duplicates(docs, n, percent):
     assert kept == Counter(r[0] for r, c in zip(rows, label) if rows[c][0] == r[0])
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = "{} more".format
+    rows = [(1, a), (None, near(a)), (None, "a text of its own"), (None, b), (None, near(b)), (None, near(near(b))),
+            (5, c), (5, "another text of five"), (4, near(c)), (6, d), (6, near(d)), (None, None), (None, "")]
+    kept = Counter(map(tuple, keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+    sure = [(1, a), (None, "a text of its own"), (5, "another text of five"), (4, near(c)), (None, None), (None, "")]
+    assert all(kept.pop(r) == 1 for r in sure)
+    assert sorted(kept.values()) == [1, 1] and len(kept.keys() & set(rows[3:6])) == len(kept.keys() & set(rows[9:11])) == 1
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 @settings(max_examples=50, deadline=None)
 def test_parity_never_exceeds_the_difference(a, b):
