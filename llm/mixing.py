@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import cut_lineage, quiet_shuffles
+from llm.common import cut_lineage, quiet_shuffles, text_digest
 from nearkin.operators.order import totals_before
 
 Weights = Mapping[tuple[str, ...], int]
@@ -114,16 +114,18 @@ def mix(
     return _mix(_measured(docs, levels), list(levels), weights, budget, percent, epochs, seed)
 
 
-def _measured(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
+def _measured(docs: DataFrame, levels: dict[str, Column], *more: Column) -> DataFrame:
     quiet_shuffles(docs.sparkSession)
     return cut_lineage(docs.select(
-        "doc_id", *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), word_tokens().alias("n_tokens")
+        "doc_id", *more, *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), word_tokens().alias("n_tokens")
     ).where("n_tokens > 0"))
 
 
 def _mix(
     rows: DataFrame, names: list[str], weights: Weights, budget: int | None = None, percent: int = 100, epochs: int = 4, seed: int = 7,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
+    """The mixture of measured rows; the columns ``more`` go with a row and break ties of its place in an epoch."""
     leaves = cut_lineage(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
@@ -134,13 +136,13 @@ def _mix(
     )
     drawn = rows.join(given, names)
     whole = drawn.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).select(
-        "doc_id", *names, "n_tokens", "epoch", F.col("n_tokens").alias("take_tokens")
+        "doc_id", *more, *names, "n_tokens", "epoch", F.col("n_tokens").alias("take_tokens")
     )
     place = F.md5(F.concat_ws("-", F.lit(seed), "full", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    ordered = drawn.where("rest > 0").withColumn("place", F.concat(place, F.format_string("%012d", F.lit(10**12 - 1) - F.col("n_tokens"))))
+    ordered = drawn.where("rest > 0").withColumn("place", F.concat(place, F.format_string("%012d", F.lit(10**12 - 1) - F.col("n_tokens")), *(F.hex(m) for m in more)))
     partly = (
         totals_before(ordered, "place", ["n_tokens"], tuple(names)).where("n_tokens_before < rest")
-        .select("doc_id", *names, "n_tokens", F.col("full").alias("epoch"),
+        .select("doc_id", *more, *names, "n_tokens", F.col("full").alias("epoch"),
                 F.least("n_tokens", F.col("rest") - F.col("n_tokens_before")).alias("take_tokens"))
     )
     return whole.unionByName(partly)
@@ -166,31 +168,33 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     """The mixture as documents, all columns, one row per document and epoch.
 
     The last document of a leaf's epoch is cut after its last token; a column n_chars then
-    follows the text.  Rows that share a doc_id, leaf and number of tokens count as copies of one document.
+    follows the text.  Rows that share a doc_id, a leaf and their text count as copies of one document.
     """
     names = list(levels)
-    measured = _measured(docs, levels)
-    taken = _mix(measured, names, weights, **options)
-    # Rows with equal keys may stand in for each other, so one is drawn for all.
-    keys = [F.col("doc_id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in names), F.col("n_tokens").alias("_tokens")]
+    measured = _measured(docs, levels, text_digest().alias("digest"))
+    taken = _mix(measured, names, weights, more=("digest",), **options)
+    # Rows with equal keys have equal texts and may stand in for each other, so one is drawn for all.
+    keys = [
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), *(F.col(n).alias(f"_{n}") for n in names),
+        F.col("n_tokens").alias("_tokens"),
+    ]
     repeated = cut_lineage(measured.groupBy(*keys).count().where("count > 1").drop("count"))
-    taken = taken.groupBy(
-        F.col("doc_id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in names), F.col("n_tokens").alias("_tokens"), "epoch"
-    ).agg(F.sum("take_tokens").alias("_sum"), F.count("*").alias("_n")).withColumn(
+    taken = taken.groupBy(*keys, "epoch").agg(F.sum("take_tokens").alias("_sum"), F.count("*").alias("_n")).withColumn(
         "_take", F.explode(F.expr(
             "transform(sequence(1, cast(_n as int)), i -> greatest(0, least(_tokens, _sum - (i - 1) * _tokens)))"
         ))
     ).where("_take > 0").drop("_sum", "_n", "epoch")
     columns = docs.columns
     rows = docs.withColumns(
-        {f"{n}_own": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()} | {"_tokens_own": word_tokens()}
+        {f"{n}_own": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()}
+        | {"_tokens_own": word_tokens(), "_digest_own": text_digest()}
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tokens_own") == F.col("_tokens"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_own") == F.col("_digest")) & (F.col("_tokens_own") == F.col("_tokens"))
     for n in names:
         same = same & (F.col(f"{n}_own") == F.col(f"_{n}"))
     once = rows.where("_tokens_own > 0")
     if not repeated.isEmpty():
-        first = once.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_tokens_own", *(f"{n}_own" for n in names)])
+        first = once.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest_own", "_tokens_own", *(f"{n}_own" for n in names)])
         once = once.join(repeated, same, "left_anti").unionByName(first)
     found = once.join(taken, same).select(*columns, "_take", "_tokens_own")
     cut = found.mapInArrow(_cut, found.schema).select(columns)

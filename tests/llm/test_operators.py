@@ -222,6 +222,15 @@ def test_mixing_shortage_goes_to_siblings_first(spark):
     assert dict(map(tuple, got)) == {"p": 20, "q": 200}
 
 
+def test_mixed_documents_keep_different_texts_apart(spark):
+    rows = [(None, f"t{i} of five words here", "en", "src1") for i in range(8)]
+    rows += [(3, "one two", "en", "src2"), (3, "two three", "en", "src2"), (3, "two three", "en", "src2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    levels = {"language": F.col("lang"), "origin": F.col("source")}
+    got = mixed_documents(frame, levels, {}, budget=2 * 46, epochs=2)
+    assert Counter(map(tuple, got.collect())) == Counter(rows * 2)
+
+
 def brute_shares(nodes, budget):
     """``nodes``: name -> (weight, capacity); shares by filling up, in whole numbers of any size."""
     share, left = {}, min(budget, sum(c for w, c in nodes.values() if w))
