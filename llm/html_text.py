@@ -27,9 +27,17 @@ from pyspark.sql import DataFrame
 from llm.words import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-OUTSIDE = frozenset("nav header footer aside form button select dialog menu object audio video canvas head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
+OUTSIDE = frozenset("nav header footer aside form button select dialog menu object audio video canvas head svg".split())
+FOREIGN = frozenset(("svg", "math"))  # in these a tag that ends in a slash is empty, whatever its name
+HTML_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+LEAVES_FOREIGN = frozenset(  # these cannot stand in an svg or math, which ends where they start
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small span strong strike sub sup "
+    "table tt u ul var".split()
+)
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr "
+                   "math annotation annotation-xml maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom "
+                   "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 CLOSES = {  # an opening tag ends these open elements, up to the element after the colon
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -76,7 +84,7 @@ def parse(page: str) -> Element:
     """The tree below the body, without the elements that are left out."""
     body = Element("body", None)
     open_: list[tuple[Element, bool]] = [(body, False)]  # with each element, whether it is left out
-    at, tags = 0, _TAG
+    at, tags, foreign = 0, _TAG, False  # whether the page has an svg or math
     while True:
         lt = page.find("<", at)
         here, skipped = open_[-1]
@@ -108,13 +116,23 @@ def parse(page: str) -> Element:
             if place and not (tag in INLINE and any(e.tag in BOUNDARY for e, _ in open_[place + 1 :])):
                 del open_[place:]
             continue
-        if tag in RAW:
+        inside = False
+        if foreign:
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0].tag in FOREIGN:
+                    inside = tag not in LEAVES_FOREIGN
+                    if not inside:
+                        del open_[i:]
+                    break
+                if open_[i][0].tag in HTML_IN_FOREIGN:
+                    break
+        if tag in RAW and not (inside and found[3].endswith("/")):
             end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in ("html", "body"):
             continue
-        if tag not in INLINE:  # a block ends an open paragraph with what stands in it
+        if tag not in INLINE and not inside:  # a block ends an open paragraph with what stands in it
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i][0].tag == "p":
                     del open_[i:]
@@ -129,6 +147,7 @@ def parse(page: str) -> Element:
                 if open_[i][0].tag in ended:
                     del open_[i:]
                     break
+        foreign = foreign or tag in FOREIGN
         here, skipped = open_[-1]
         element = Element(tag, here)
         skipped = skipped or _outside(tag, found[3])

@@ -304,6 +304,14 @@ def test_html_text(spark):
     assert [(r.page_id, r.n_chars) for r in got] == [(1, len(main_text(page))), (2, 0)]
 
 
+def test_html_text_around_icons_and_formulas():
+    icon = '<svg class="i"/>'
+    page = f"""<body><div>{icon}<a href=x>home</a></div><article><h1>{icon}Title</h1><p>Before {icon}after, and <math/>then
+      <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>Last <svg><title/><style/><path d="M0"/><text>drawn</text></svg>words.</p></article>"""
+    assert main_text(page) == "Title\nBefore after, and then x=2 holds.\nLast words."
+    assert main_text("<p>one <svg><path>two</p><p>three") == "one\nthree"
+
+
 def test_nearest(spark):
     frame = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
     rows = frame.collect()
