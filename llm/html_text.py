@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree of elements.  Elements that never hold an article's text (menus,
-scripts, forms and the like, by tag or by a word in class or id) are left out.  The
+scripts, forms and the like, by tag, role or a whole word of class or id) are left out; one
+that is only named so stays if it holds an article, a main part or most of the text.  The
 density of an element is its characters per tag, adjusted for its links: with C characters,
 T tags, LC link characters and LT link tags, inside a body whose share of link characters is s,
 
@@ -44,12 +45,13 @@ CLOSES = {  # an opening tag ends these open elements, up to the element after t
     "option": ({"option"}, {"select"}),
 }
 BOUNDARY = frozenset("body article section div main table td th ul ol dl li blockquote figure details fieldset".split())
-NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|footer|masthead|site-header|page-header|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|widget|pagination|pager|toolbar|"
-    r"disclaimer|copyright|legal|skip-link)(?:$|[\s_-])"
+NAMES = frozenset(  # whole words of a class, or an id
+    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer masthead site-header page-header cookie cookies consent notice notices alert popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies reply widget "
+    "pagination pager toolbar disclaimer copyright legal skip-link".split()
 )
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # their ids come from their own words
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--|[!?])")
 _PLAIN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|!--|[!?])")
@@ -57,31 +59,35 @@ _ATTRIBUTE = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden|style)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "named")
 
-    def __init__(self, tag: str, parent: Element | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, named: bool = False) -> None:
+        self.tag, self.parent, self.named = tag, parent, named
         self.parts: list[Element | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _outside(tag: str, attributes: str) -> bool:
+def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether it is named like those that hold no article."""
     if tag in OUTSIDE:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, False
+    named = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES:
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, False
+        if name == "class" or name == "id" and tag not in SLUGS:
+            named = named or not NAMES.isdisjoint(value.lower().split())
+        elif name == "role":
+            named = named or value.lower() in ROLES
+    return False, named
 
 
 def parse(page: str) -> Element:
-    """The tree below the body, without the elements that are left out."""
+    """The tree below the body, without the elements that are left out; those only named so are marked."""
     body = Element("body", None)
     open_: list[tuple[Element, bool]] = [(body, False)]  # with each element, whether it is left out
     at, tags, foreign = 0, _TAG, False  # whether the page has an svg or math
@@ -149,27 +155,43 @@ def parse(page: str) -> Element:
                     break
         foreign = foreign or tag in FOREIGN
         here, skipped = open_[-1]
-        element = Element(tag, here)
-        skipped = skipped or _outside(tag, found[3])
+        outside, named = (True, False) if skipped else _outside(tag, found[3])
+        skipped, element = outside, Element(tag, here, named)
         if not skipped:
             here.parts.append(element)
         if tag not in VOID and not found[3].endswith("/"):
             open_.append((element, skipped))
 
 
-def _elements(body: Element) -> list[Element]:
-    """All elements, each before what stands in it."""
+def _below(body: Element) -> list[Element]:
     found = [body]
     for element in found:
         found.extend(p for p in element.parts if isinstance(p, Element))
     return found
 
 
+def _elements(body: Element) -> list[Element]:
+    """All elements, each before what stands in it; those named like no article go if they hold little."""
+    found = _below(body)
+    for e in found:
+        e.own = sum(len(" ".join(html.unescape(p).split())) for p in e.parts if isinstance(p, str))
+    if not any(e.named for e in found):
+        return found
+    chars, holds = {id(e): e.own for e in found}, set()
+    for e in reversed(found[1:]):
+        chars[id(e.parent)] += chars[id(e)]
+        if e.tag in ("article", "main") or id(e) in holds:
+            holds.add(id(e.parent))
+    gone = {id(e) for e in found if e.named and id(e) not in holds and 2 * chars[id(e)] <= chars[id(body)]}
+    for e in found:
+        e.parts = [p for p in e.parts if id(p) not in gone]
+    return _below(body)
+
+
 def measure(elements: list[Element]) -> None:
     """Fill in counts, densities and sums of child densities."""
     for e in reversed(elements):
-        own = sum(len(" ".join(html.unescape(p).split())) for p in e.parts if isinstance(p, str))
-        e.chars += own
+        e.chars += e.own
         if e.tag == "a":
             e.link_chars, e.link_tags = e.chars, e.link_tags + 1
         if e.parent is not None:

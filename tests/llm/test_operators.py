@@ -312,6 +312,18 @@ def test_html_text_around_icons_and_formulas():
     assert main_text("<p>one <svg><path>two</p><p>three") == "one\nthree"
 
 
+def test_html_text_below_names_that_only_resemble():
+    body = "<p>A paragraph of some length that says what the article is about, and more of it.</p>" * 3
+    want = "\n".join(["A paragraph of some length that says what the article is about, and more of it."] * 3)
+    for name in ("site has-sidebar", "content-sidebar-wrap", "no-sidebar", "post-content share-enabled", "sidebar", "widget"):
+        assert main_text(f'<body><div class="{name}"><div class="menu">menu</div>{body}</div></body>') == want
+    page = f"""<body><div class="overlay"><article><h2 id="related">Related</h2>{body}<section id="related-work"><h3 id="legal-history">Law</h3></section>
+      <p id="notice">A notice.</p><div class="Share x">tweet</div><div id="comments">first!</div></article></div><div class="big">{"<p>other</p>" * 9}</div></body>"""
+    assert main_text(page) == f"Related\n{want}\nLaw\nA notice."
+    little = f'<body><div><div class="sidebar"><article><p>{body}</p></article></div><p>{"long " * 200}</p></div></body>'
+    assert want in main_text(little)
+
+
 def test_nearest(spark):
     frame = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
     rows = frame.collect()
