@@ -25,7 +25,7 @@ from llm.common import connected_components
 from llm.html_text import extract, main_text
 from llm.jaccard_join import keep_first, near_duplicates, parity, shared_needed
 from llm.language import identify
-from llm.license_scan import scan
+from llm.license_scan import TEMPLATES, scan
 from llm.mixing import budgets, mix, mixed_documents
 from llm.packing import Tokens, first_fit_decreasing, pack
 from llm.permutation_index import nearest
@@ -280,6 +280,24 @@ def test_license_scan(spark, docs):
     assert Counter(map(tuple, scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word").collect())) == want
 
 
+def test_license_scan_of_changed_words(spark):
+    cases, want = [], []
+    for t in TEMPLATES:
+        w = t.words
+        changed = [w] + [w[:i] + ["x"] + w[i:] for i in range(1, len(w))]
+        for i in range(len(w)):
+            if w[i] not in t.names:
+                changed += [w[:i] + w[i + 1 :], w[:i] + ["x"] + w[i + 1 :]]
+        cases += [("q r s " + " ".join(c) + " y z") for c in changed]
+        want += [t.label] * len(changed)
+    cases += ["Licensed under the nice Apache License, Version 2.0", "released under the bsd license", "license mit the under released", "licensed under the x license version 2 0"]
+    want += ["apache", None, None, None]
+    got = scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(4)).select("doc_id", "labels", "score").collect()
+    found = {r.doc_id: {x for x in r.labels.split(",") if x in {t.label for t in TEMPLATES}} for r in got}
+    assert [(c, found[i]) for i, c in enumerate(cases)] == [(c, {x} if x else set()) for c, x in zip(cases, want)]
+    assert all(r.score <= 1 for r in got)
+
+
 def test_url_filter(spark):
     canonical = '<LINK rel=canonical href="{}">'.format
     rows = [(1, "http://A.example.net/es/1#x", None), (2, "http://b.org/1", canonical("http://a.example.net/es/1")), (3, None, ""), (4, "no scheme", "x"),
