@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from llm.block_naming import exact_duplicates
 from llm.common import table
+from llm.fill_in_middle import fill_in_middle, restored
 from llm.html_text import extract
 from llm.jaccard_join import near_duplicates
 from llm.language import identify
 from llm.license_scan import scan
+from llm.line_quality import judge
 from llm.mixing import mix
 from llm.packing import pack
 from llm.permutation_index import nearest
@@ -84,6 +86,15 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("spans")
 
 
+def op12_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents"), host="source")
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = fill_in_middle(table(spark, folder, "documents"))
+    return found.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(), 256)}).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -95,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
+    "op12_line_quality": op12_line_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -116,4 +129,43 @@ SQL: dict[str, str] = {
              g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)
     """,
+    "op12_line_quality": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+             l AS (SELECT doc_id, host, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]{2,}|[\x09-\x0D]', ' ', 'g'), ' ')) AS norm
+                   FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+             hosts AS (SELECT host, count(DISTINCT text) AS all_texts FROM t GROUP BY host),
+             often AS (SELECT host, norm FROM l JOIN hosts USING (host) GROUP BY host, norm
+                       HAVING count(DISTINCT text) > 6 AND count(DISTINCT text) * 1000 > max(all_texts) * 1),
+             lost AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS line_chars,
+                             coalesce(sum(length(line)) FILTER (WHERE o.norm IS NOT NULL), 0) AS lost_chars, count(o.norm) AS lost_lines
+                      FROM l LEFT JOIN often o USING (host, norm) GROUP BY doc_id),
+             w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+             win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win
+                     FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+             again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+             covered AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS n FROM again) GROUP BY doc_id),
+             m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+                          CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars, CAST(coalesce(lost_lines, 0) AS BIGINT) AS lost_lines, coalesce(line_chars, 0) AS line_chars
+                   FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN covered USING (doc_id)),
+             b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT * EXCLUDE (line_chars), NOT base_failed AND 100 * lost_chars <= 50 * line_chars AS kept FROM b
+    """,
+    "op13_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+             u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                          CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                          CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+             c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                               WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+             p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+               CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
