@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm.block_naming import exact_duplicates
 from llm.common import table
+from llm.conversation_repair import fingerprints, repair
 from llm.fill_in_middle import fill_in_middle, restored
 from llm.html_text import extract
 from llm.jaccard_join import near_duplicates
@@ -86,6 +87,38 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("spans")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of ``conversations`` with faults that conversation and turn decide; nulls count as one space."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    text = F.coalesce("text", blank)
+    fault = F.col("fault")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("fault"))
+    return rows.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    found, turns = repair(damaged(conversations))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+
+    def by_conversation(frame: DataFrame, *columns: str) -> DataFrame:
+        return frame.select(F.struct("conv_id").alias("conv"), *columns)
+
+    return (
+        by_conversation(conversations).distinct()
+        .join(by_conversation(found, *counts, "audit"), "conv", "left").join(by_conversation(fingerprints(turns), "sha256"), "conv", "left")
+        .select(
+            "conv.conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 def op12_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), host="source")
 
@@ -106,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_line_quality": op12_line_quality,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
