@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 
 from nearkin.checks.queries import (
+    BATCHES,
     EXPECTED_DIM,
     FILTER_CLUSTERS,
     FILTER_NATIONS,
     FIRST_PROBES,
     FIRST_SPEAKERS,
+    FULL_STEPS,
     LIMIT,
     N_PROBES,
     TOP_K,
@@ -192,6 +194,33 @@ def _searches(metric: str) -> dict[str, str]:
 VIEWS |= _routes("cosine") | _routes("euclidean") | _searches("cosine") | _searches("euclidean")
 
 
+def _training(name: str, steps: int, rows: str) -> dict[str, str]:
+    """K-means steps from the seeds: centres move to all they have seen, by batch, or to the mean of their rows.
+
+    Elements are summed as whole numbers, as training does.
+    """
+    views = {f"{name}_0": "SELECT cluster_id, centroid, 0 AS seen FROM fx_seeds"}
+    for i in range(steps):
+        views[f"{name}_near_{i}"] = f"""SELECT cluster_id, embedding FROM (
+            SELECT c.cluster_id, g.embedding, row_number() OVER (PARTITION BY g.id ORDER BY
+                list_dot_product(g.embedding, c.centroid) - list_dot_product(c.centroid, c.centroid) / 2 DESC, c.cluster_id) AS r
+            FROM ({rows.format(batch=i)}) g, {name}_{i} c) WHERE r = 1"""
+        views[f"{name}_sums_{i}"] = f"""SELECT cluster_id, list(m ORDER BY pos) AS total, any_value(n) AS n FROM (
+            SELECT cluster_id, pos, sum(round(value * 16777216)) / 16777216 AS m, count(*) AS n FROM (
+                SELECT cluster_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS value
+                FROM {name}_near_{i}) GROUP BY cluster_id, pos) GROUP BY cluster_id"""
+        seen = "0" if name.startswith("full") else "seen"
+        views[f"{name}_{i + 1}"] = f"""SELECT cluster_id, CASE WHEN n IS NULL THEN centroid ELSE list_transform(
+                range(1, {WIDTH + 1}), lambda i: (centroid[i] * {seen} + total[i]) / ({seen} + n)) END AS centroid,
+            seen + coalesce(n, 0) AS seen FROM {name}_{i} LEFT JOIN {name}_sums_{i} USING (cluster_id)"""
+    return views
+
+
+VIEWS |= _training("full_step", FULL_STEPS, "SELECT * FROM fx_unit")
+VIEWS |= _training("batch_step", BATCHES, f"""SELECT * FROM fx_unit
+    WHERE (('0x' || substr(md5(concat('42:0:', id)), 1, 8))::BIGINT * {BATCHES}) >> 32 = {{batch}}""")
+
+
 def _scores(name: str, ranked: str) -> dict[str, str]:
     """Outcome rows and metric views of one search."""
     return {
@@ -348,6 +377,12 @@ _STATEMENTS = {
     "cluster_memberships": "SELECT cluster_id, speaker_id FROM members",
     "kmeans_step": _elements("fx_clusters", "cluster_id", "centroid"),
     "cluster_assign": "SELECT id, cluster_id FROM fx_gallery_clustered",
+    "kmeans_full_batch": _elements(f"full_step_{FULL_STEPS}", "cluster_id", "centroid"),
+    "kmeans_mini_batch": _elements(f"batch_step_{BATCHES}", "cluster_id", "centroid"),
+    "kmeans_labels": f"""SELECT id, cluster_id FROM (
+        SELECT g.id, c.cluster_id, row_number() OVER (PARTITION BY g.id
+            ORDER BY list_distance(g.embedding, c.centroid), c.cluster_id) AS r
+        FROM fx_unit g, full_step_{FULL_STEPS} c) WHERE r = 1""",
     "route_gender": "SELECT query_id, CAST(1 AS INTEGER) AS rank, gender AS label FROM best_gender_c",
     "route_metadata": "SELECT query_id, rank, label FROM metadata_route_c",
     "route_cluster": "SELECT query_id, rank, label FROM cluster_route_c",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,14 @@ from nearkin.functions.vectors import (
     score_from_distance,
 )
 from nearkin.operators import clips as clip_ops
-from nearkin.operators.clusters import assign_clusters, train_clusters, update_clusters
+from nearkin.operators.clusters import (
+    as_clustering,
+    assign_clusters,
+    full_batch,
+    mini_batches,
+    train_clusters,
+    update_clusters,
+)
 from nearkin.operators.means import (
     layer_mean_pool,
     masked_mean_pool,
@@ -63,6 +71,8 @@ FIRST_SPEAKERS = 5
 EXPECTED_DIM = 32
 FILTER_NATIONS = ["NATION_0", "NATION_2"]
 FILTER_CLUSTERS = [0, 3]
+FULL_STEPS = 2  # of k-means from the fixed seeds
+BATCH_ROWS, BATCHES = 64, 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,6 +325,29 @@ def _cluster_assign(v: Views) -> DataFrame:
     return update_clusters(v.gallery().select("id"), assigned)
 
 
+def _seed_centres(v: Views) -> np.ndarray:
+    return np.array([r["centroid"] for r in v.seeds().orderBy("cluster_id").collect()])
+
+
+@_register("kmeans_full_batch")
+def _kmeans_full_batch(v: Views) -> DataFrame:
+    centres = full_batch(cut_lineage(v.gallery()), _seed_centres(v), iterations=FULL_STEPS, tolerance=0.0)
+    return _elements(as_clustering(v.spark, centres, WIDTH).trained, "centroid", "cluster_id")
+
+
+@_register("kmeans_mini_batch")
+def _kmeans_mini_batch(v: Views) -> DataFrame:
+    centres = mini_batches(v.gallery(), _seed_centres(v), BATCH_ROWS, most_batches=BATCHES, starved=0.0)
+    return _elements(as_clustering(v.spark, centres, WIDTH).trained, "centroid", "cluster_id")
+
+
+@_register("kmeans_labels")
+def _kmeans_labels(v: Views) -> DataFrame:
+    gallery = cut_lineage(v.gallery())
+    centres = full_batch(gallery, _seed_centres(v), iterations=FULL_STEPS, tolerance=0.0)
+    return as_clustering(v.spark, centres, WIDTH).label(gallery).select("id", "cluster_id")
+
+
 @_register("kmeans_train")
 def _kmeans_train(v: Views) -> DataFrame:
     gallery = cut_lineage(v.gallery())  # every step reads it again

@@ -15,7 +15,8 @@ from nearkin.sources.tables import ensure_tables, model_table, rebuild
 
 
 def enroll(
-    model: Model, clips: DataFrame, metadata: DataFrame, clusters: int = 256, seed: int = 42
+    model: Model, clips: DataFrame, metadata: DataFrame, clusters: int = 256, seed: int = 42,
+    training: str = "mini_batch",
 ) -> Enrolled:
     """Build all tables of ``model`` anew; a failing stage stops the job.
 
@@ -29,7 +30,7 @@ def enroll(
     rebuild(speakers_with_default(gallery, metadata), model, "speakers")
     rebuild(metadata_centroids(gallery, model_table(spark, model, "speakers")), model,
             "metadata_centroids")
-    trained = train_clusters(gallery, clusters, seed, width=model.dim)
+    trained = train_clusters(gallery, clusters, seed, width=model.dim, method=training)
     rebuild(trained.centroids, model, "cluster_centroids")
     rebuild(trained.label(gallery), model, "audio_embeddings")
     return open_model(spark, model)

@@ -38,13 +38,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
+def cut_lineage(frame: DataFrame, by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     They are written as a table, not as a checkpoint of rows, so later steps
-    still read single columns and know the size of what they read.
+    still read single columns and know the size of what they read.  ``by`` names a
+    column whose values get folders of their own, so a filter on it reads only these.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/nearkin/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    if by is None:
+        frame.write.parquet(path)
+    else:
+        frame.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
