@@ -335,6 +335,12 @@ _STATEMENTS = {
         SELECT n.* FROM fx_speakers n WHERE NOT EXISTS
         (SELECT 1 FROM fx_speakers_old o WHERE o.speaker_id = n.speaker_id)""",
     "assign_ids": "SELECT file_path, row_number() OVER (ORDER BY file_path) AS row_id FROM fx_clips",
+    "assign_ids_append": """SELECT file_path, row_number() OVER (ORDER BY id % 3 <> 0, file_path) AS row_id FROM fx_clips""",
+    "clip_catalog": "SELECT file_path, speaker_id, id * 100 + 44 AS size FROM fx_clips",
+    "clip_catalog_speakers": """SELECT speaker_id, count(*) AS clips, CAST(sum(id * 100 + 44) AS BIGINT) AS bytes
+        FROM fx_clips GROUP BY speaker_id""",
+    "fixed_decimals": """SELECT id, printf('%.2f', (id * 10 + 5) / 1000.0::DOUBLE) AS two,
+        printf('%.1f', -((id * 10 + 5) / 1000.0::DOUBLE)) AS one FROM fx_clips""",
     "path_parse": """SELECT file_path, split_part(file_path, '/', -3) AS speaker_id,
         split_part(file_path, '/', -2) AS video_id, ends_with(file_path, '.wav') AS is_wav FROM fx_clips""",
     "resume_pending": "SELECT file_path, speaker_id FROM fx_clips WHERE id % 3 <> 0",
@@ -412,7 +418,7 @@ _STATEMENTS = {
     "sweep_results": f"""SELECT architecture, aggregation, metric, cluster_probes,
         {', '.join(f'{_r6(n)} AS {n}' for n in METRICS)} FROM ({_sweep()})""",
     "results_table": f"""SELECT architecture, aggregation, metric, cluster_probes,
-        {', '.join(f"printf('%.2f', round({n}, 6)) AS {n}" for n in METRICS[:5])} FROM ({_sweep()})""",
+        {', '.join(f"printf('%.2f', {n}) AS {n}" for n in METRICS[:5])} FROM ({_sweep()})""",
     "database_summary": """SELECT (SELECT count(*) FROM fx_speakers) AS speakers,
         (SELECT count(*) FROM fx_gallery) AS audio_embeddings,
         (SELECT count(*) FROM category_mean) AS metadata_centroids,

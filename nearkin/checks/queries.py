@@ -6,6 +6,7 @@ results compare by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.checks.fixtures import CLUSTERS, WIDTH, Views
-from nearkin.functions.text import is_clip, speaker_of, video_of
+from nearkin.functions.text import fixed_decimals, is_clip, speaker_of, video_of
 from nearkin.functions.vectors import (
     cosine_distance,
     dot,
@@ -59,9 +60,9 @@ from nearkin.operators.routing import (
 from nearkin.plans import profile
 from nearkin.plans.search import search, utterance_hits
 from nearkin.plans.sweep import results_table, sweep
-from nearkin.session import cut_lineage
+from nearkin.session import cut_lineage, shared_folder
 from nearkin.sources import readers
-from nearkin.sources.tables import assign_ids, with_absent
+from nearkin.sources.tables import append_finished, assign_ids, finished_clips, number_new, with_absent
 
 TOP_K = 3
 LIMIT = 25
@@ -135,6 +136,13 @@ def _assign_ids(v: Views) -> DataFrame:
     return assign_ids(v.clips())
 
 
+@_register("assign_ids_append")
+def _assign_ids_append(v: Views) -> DataFrame:
+    """Numbers of a first delivery, and of a second that holds it again."""
+    first = cut_lineage(assign_ids(v.done()))
+    return first.unionByName(number_new(first, v.clips()))
+
+
 @_register("path_parse")
 def _path_parse(v: Views) -> DataFrame:
     path = F.col("file_path")
@@ -146,7 +154,17 @@ def _path_parse(v: Views) -> DataFrame:
 
 @_register("resume_pending")
 def _resume_pending(v: Views) -> DataFrame:
-    return clip_ops.pending_clips(v.clips().select("file_path", "speaker_id"), v.done())
+    """Clips missing from a store that holds one batch twice and one that was never committed."""
+    clips, schema = v.clips().select("file_path", "speaker_id"), "file_path string, u int"
+    store = f"{shared_folder(v.spark)}/nearkin/{uuid.uuid4().hex}"
+    done = v.clips().where("id % 3 = 0").select("file_path", "u")
+    for batch in (0, 1, 0):
+        append_finished(done.where(F.col("u") % 2 == batch), store, f"batch{batch}")
+    v.clips().where("id % 3 = 1").select("file_path", "u", F.lit("late").alias("_batch"), F.lit("lost").alias("_attempt")).write.mode(
+        "append").partitionBy("_batch", "_attempt").parquet(f"{store}/rows")
+    finished = finished_clips(v.spark, store, schema).groupBy("file_path").agg(F.count("*").alias("times"))
+    once = finished.where("times = 1")
+    return clip_ops.pending_clips(clips, once)
 
 
 @_register("clips_by_size")
@@ -183,14 +201,23 @@ def _dim_violations(v: Views) -> DataFrame:
     return readers.dim_violations(v.clips(), EXPECTED_DIM)
 
 
+def _listed_files(v: Views) -> DataFrame:
+    """Every clip, and a note beside each fourth."""
+    note = F.when(F.col("id") % 4 == 0, F.regexp_replace("file_path", r"wav$", "txt"))
+    paths = F.explode(F.filter(F.array("file_path", note), lambda x: x.isNotNull()))
+    return v.clips().select(paths.alias("file_path"), (F.col("id") * 100 + 44).alias("size"))
+
+
 @_register("clip_catalog")
 def _clip_catalog(v: Views) -> DataFrame:
-    """The catalogue of the given folder itself; its tables stand in for clips."""
-    files = readers.clip_catalog(v.spark, v.folder, ".parquet")
-    return files.select(
-        F.substring_index("file_path", "/", -1).alias("path"), "speaker_id",
-        F.col("size").alias("length"),
-    )
+    """The clips among the listed files."""
+    return readers.catalog_rows(_listed_files(v))
+
+
+@_register("clip_catalog_speakers")
+def _clip_catalog_speakers(v: Views) -> DataFrame:
+    """Clips and bytes of each speaker in the catalogue."""
+    return readers.catalog_rows(_listed_files(v)).groupBy("speaker_id").agg(F.count("*").alias("clips"), F.sum("size").alias("bytes"))
 
 
 # Vector functions: every gallery row against the mean of its own speaker
@@ -235,6 +262,12 @@ def _l2_normalize(v: Views) -> DataFrame:
     return _elements(unit, "unit", "id")
 
 
+@_register("fixed_decimals")
+def _fixed_decimals(v: Views) -> DataFrame:
+    value = (F.col("id") * 10 + 5) / F.lit(1000.0)  # 0.175 and 2.675 among them, most of them no exact ties
+    return v.clips().select("id", fixed_decimals(value).alias("two"), fixed_decimals(-value, 1).alias("one"))
+
+
 @_register("vector_text_roundtrip")
 def _vector_text_roundtrip(v: Views) -> DataFrame:
     text = v.clips().select("id", format_vector(F.col("embedding")).alias("t"))
@@ -490,15 +523,15 @@ def _speaker_metrics(v: Views) -> DataFrame:
 
 
 def _sweep(v: Views) -> DataFrame:
-    return _percentages(
-        sweep(cut_lineage(v.probes()), v.enrolled("all"), ("cosine", "euclidean"), cluster_probes=(N_PROBES,),
-              metadata_probes=(N_PROBES,), top_k=TOP_K, candidate_limit=LIMIT)
+    return sweep(
+        cut_lineage(v.probes()), v.enrolled("all"), ("cosine", "euclidean"), cluster_probes=(N_PROBES,),
+        metadata_probes=(N_PROBES,), top_k=TOP_K, candidate_limit=LIMIT,
     )
 
 
 @_register("sweep_results")
 def _sweep_results(v: Views) -> DataFrame:
-    return _sweep(v)
+    return _percentages(_sweep(v))
 
 
 @_register("results_table")

@@ -61,7 +61,7 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 def check_metric(metric: str) -> str:
     if metric not in METRICS:
-        raise ValueError(f"Unsupported metric: {metric}")
+        raise ValueError(f"no metric {metric!r}; choose from {', '.join(METRICS)}")
     return metric
 
 

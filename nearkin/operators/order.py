@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from nearkin.session import cut_lineage
 
 
-def number_rows(frame: DataFrame, order: list[Column], output: str) -> DataFrame:
-    """Add the 1-based position of each row; all given columns are shuffled and written once."""
+def number_rows(frame: DataFrame, order: list[Column], output: str, after: int = 0) -> DataFrame:
+    """Add the position of each row, counted from ``after + 1``; all given columns are shuffled and written once."""
     # The low 33 bits of the generated id count the rows of a partition, the others name it.
     placed = cut_lineage(
         frame.repartitionByRange(*order)
@@ -33,7 +33,7 @@ def number_rows(frame: DataFrame, order: list[Column], output: str) -> DataFrame
     )
     return (
         placed.join(starts, "_part")
-        .withColumn(output, F.col("_start") + F.col("_place") + 1)
+        .withColumn(output, F.col("_start") + F.col("_place") + (after + 1))
         .drop("_part", "_place", "_start")
     )
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearkin.models import Model
 from nearkin.plans.search import Enrolled
+from nearkin.sources.tables import LIVE, TABLES, properties
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -50,9 +52,14 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return described.join(table_counts(tables), "table")
 
 
-def database_tables(spark, namespace: str) -> dict[str, DataFrame]:
-    found = spark.catalog.listTables(namespace)
-    return {t.name: spark.table(f"`{namespace}`.`{t.name}`") for t in found if not t.isTemporary}
+def database_tables(spark: SparkSession, namespace: str) -> dict[str, DataFrame]:
+    """The tables of a database by name; of a model's tables the live versions."""
+    found = [t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary]
+    model = Model(namespace, 0, namespace)
+    live = {name.removeprefix(LIVE): value for name, value in properties(spark, model).items() if name.startswith(LIVE)}
+    if live:
+        return {name: spark.table(f"`{namespace}`.`{live[name]}`") for name in TABLES if live.get(name) in found}
+    return {name: spark.table(f"`{namespace}`.`{name}`") for name in found}
 
 
 # The columns each stage needs of its inputs.

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearkin.functions.text import fixed_decimals
 from nearkin.functions.vectors import METRICS
 from nearkin.operators.metrics import METRIC_NAMES, outcomes, speaker_metrics
 from nearkin.operators.ranking import MODES, rank_speakers
@@ -38,7 +39,7 @@ def depths(values: Sequence[int]) -> list[int]:
 def aggregations(utterance_mode: str = "all") -> list[str]:
     """The centroid search always, the utterance modes as asked."""
     if utterance_mode not in ("all", *MODES):
-        raise ValueError(f"Unsupported utterance aggregation mode: {utterance_mode}")
+        raise ValueError(f"no way to rank hits {utterance_mode!r}; choose all or one of {', '.join(MODES)}")
     return [a for a in AGGREGATIONS if a not in MODES or utterance_mode in ("all", a)]
 
 
@@ -123,7 +124,7 @@ def results_table(results: DataFrame) -> DataFrame:
     """The metrics as text with two decimals."""
     keys = ["architecture", "aggregation", "metric", "cluster_probes"]
     return results.select(
-        *keys, *[F.format_string("%.2f", F.bround(F.round(n, 6), 2)).alias(n) for n in METRIC_NAMES if n != "eer"]
+        *keys, *[fixed_decimals(F.col(n)).alias(n) for n in METRIC_NAMES if n != "eer"]
     )
 
 

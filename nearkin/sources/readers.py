@@ -153,10 +153,13 @@ def clip_catalog(spark: SparkSession, root: str, suffix: str = CLIP_SUFFIX) -> D
         .option("recursiveFileLookup", True)
         .load(root)
     )
-    return files.select(
-        F.col("path").alias("file_path"), speaker_of(F.col("path")).alias("speaker_id"),
-        F.col("length").alias("size"),
-    )
+    return catalog_rows(files.select(F.col("path").alias("file_path"), F.col("length").alias("size")), suffix)
+
+
+def catalog_rows(files: DataFrame, suffix: str = CLIP_SUFFIX) -> DataFrame:
+    """``(file_path, speaker_id, size)`` of the listed files (file_path, size) that are clips."""
+    path = F.col("file_path")
+    return files.where(path.endswith(suffix)).select(path, speaker_of(path).alias("speaker_id"), "size")
 
 
 def speakers_with_default(clips: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -118,11 +118,11 @@ def test_whole_speaker_is_ranked_once_for_all_its_clusters(world, probes):
 def test_unknown_settings_are_errors(world, probes):
     for change, message in (
         ({"architecture": "tree"}, "architecture"), ({"metric": "manhattan"}, "metric"),
-        ({"aggregation": "median"}, "aggregation mode"),
+        ({"aggregation": "median"}, "aggregation"),
     ):
         with pytest.raises(ValueError, match=message):
             search(probes, world, **change)
-    with pytest.raises(ValueError, match="aggregation mode"):
+    with pytest.raises(ValueError, match="no way to rank"):
         rank_speakers(None, "median", "cosine", 1)
 
 
