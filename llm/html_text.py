@@ -9,8 +9,10 @@ T tags, LC link characters and LT link tags, inside a body whose share of link c
     C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + s * C + e)
 
 where an empty count stands for 1.  The element whose children's densities add up to
-most holds the article.  The least density on the way from it up to the body is the
-threshold: other subtrees that reach it belong to the text as well.
+most leads to the article: to the article or main part around it, else to the container it
+is in, as a paragraph or heading is never all of a text.  All that stands in there is text.  Without
+an article or main part, the least density on the way from the container up to the body is the
+threshold: subtrees outside that reach it belong to the text as well, and lists of links inside do not.
 
 Each row is handled on its own, so the work is one pass over the pages without a shuffle.
 """
@@ -21,6 +23,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +54,10 @@ NAMES = frozenset(  # whole words of a class, or an id
     "newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies reply widget "
     "pagination pager toolbar disclaimer copyright legal skip-link".split()
 )
+CONTAINERS = frozenset("body article main section div td".split())
+SEMANTIC = ("article", "main")
+ARTICLE_SHARE = 10  # an article or main part counts unless something else holds so many times its text
+MENU_LINKS, MENU_PERCENT = 3, 90  # a list of at least so many links that hold so much of its text
 SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # their ids come from their own words
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--|[!?])")
@@ -86,14 +93,43 @@ def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, named
 
 
+class _Open:
+    """The open elements, each with whether it is left out, and where each tag was opened last."""
+
+    def __init__(self, body: Element) -> None:
+        self.items: list[tuple[Element, bool]] = [(body, False)]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags; 0 is the body's."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, element: Element, skipped: bool) -> None:
+        for name in _names(element.tag):
+            self.places.setdefault(name, []).append(len(self.items))
+        self.items.append((element, skipped))
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.items) > place:
+            for name in _names(self.items.pop()[0].tag):
+                self.places[name].pop()
+
+
+@cache
+def _names(tag: str) -> tuple[str, ...]:
+    groups = (("#boundary", BOUNDARY), ("#foreign", FOREIGN), ("#html", HTML_IN_FOREIGN))
+    return (tag, *(name for name, tags in groups if tag in tags))
+
+
 def parse(page: str) -> Element:
     """The tree below the body, without the elements that are left out; those only named so are marked."""
     body = Element("body", None)
-    open_: list[tuple[Element, bool]] = [(body, False)]  # with each element, whether it is left out
-    at, tags, foreign = 0, _TAG, False  # whether the page has an svg or math
+    open_ = _Open(body)
+    at, tags = 0, _TAG
     while True:
         lt = page.find("<", at)
-        here, skipped = open_[-1]
+        here, skipped = open_.items[-1]
         if lt < 0:
             if not skipped:
                 here.parts.append(page[at:])
@@ -118,20 +154,15 @@ def parse(page: str) -> Element:
             continue
         tag = found[2].lower()
         if found[1]:
-            place = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0].tag == tag), 0)
-            if place and not (tag in INLINE and any(e.tag in BOUNDARY for e, _ in open_[place + 1 :])):
-                del open_[place:]
+            place = open_.last(tag)
+            if place and not (tag in INLINE and open_.last("#boundary") > place):
+                open_.cut(place)
             continue
-        inside = False
-        if foreign:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0].tag in FOREIGN:
-                    inside = tag not in LEAVES_FOREIGN
-                    if not inside:
-                        del open_[i:]
-                    break
-                if open_[i][0].tag in HTML_IN_FOREIGN:
-                    break
+        place = open_.last("#foreign")
+        inside = place > open_.last("#html")  # in an svg or math
+        if inside and tag in LEAVES_FOREIGN:
+            open_.cut(place)
+            inside = False
         if tag in RAW and not (inside and found[3].endswith("/")):
             end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
             at = end.end() if end else len(page)
@@ -139,28 +170,21 @@ def parse(page: str) -> Element:
         if tag in ("html", "body"):
             continue
         if tag not in INLINE and not inside:  # a block ends an open paragraph with what stands in it
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i][0].tag in BOUNDARY:
-                    break
+            place = open_.last("p")
+            if place > open_.last("#boundary"):
+                open_.cut(place)
         if tag in CLOSES:
             ended, scope = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0].tag in scope:
-                    break
-                if open_[i][0].tag in ended:
-                    del open_[i:]
-                    break
-        foreign = foreign or tag in FOREIGN
-        here, skipped = open_[-1]
+            place = open_.last(*ended)
+            if place > open_.last(*scope):
+                open_.cut(place)
+        here, skipped = open_.items[-1]
         outside, named = (True, False) if skipped else _outside(tag, found[3])
-        skipped, element = outside, Element(tag, here, named)
-        if not skipped:
+        element = Element(tag, here, named)
+        if not outside:
             here.parts.append(element)
         if tag not in VOID and not found[3].endswith("/"):
-            open_.append((element, skipped))
+            open_.push(element, outside)
 
 
 def _below(body: Element) -> list[Element]:
@@ -182,7 +206,8 @@ def _elements(body: Element) -> list[Element]:
         chars[id(e.parent)] += chars[id(e)]
         if e.tag in ("article", "main") or id(e) in holds:
             holds.add(id(e.parent))
-    gone = {id(e) for e in found if e.named and id(e) not in holds and 2 * chars[id(e)] <= chars[id(body)]}
+    article = id(body) in holds  # then nothing else needs to be the text, however much of it there is
+    gone = {id(e) for e in found if e.named and id(e) not in holds and (article or 2 * chars[id(e)] <= chars[id(body)])}
     for e in found:
         e.parts = [p for p in e.parts if id(p) not in gone]
     return _below(body)
@@ -212,28 +237,59 @@ def measure(elements: list[Element]) -> None:
         e.parent.total += e.density
 
 
-def _chosen(elements: list[Element]) -> list[Element]:
-    """Roots of the subtrees that make up the text, in page order."""
+def _up(e: Element, tags) -> Element | None:
+    while e is not None and e.tag not in tags:
+        e = e.parent
+    return e
+
+
+def _article(elements: list[Element], best: Element) -> Element | None:
+    """The article or main part around the densest element, else the one in it that holds most of its text."""
+    for tag in SEMANTIC:
+        around = _up(best, (tag,))
+        if around is not None:
+            return around
+    for tag in SEMANTIC:
+        inside = [e for e in elements if e.tag == tag]
+        if inside:
+            most = max(inside, key=lambda e: e.chars - e.link_chars)
+            if ARTICLE_SHARE * (most.chars - most.link_chars) >= best.chars - best.link_chars:
+                return most
+    return None
+
+
+def _chosen(elements: list[Element]) -> tuple[list[Element], bool]:
+    """Roots of the subtrees that make up the text, in page order, and whether lists of links stand in them for menus."""
     body = elements[0]
     best = max(elements, key=lambda e: e.total)  # the outermost of equals
-    if best is body or not best.total:
-        return [body]
+    if not best.total:
+        best = max(elements, key=lambda e: e.density)
+    found = _article(elements, best)
+    if found is not None:
+        return [found], False
+    best = _up(best, CONTAINERS)
+    if best is body:
+        return [body], True
     on_path, threshold, e = set(), best.density, best
     while e is not None:
         on_path.add(id(e))
         threshold = min(threshold, e.density)
         e = e.parent
-    found, todo = [], [body]
+    roots, todo = [], [body]
     while todo:
         e = todo.pop()
         if e is best or id(e) not in on_path and e.density >= threshold:
-            found.append(e)
+            roots.append(e)
         else:
             todo.extend(p for p in reversed(e.parts) if isinstance(p, Element))
-    return found
+    return roots, True
+
 
+def _is_menu(e: Element) -> bool:
+    return e.tag in ("ul", "ol", "div", "section", "table", "dl") and e.link_tags >= MENU_LINKS and 100 * e.link_chars >= MENU_PERCENT * e.chars
 
-def _blocks(root: Element, lines: list[str]) -> None:
+
+def _blocks(root: Element, lines: list[str], without_menus: bool) -> None:
     current: list[str] = []
 
     def flush() -> None:
@@ -251,6 +307,8 @@ def _blocks(root: Element, lines: list[str]) -> None:
             current.append(part)
         elif part.tag in ("br", "wbr"):
             current.append(" ")
+        elif without_menus and part is not root and _is_menu(part):
+            flush()
         else:
             block = part.tag not in INLINE
             if block:
@@ -267,8 +325,9 @@ def main_text(page: str | None) -> str:
     elements = _elements(parse(page))
     measure(elements)
     lines: list[str] = []
-    for root in _chosen(elements):
-        _blocks(root, lines)
+    roots, without_menus = _chosen(elements)
+    for root in roots:
+        _blocks(root, lines, without_menus)
     return "\n".join(lines)
 
 
@@ -283,5 +342,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars; every row gives one row, null html an empty text."""
+    """Per page: page_id, url, text, n_chars; every row gives one row, null html an empty text.
+
+    Repeated rows give repeated rows, other columns are not read, and an empty table gives no row.  A very
+    long page is held by its own task, in time proportional to its length.
+    """
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

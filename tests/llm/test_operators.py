@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small tables with awkward rows."""
 
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -342,6 +344,42 @@ def test_html_text_below_names_that_only_resemble():
     assert want in main_text(little)
 
 
+def article_of(page):
+    """The blocks of a given page's article element, read with patterns."""
+    inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", page)[1]
+    blocks = re.split(r"</?(?:p|h1|ul|li)\b[^>]*>", inner)
+    lines = [" ".join(html.unescape(re.sub(r"</?(?:b|a)\b[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n".join(line for line in lines if line)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_html_text_of_all_given_pages_is_their_article(spark, sf):
+    pages = spark.read.parquet(f"{DATA}/{sf}/pages.parquet")
+    want = {r.page_id: article_of(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_html_text_without_an_article_element():
+    body = "<p>A paragraph of some length that says what the article is about, and more of it.</p>" * 3
+    text = "\n".join(["A paragraph of some length that says what the article is about, and more of it."] * 3)
+    assert main_text(f"<article><h1>T</h1><p><b>{text[:79]}</b><br></article>") == f"T\n{text[:79]}"
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>About us</a><li><a href=3>Contact</a></ul>"
+    assert main_text(f"<body>{menu}<h1>Title</h1>{body}<p>End.") == f"Title\n{text}\nEnd."
+    assert main_text(f"<body><div>{menu}</div><div><h2>T</h2>{body}<p>End.</p><ul><li>one</li><li>two</li></ul></div></body>") == f"T\n{text}\nEnd.\none\ntwo"
+    talk = "<div><p>Great post, thanks a lot for it, really, I learned so much!</p></div>"
+    assert main_text(f"<body><article><h1>T</h1>{body}</article>{talk * 9}</body>") == f"T\n{text}"
+    assert main_text(f"<body><main><div><h1>T</h1></div><div>{body}</div></main>{talk}</body>") == f"T\n{text}"
+
+
+def test_html_text_takes_time_in_proportion():
+    for part in ("<font><h2>x</h2>", "<b><div><font></b>", "<li><font>", "<p><i>x", "<svg><g>", "</b></p></div>"):
+        page = part * (1_000_000 // len(part))
+        begin = time.process_time()
+        main_text(page)
+        assert time.process_time() - begin < 30
+
+
 def test_nearest(spark):
     frame = spark.read.parquet(f"{DATA}/sf0.01/embeddings.parquet")
     rows = frame.collect()
