@@ -7,7 +7,8 @@ and the distinct pairs are sorted and numbered in turn, until one name is left f
 text: with its number of blocks it identifies the whole text without collisions.
 
 Distinct blocks and pairs are aggregated in the map tasks before they are shuffled, so a
-text that a third of all rows share costs one row per task.  Blocks are given their
+text that a third of all rows share costs one row per task; groups are written before their rows
+are joined to them, so adaptive execution can split a hot one.  Blocks are given their
 names by a digest, after a check over all distinct blocks that no two share a digest.
 """
 
@@ -83,7 +84,7 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     """
     named = cut_lineage(name_texts(docs, block_chars))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    groups = named.groupBy("blocks", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+    groups = cut_lineage(named.groupBy("blocks", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size")))
     return named.join(groups, ["blocks", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256",

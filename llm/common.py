@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 
     Alternates the large-star and the small-star step until only stars are left.
     Both only need the minimum of a node's neighbours, a partial aggregate, and a
-    join of edges with those minima, whose hot nodes adaptive execution splits.
+    join of edges with those minima.  Minima are written before they are joined: both sides
+    of the join are plain shuffles then, so adaptive execution can split a hot node.
     Each round is written to the shared folder; only one yes or no reaches the driver.
     Nulls, loops and repeated edges are ignored; no edge gives no row.
     """
@@ -55,13 +56,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     )
     while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
         large = (
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v").distinct()
         )
         large = cut_lineage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(
             small.unionByName(least.withColumnRenamed("m", "v"))

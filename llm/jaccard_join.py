@@ -18,10 +18,13 @@ members, so the number ``t`` of members they must share is fixed by ``n`` and ``
 Rarity comes from one array of counters over all n-grams of all documents (of fixed
 size, four megabytes, so it may be broadcast); it only orders n-grams and cannot lose a link.
 
-Lists are not turned into pairs.  Each set is first compared with the one set that
-most of its lists name as their leader, which contracts groups of copies; after
-that only sets of one list that still lie in different components are compared.
-Sets equal as a whole count once.  Every comparison is exact on the whole sets.
+Lists are not turned into pairs.  Each set is first compared with the one set that most of its
+lists name as their leader: of the sets of about one size the one found in most lists, which in a
+group of near copies is what they were copied from.  That contracts such groups, round by round,
+until a round finds no new link.  After that only sets of one list that still lie in different
+components are compared, and of these only pairs that no leader holds apart: two sets differ in at
+least as many members as their distances to a third one differ.  Sets equal as a whole count
+once.  Every comparison is exact on the whole sets.
 
 Members are 64-bit hashes of the n-grams, and a set is named by a 64-bit hash of its
 members; a second hash guards the name, and the job stops if two sets share one.
@@ -44,7 +47,7 @@ from llm.words import Words, mix, pieces, split_words
 
 COUNTER_BITS, BLOCK_BITS = 22, 16
 LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
-LEADER_ROUNDS = 2
+MOST_LEADER_ROUNDS = 6
 GRAMS_PER_LIST = 50
 PARITY = [f"p{i}" for i in range(8)]
 MEASURED = ["doc_id", "digest", "size", "set", "guard", "block", "counts", *PARITY]
@@ -266,11 +269,11 @@ def _compatible(posted: DataFrame, percent: int) -> DataFrame:
         # A little is taken off so that rounding cannot part two sizes at the very limit.
         low = F.floor(F.log(F.col("size").cast("double")) / steps - 1e-9)
         placed = lists.withColumn("near", F.explode(F.array(low, low + 1, low + 2)))
-        met = placed.groupBy("key", "near").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
+        met = cut_lineage(placed.groupBy("key", "near").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key", "near"))
         lists = placed.join(met, ["key", "near"], "left_semi").drop("near").distinct()
         least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST) + 1
         enough = lists.groupBy("set", "size").agg(F.count("*").alias("lists")).where(F.col("lists") >= least)
-        lists = cut_lineage(lists.join(enough.select("set"), "set", "left_semi"))
+        lists = cut_lineage(lists.join(cut_lineage(enough.select("set")), "set", "left_semi"))
     return lists
 
 
@@ -299,27 +302,17 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` (with sizes ``n, m``) that are linked, measured on whole sets."""
+def measure_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` (with sizes ``n, m``) and how many members ``both`` have, counted on whole sets."""
     left = sets.select(F.col("set").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("set").alias("b"), F.col("grams").alias("y"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
-        .mapInArrow(_common, "a long, b long, n int, m int, both long")
-        .where(F.col("both") * 100 >= percent * (F.col("n") + F.col("m") - F.col("both")))
-        .select("a", "b", "both", "n", "m")
-    )
+    return cut_lineage(
+        pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_common, "a long, b long, n int, m int, both long")
+    ).select("a", "b", "both", "n", "m")
 
 
-def _ordered_pairs(frame: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs that their sizes rule out; the smaller name comes first."""
-    swap = F.col("a") > F.col("b")
-    return frame.where(
-        (F.col("a") != F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    ).select(
-        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-        F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m"),
-    )
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(F.col("both") * 100 >= percent * (F.col("n") + F.col("m") - F.col("both")))
 
 
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,21 +321,51 @@ def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
     placed = lists.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.coalesce("component", "set")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    mixed = cut_lineage(
+        placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    )
     return cut_lineage(placed.join(mixed, "key", "left_semi"))
 
 
-def _leader_pairs(placed: DataFrame, percent: int, last: bool) -> DataFrame:
-    """For each set the leader of another component that most of its lists name."""
-    pick = F.max if last else F.min
-    leaders = placed.groupBy("key").agg(pick(F.struct(F.hash("set"), "set", "size", "component", *PARITY)).alias("l"))
-    named = placed.join(leaders, "key").where(F.col("component") != F.col("l.component")).select(
+def _leader_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each set ``a`` the leader ``b`` of another component that most of its lists name.
+
+    A list has a leader for each class of sizes; every other round the classes lie half a step further.
+    """
+    steps = float(np.log(100 / percent))
+    class_ = F.floor(F.log(F.col("size").cast("double")) / steps + 0.5 * (turn % 2))
+    placed = placed.withColumn("class", class_)
+    # Later rounds also try other leaders than the most frequent one.
+    rank = F.struct("lists", F.hash("set"), "set") if turn < 2 else F.struct(F.xxhash64("set", F.lit(turn)), "lists", "set")
+    leaders = cut_lineage(placed.groupBy("key", "class").agg(F.max(F.struct(rank.alias("rank"), "set", "size", "component", *PARITY)).alias("l")))
+    named = placed.join(leaders, ["key", "class"]).where(F.col("component") != F.col("l.component")).select(
         F.col("set").alias("a"), F.col("size").alias("n"), F.col("l.set").alias("b"), F.col("l.size").alias("m"),
         *(F.col(p).alias(f"x{p[1:]}") for p in PARITY), *(F.col(f"l.{p}").alias(f"y{p[1:]}") for p in PARITY),
     ).where(_may_link("x", "y", percent))
     votes = named.groupBy("a", "n", "b", "m").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("a").agg(F.max(F.struct("votes", "b", "n", "m")).alias("v")).select("a", "v.b", "v.n", "v.m")
-    return _ordered_pairs(best, percent).distinct()
+    return votes.groupBy("a").agg(F.max(F.struct("votes", "b", "n", "m")).alias("v")).select("a", "v.b", "v.n", "v.m")
+
+
+def _distances(measured: list[DataFrame]) -> DataFrame:
+    """``set, from``: the leaders a set was measured with and in how many members it differs, itself if it is one."""
+    all_ = measured[0]
+    for more in measured[1:]:
+        all_ = all_.unionByName(more)
+    far = (F.col("n") + F.col("m") - 2 * F.col("both")).cast("int")
+    one = all_.select(F.col("a").alias("set"), F.struct(F.col("b").alias("leader"), far.alias("far")).alias("f")).unionByName(
+        all_.select(F.col("b").alias("set"), F.struct(F.col("b").alias("leader"), F.lit(0).alias("far")).alias("f"))
+    )
+    return one.groupBy("set").agg(F.collect_set("f").alias("from"))  # at most two for each round
+
+
+def _held_apart(x: str, y: str, percent: int) -> Column:
+    """Whether a common leader shows that two sets differ in too many members to be linked."""
+    room = (F.col("n") + F.col("m")) * (100 - percent)
+
+    def far(p: Column, q: Column) -> Column:
+        return (p["leader"] == q["leader"]) & (F.abs(p["far"] - q["far"]) * (100 + percent) > room)
+
+    return F.coalesce(F.exists(x, lambda p: F.exists(y, lambda q: far(p, q))), F.lit(False))
 
 
 def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -380,21 +403,29 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     sets = cut_lineage(
         texts.mapInArrow(_sets(n), "set long, grams binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
     )
-    links, placed = None, lists.withColumn("component", F.col("set"))
-    for turn in range(LEADER_ROUNDS):
-        new = cut_lineage(verify(_leader_pairs(placed, percent, turn % 2 == 1), sets, percent))
+    many = cut_lineage(lists.groupBy("set").agg(F.count("*").alias("lists")))
+    lists = cut_lineage(lists.join(many, "set"))
+    links, measured_with, placed = None, [], lists.withColumn("component", F.col("set"))
+    for turn in range(MOST_LEADER_ROUNDS):
+        found = measure_pairs(_leader_pairs(placed, percent, turn), sets)
+        measured_with.append(found)
+        new = _linked(found, percent)
+        if turn > 1 and new.isEmpty():
+            break
         links = new if links is None else links.unionByName(new)
         placed = _placed(lists, links)
     # Linked sets share c lists, so they still meet if each leaves its c - 1 longest ones.
-    long = placed.groupBy("key").agg(F.count("*").alias("entries"))
+    long = cut_lineage(placed.groupBy("key").agg(F.count("*").alias("entries")))
     order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")
     least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST)
-    short = cut_lineage(placed.join(long, "key").withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least))
-    left = short.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component", *(F.col(p).alias(f"x{p[1:]}") for p in PARITY))
-    right = short.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"), *(F.col(p).alias(f"y{p[1:]}") for p in PARITY))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link("x", "y", percent))
-    rest = _ordered_pairs(rest.select("a", "n", "b", "m"), percent).distinct()
-    links = links.unionByName(cut_lineage(verify(rest, sets, percent)))
+    short = placed.join(long, "key").withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least)
+    short = cut_lineage(short.join(cut_lineage(_distances(measured_with)), "set", "left"))
+    left = short.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component", F.col("from").alias("x"), *(F.col(p).alias(f"x{p[1:]}") for p in PARITY))
+    right = short.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"), F.col("from").alias("y"), *(F.col(p).alias(f"y{p[1:]}") for p in PARITY))
+    rest = left.join(right, "key").where(
+        (F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _may_link("x", "y", percent) & ~_held_apart("x", "y", percent)
+    )
+    links = links.unionByName(_linked(measure_pairs(rest.select("a", "n", "b", "m").distinct(), sets), percent))
     components = connected_components(links)
     members = members.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.when(F.col("size") > 0, F.coalesce("component", "set"))
@@ -410,7 +441,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """
     members, _ = similar_sets(docs, n, percent)
     members = cut_lineage(members)
-    least = members.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = cut_lineage(members.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least")))
     return members.join(least, "component", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -425,7 +456,7 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     members, _ = similar_sets(docs, n, percent)
     members = cut_lineage(members.where("size > 0").select("component", "doc_id", "digest"))
-    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    first = cut_lineage(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     drop = members.join(first, "component").where(~stays).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))

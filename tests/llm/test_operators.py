@@ -117,6 +117,34 @@ def test_near_duplicates(docs, n, percent):
     assert kept == Counter(r[0] for r, c in zip(rows, label) if rows[c][0] == r[0])
 
 
+@pytest.mark.parametrize("n, percent", [(5, 80), (3, 90)])
+def test_near_duplicates_of_one_template(spark, n, percent):
+    """Copies of one text at distances around the limit, between which leaders decide, and long sets that share a passage."""
+    draw = np.random.default_rng(n)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for length in (200, 700, 2000):
+        template = list(draw.choice(words, length))
+        for i in range(40):
+            changed = list(template)
+            for at in draw.choice(length, int(length * draw.choice([0.002, 0.005, 0.01, 0.02, 0.03, 0.05])), replace=False):
+                changed[at] = f"x{draw.integers(10**9)}"
+            rows.append(" ".join(changed[: length - int(draw.integers(0, 1 + length // 20))]))
+        rows += [" ".join([*template[: length // 3], *draw.choice(words, length // 2)]) for _ in range(5)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    sets, label = brute_components(rows, n, percent)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame, n, percent).collect()}
+    assert [got[i] for i in range(len(rows))] == label and 10 < len(set(label)) < len(rows)
+
+
+def test_hot_groups_can_be_split(docs):
+    """Joins with what was gathered for a group read written tables on both sides; Spark splits a hot partition only of such a join."""
+    small = docs.where(F.length("text") < 3000)
+    for frame in (exact_duplicates(small), near_duplicates(small), keep_first(small)):
+        plan = frame._jdf.queryExecution().optimizedPlan()
+        assert "Aggregate" not in re.findall(r"^[ :+-]*(\w+)", plan.toString(), re.M)
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near = "{} more".format
