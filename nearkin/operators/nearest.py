@@ -10,9 +10,8 @@ Both sides are DataFrames; three physical forms give the same rows.
     The candidate side is small (centroids): it is broadcast and the queries
     stream past it.  Nothing is shuffled and nothing is left to merge.
 ``grid``
-    Both sides are large: each bucket is cut into shards of candidates and
-    blocks of queries of bounded size, and each (shard, block) cell is one
-    cogroup.  A bucket holding a third of all rows becomes many cells.
+    Both sides are large: the smaller one is laid out in blocks that fit a broadcast, and the
+    other streams past each block where it lies.  Only running top-k lists are shuffled.
 
 A side is broadcast only after a bounded read has shown that it fits.
 
@@ -36,20 +35,19 @@ from pyspark.sql.window import Window
 
 from nearkin.operators import topk
 from nearkin.operators.topk import TopK, route_index, to_matrix
+from nearkin.session import cut_lineage
 
 # Ship the kernel inside the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(topk)
 
 BROADCAST_BYTES = 128 << 20
 WIDEST_VECTOR = 1024
-# Bytes of one side of a grid cell.  What the grid shuffles falls with this size.
+# Bytes of one block of the smaller side.  How often the larger one is read falls with this size.
 CELL_BYTES = 128 << 20
 # A search leaves at most this many partial lists per query, however many files it reads.
 MERGED_LISTS = 20_000
 # Above this many buckets a filter on them is no longer written into the scan.
 PUSHED_BUCKETS = 1000
-# The bucket of every row, used by queries without a restriction.
-EVERYTHING = "*"
 
 
 def nearest(
@@ -105,8 +103,8 @@ def nearest(
     if strategy in ("queries", "candidates"):
         raise ValueError(f"the {strategy} are larger than the broadcast bound")
     right = _candidate_side(candidates, key, labels, bucket)
-    cell_rows = max(1, cell_bytes // (8 * width))
-    return keep_nearest(_grid(left, right, k, measure, schema, cell_rows), k, key)
+    block_rows = max(1, cell_bytes // (8 * width))
+    return keep_nearest(_blocks(left, candidates, right, k, measure, schema, block_rows, bucket), k, key)
 
 
 def keep_nearest(hits: DataFrame, k: int, key: str) -> DataFrame:
@@ -263,53 +261,28 @@ def _append_task(shared, k, measure, vector, output) -> Callable:
     return run
 
 
-def _grid(left, right, k, measure, schema, cell_rows) -> DataFrame:
-    everything = F.array(F.lit(EVERYTHING))
-    key = schema.fields[1].name
-    asked = left.withColumn(
-        "_bucket", F.explode(F.array_distinct(F.coalesce("_routed", everything)))
-    ).drop("_routed")
-    offered = right.withColumn(
-        "_bucket",
-        F.explode(F.array_distinct(F.concat(F.coalesce("_buckets", F.array()), everything))),
-    ).drop("_buckets")
-    cuts = (
-        asked.groupBy("_bucket").agg(F.ceil(F.count("*") / cell_rows).alias("_blocks"))
-        .join(
-            offered.groupBy("_bucket").agg(F.ceil(F.count("*") / cell_rows).alias("_shards")),
-            "_bucket",
-        )
-    )
-    known = read_bounded(cuts, 8 << 20, 8)
-    if known is not None:  # a local relation: both joins below become broadcast joins
-        cuts = left.sparkSession.createDataFrame(known.to_pylist(), cuts.schema)
+def _blocks(left, candidates, right, k, measure, schema, block_rows, bucket) -> DataFrame:
+    """Hits of all queries; the smaller side passes in blocks, the larger is read once for each.
 
-    def other(size):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
-
-    asked = asked.join(cuts, "_bucket").select(
-        "query_id", "_vector", "_bucket",
-        F.pmod(F.xxhash64("query_id"), F.col("_blocks")).alias("_block"),
-        other("_shards").alias("_shard"),
-    )
-    offered = offered.join(cuts, "_bucket").select(
-        *[c for c in right.columns if c != "_buckets"], "_bucket",
-        F.pmod(F.xxhash64(key), F.col("_shards")).alias("_shard"),
-        other("_blocks").alias("_block"),
-    )
-
-    def run(asked_cell, offered_cell):
-        ids = asked_cell.column("query_id")
-        keys = offered_cell.drop_columns(["_vector", "_bucket", "_shard", "_block"])
-        if not asked_cell.num_rows or not offered_cell.num_rows:  # hashing left the cell empty
-            none = {name: keys.column(name).slice(0, 0) for name in keys.column_names}
-            return pa.table({"query_id": ids.slice(0, 0), **none, "distance": pa.array([], pa.float64())})
-        best = TopK(to_matrix(asked_cell.column("_vector")), k, measure)
-        best.feed(keys, to_matrix(offered_cell.column("_vector")))
-        return pa.Table.from_batches(best.hits(ids))
-
-    cell = ["_bucket", "_shard", "_block"]
-    hits = asked.groupBy(*cell).cogroup(offered.groupBy(*cell)).applyInArrow(run, schema)
-    # A candidate reached through two buckets of one query counts once.
-    rest = [c for c in hits.columns if c not in ("query_id", key)]
-    return hits.groupBy("query_id", key).agg(*[F.min(c).alias(c) for c in rest])
+    A block's hits are written before the next block starts, so one block is held at a time.
+    """
+    key = schema.fields[1].name
+    asked, offered = left.count(), right.count()
+    by, small, n = ("query_id", left, asked) if asked <= offered else (key, right, offered)
+    number = max(1, -(-n // block_rows))
+    placed = cut_lineage(small.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(number)).cast("int")), by="_block")
+    found = None
+    for block in range(number):
+        table = placed.where(F.col("_block") == block).drop("_block").toArrow()
+        if not table.num_rows:
+            continue
+        if by == "query_id":
+            restriction = _pushed_buckets(table.column("_routed"), candidates, bucket)
+            labels = [f.name for f in schema.fields[2:-1]]
+            part = _stream_candidates(table, _candidate_side(candidates.where(restriction), key, tuple(labels), bucket), k, measure, schema)
+            part = keep_nearest(part, k, key)
+        else:
+            part = _stream_queries(table, left, k, measure, schema)
+        part = cut_lineage(part.drop("rank"))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else left.sparkSession.createDataFrame([], schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions.text import pair_label
@@ -154,7 +156,7 @@ def routed_centroids(
 
     A probe whose buckets hold no speaker with a centroid searches all of them.
     """
-    centroids = enrolled.speaker_centroids or cut_lineage(described_speakers(enrolled.gallery))
+    centroids = enrolled.speaker_centroids if enrolled.speaker_centroids is not None else cut_lineage(described_speakers(enrolled.gallery))
     routing = {}
     if architecture != "brute_force":
         if architecture == "metadata_hierarchy":
@@ -173,6 +175,88 @@ def routed_centroids(
     return hits.select("query_id", "rank", "speaker_id", (-F.col("distance")).alias("score"))
 
 
+#: How buckets of each architecture are named where searches of several are stacked; ``*`` is any row of it.
+STACKED = {"metadata_hierarchy": "m:", "kmeans_clusters": "k:"}
+Asked = list[tuple[int, str, DataFrame]]  # configuration, architecture, probes with their route
+
+
+def _prefixed(names: Column, architecture: str) -> Column:
+    return F.transform(names.cast("array<string>"), lambda name: F.concat(F.lit(STACKED[architecture]), name))
+
+
+def _stack(asked: Asked, routes: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """All probes of all configurations; ``query_id`` is the pair of configuration and probe."""
+    rows = []
+    for config, architecture, probes in asked:
+        routed = F.lit(None).cast("array<string>")
+        if architecture in STACKED:
+            routed = routes[architecture](F.col("routed").cast("array<string>"))
+        rows.append(probes.select(F.struct(F.lit(config).alias("config"), "query_id").alias("query_id"), "embedding", routed.alias("routed")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _unstack(hits: DataFrame, *columns: str | Column) -> DataFrame:
+    return hits.select("query_id.config", F.col("query_id.query_id").alias("query_id"), "rank", *columns)
+
+
+def stacked_utterances(asked: Asked, enrolled: Enrolled, metric: str, limit: int) -> DataFrame:
+    """``(config, query_id, rank, id, speaker_id, distance)`` of several searches in one pass over the gallery."""
+    gallery = enrolled.gallery.where(F.col("speaker_id").isNotNull())
+    used, buckets = {architecture for _, architecture, _ in asked} & STACKED.keys(), []
+    if "metadata_hierarchy" in used:
+        if {"gender", "nationality"} <= set(gallery.columns):
+            gallery = gallery.select("*", _bucket_list())
+        else:
+            gallery = gallery.join(_speaker_buckets(enrolled.speakers), "speaker_id", "left")
+        own = F.concat(_prefixed(F.col("buckets"), "metadata_hierarchy"), F.array(F.lit("m:*")))
+        buckets.append(F.coalesce(own, F.array().cast("array<string>")))
+    if "kmeans_clusters" in used:
+        own = _prefixed(F.array("cluster_id"), "kmeans_clusters")
+        buckets.append(F.when(F.col("cluster_id").isNotNull(), own).otherwise(F.array().cast("array<string>")))
+    routing = {}
+    if used:
+        gallery = gallery.withColumn("stacked", F.concat(*buckets))
+        routing = {"routed": "routed", "bucket": "stacked"}
+    routes = {
+        # A probe without a metadata route searches all rows that have metadata.
+        "metadata_hierarchy": lambda r: F.coalesce(_prefixed(r, "metadata_hierarchy"), F.array(F.lit("m:*"))),
+        "kmeans_clusters": lambda r: _prefixed(r, "kmeans_clusters"),
+    }
+    hits = nearest(_stack(asked, routes), gallery, limit, metric, key="id", labels=("speaker_id",), width=enrolled.width, **routing)
+    return _unstack(hits, "id", "speaker_id", "distance")
+
+
+def stacked_centroids(asked: Asked, enrolled: Enrolled, metric: str, top_k: int) -> DataFrame:
+    """``(config, query_id, rank, speaker_id, score)`` of several centroid searches in one pass over the centroids.
+
+    As in a single search, a probe whose buckets hold no speaker with a centroid searches all of them.
+    """
+    centroids = enrolled.speaker_centroids if enrolled.speaker_centroids is not None else cut_lineage(described_speakers(enrolled.gallery))
+    used, buckets, routes = {architecture for _, architecture, _ in asked} & STACKED.keys(), [], {}
+    if "kmeans_clusters" in used:
+        centroids = centroids.withColumn("_kmeans_clusters", F.col("buckets").cast("array<string>"))
+    if "metadata_hierarchy" in used:
+        own = _speaker_buckets(enrolled.speakers).withColumnRenamed("buckets", "_metadata_hierarchy")
+        centroids = centroids.join(own, "speaker_id", "left")
+    for architecture in sorted(used):
+        names = F.col(f"_{architecture}")
+        inhabited = centroids.where(names.isNotNull()).select(F.explode(names).alias("b")).agg(F.collect_set("b")).scalar()
+
+        def routed(r: Column, architecture: str = architecture, inhabited: Column = inhabited) -> Column:
+            return F.when(F.arrays_overlap(r, inhabited), _prefixed(r, architecture))
+
+        routes[architecture] = routed
+        buckets.append(F.coalesce(_prefixed(names, architecture), F.array().cast("array<string>")))
+    routing = {}
+    if used:
+        centroids = centroids.withColumn("stacked", F.concat(*buckets))
+        routing = {"routed": "routed", "bucket": "stacked"}
+    hits = nearest(
+        _stack(asked, routes), centroids, top_k, centroid_measure(metric), key="speaker_id", few_candidates=True, width=enrolled.width, **routing,
+    )
+    return _unstack(hits, "speaker_id", (-F.col("distance")).alias("score"))
+
+
 def search(
     probes: DataFrame,
     enrolled: Enrolled,

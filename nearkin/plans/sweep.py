@@ -22,9 +22,9 @@ from nearkin.plans.search import (
     check_search,
     described_speakers,
     route,
-    routed_centroids,
-    routed_utterances,
     search,
+    stacked_centroids,
+    stacked_utterances,
 )
 from nearkin.session import cut_lineage
 
@@ -71,18 +71,19 @@ def sweep(
 
     Speaker centroids are computed once.  Probes are routed once per metric and
     architecture, at the greatest depth; a smaller depth is the head of that
-    route.  The utterance hits of a metric are written once and read by both
-    utterance modes.  All configurations are then scored together, with the
-    configuration as a grouping column.
+    route.  All configurations of a metric are then searched together: each asks on its own
+    behalf with its own route, and the gallery is read once for all of them.  The hits
+    are written once and read by both utterance modes, and all configurations are
+    scored together, with the configuration as a grouping column.
     """
     spark = probes.sparkSession
     modes = aggregations(utterance_mode)
     wanted = {"kmeans_clusters": depths(cluster_probes), "metadata_hierarchy": depths(metadata_probes)}
-    centroids = cut_lineage(described_speakers(enrolled.gallery))
-    enrolled = replace(enrolled, speaker_centroids=centroids)
+    if enrolled.speaker_centroids is None:
+        enrolled = replace(enrolled, speaker_centroids=cut_lineage(described_speakers(enrolled.gallery)))
     configs, ranked = [], []
     for metric in metrics:
-        hits = []
+        asked = []
         for architecture in architectures:
             check_search(architecture, AGGREGATIONS[0], metric)
             levels = wanted.get(architecture, [1])
@@ -90,18 +91,14 @@ def sweep(
             if architecture in wanted:
                 routed = cut_lineage(routed)
             for depth in levels:
-                first = F.lit(len(configs)).alias("config")
                 at = routed
                 if architecture in wanted:
                     at = routed.withColumn("routed", F.slice("routed", 1, depth))
-                found = routed_centroids(at, enrolled, architecture, metric, top_k)
-                ranked.append(found.select(*RANKED, first))
-                if len(modes) > 1:
-                    near = routed_utterances(at, enrolled, architecture, metric, candidate_limit)
-                    hits.append(near.select("query_id", "rank", "speaker_id", "distance", first))
+                asked.append((len(configs), architecture, at))
                 configs += [(len(configs) + i, architecture, m, metric, depth) for i, m in enumerate(modes)]
-        if hits:
-            together = cut_lineage(reduce(DataFrame.unionByName, hits))
+        ranked.append(stacked_centroids(asked, enrolled, metric, top_k).select(*RANKED, "config"))
+        if len(modes) > 1:
+            together = cut_lineage(stacked_utterances(asked, enrolled, metric, candidate_limit))
             for place, mode in enumerate(modes[1:], start=1):
                 found = rank_speakers(together, mode, metric, top_k, ("config",))
                 ranked.append(found.select(*RANKED, (F.col("config") + place).alias("config")))

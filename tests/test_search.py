@@ -269,3 +269,47 @@ def test_hit_rate_never_falls_with_k(crowd):
 def test_route_keeps_probes_in_place(world, probes):
     plan = route_metadata(probes, world.metadata_centroids, 2, "cosine")
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stacked_searches_equal_single_ones(world, probes):
+    from nearkin.plans.search import centroid_hits, route, stacked_centroids, stacked_utterances
+
+    no_pairs = swap(world, metadata_centroids=world.metadata_centroids.where("category = 'gender'"))
+    no_genders = swap(world, metadata_centroids=none_of(world.metadata_centroids))
+    for enrolled, metric in ((world, "cosine"), (no_pairs, "euclidean"), (no_genders, "cosine")):
+        settings = [(a, d) for a in ARCHITECTURES for d in ((1, 2) if enrolled is world and a != "brute_force" else (1,))]
+        asked = [(i, a, route(probes, enrolled, a, metric, d)) for i, (a, d) in enumerate(settings)]
+        hits = stacked_utterances(asked, enrolled, metric, 4).collect()
+        near = stacked_centroids(asked, enrolled, metric, 3).collect()
+        for i, (a, d) in enumerate(settings):
+            want = utterance_hits(probes, enrolled, a, metric, 4, d).collect()
+            assert sorted((r.query_id, r["rank"], r.id) for r in hits if r.config == i) == sorted((r.query_id, r["rank"], r.id) for r in want)
+            want = centroid_hits(probes, enrolled, a, metric, 3, d).collect()
+            assert sorted((r.query_id, r["rank"], r.speaker_id) for r in near if r.config == i) == sorted((r.query_id, r["rank"], r.speaker_id) for r in want)
+
+
+def test_a_sweep_reads_the_gallery_once_for_each_metric(crowd, spark):
+    from nearkin.plans.search import route, stacked_utterances
+    from nearkin.session import cut_lineage
+
+    _, _, _, enrolled, probes = crowd
+    stored = swap(enrolled, gallery=cut_lineage(enrolled.gallery))
+    asked = [(i, "kmeans_clusters", route(probes, stored, "kmeans_clusters", "cosine", 3).withColumn("routed", F.slice("routed", 1, d))) for i, d in enumerate((1, 2, 3))]
+    asked.append((3, "brute_force", probes))
+    plan = stacked_utterances(asked, stored, "cosine", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_repeated_ids_count_alike_in_every_form(spark):
+    rows = [(i // 2, "a", [1.0, float(i % 7)], 0) for i in range(40)]
+    gallery = spark.createDataFrame(rows, GALLERY).repartition(4)
+    probes = spark.createDataFrame([(i, "a", [1.0, float(i)]) for i in range(30)], PROBES)
+    forms = [
+        by_query(nearest(probes, gallery, 6, "euclidean", width=2, **form))
+        for form in ({"strategy": "queries"}, {"strategy": "candidates"}, {"strategy": "grid", "cell_bytes": 16 * 8}, {"strategy": "grid"})
+    ]
+    assert forms[0] == forms[1] == forms[2] == forms[3]
+    few = nearest(probes, gallery.where("id < 5"), 6, "euclidean", strategy="grid", width=2, cell_bytes=16 * 4)
+    assert by_query(few) == by_query(nearest(probes, gallery.where("id < 5"), 6, "euclidean"))
+    assert nearest(none_of(probes), gallery, 3, "cosine", strategy="grid").count() == 0
+    assert nearest(probes, none_of(gallery), 3, "cosine", strategy="grid").count() == 0
