@@ -148,4 +148,4 @@ class Views:
         if architecture == "kmeans_clusters":
             return Enrolled(self.gallery_clustered(clusters), cluster_centroids=clusters, width=WIDTH)
         stored = (self.gallery_clustered(clusters), self.speakers(), self.metadata_centroids())
-        return Enrolled(*map(cut_lineage, stored), clusters, WIDTH)
+        return Enrolled(*map(cut_lineage, stored), clusters, width=WIDTH)
