@@ -16,8 +16,10 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,38 @@ class Tokens:
             found.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, encoded))
         return found
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text; words not yet known are tokenized in one go."""
-        words = [text.split() for text in texts]
-        found = [list(map(self.known.get, w)) for w in words]
-        missing = {w for ws, fs in zip(words, found) if None in fs for w, f in zip(ws, fs) if f is None}
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; those not yet known are tokenized in one go."""
+        found = list(map(self.known.get, words))
+        missing = [w for w, f in zip(words, found) if f is None]
         if missing:
             parts = {w: _parts(w) for w in missing}
             new = self._encode(list({p for ps in parts.values() for p in ps if p not in self.stems}))
             if len(self.stems) < _KNOWN_STEMS:
                 self.stems.update(new)
-            new = {w: b"".join(new.get(p) or self.stems.get(p, b"") for p in ps) for w, ps in parts.items()}
+            new = {w: b"".join([new.get(p) or self.stems.get(p, b"") for p in ps]) for w, ps in parts.items()}
             if len(self.known) < _KNOWN_WORDS:
                 self.known.update(new)
-            found = [[new[w] if f is None else f for w, f in zip(ws, fs)] if None in fs else fs for ws, fs in zip(words, found)]
-        return [b"".join(f) for f in found]
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text begins and the last one ends.
+
+        Arrow splits the texts and numbers their distinct words; each of these is looked up once.
+        """
+        words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        distinct = self._words(numbered.dictionary.cast(pa.large_binary()).to_pylist())
+        length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 4
+        first = np.cumsum(length) - length
+        pool = np.frombuffer(b"".join(distinct), dtype="<u4")
+        word = numbered.indices.to_numpy()
+        size = length[word]
+        end = np.cumsum(size)
+        place = np.arange(end[-1] if len(end) else 0) + np.repeat(first[word] - (end - size), size)
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return pool[place], np.append(0, end)[offsets]
 
 
 _MARKS = b".,;:!?%$#&*"
@@ -97,9 +116,10 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = []
-                found = tokens.ids([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in piece.column("text")])
-                for doc_id, row, ids in zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist(), found):
-                    raw = memoryview(ids + end)
+                ids, cuts = tokens.ids(piece.column("text"))
+                cuts = cuts.tolist()
+                for i, (doc_id, row) in enumerate(zip(piece.column("doc_id").to_pylist(), piece.column("row").to_pylist())):
+                    raw = memoryview(ids[cuts[i] : cuts[i + 1]].tobytes() + end)
                     total = len(raw) // 4
                     for start in range(0, total, capacity):
                         part = raw[4 * start : 4 * (start + capacity)]
@@ -159,6 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
 
     Every row of ``docs`` is a document of its own, which ``row`` tells apart; a null or empty
     text has the end id alone.  No sequence is longer than the capacity and no id is left out.
+    A very long text gives many pieces; other columns are not read, and an empty table gives no row.
     """
     quiet_shuffles(docs.sparkSession)
     schema = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -33,7 +33,7 @@ from llm.packing import Tokens, first_fit_decreasing, pack
 from llm.permutation_index import nearest
 from llm.queries import QUERIES, RULES, SQL, WEIGHTS, source_levels
 from llm.substring_dedup import remove_repeats
-from llm.url_filter import filter_urls
+from llm.url_filter import filter_urls, page_links
 from llm.words import split_words
 from tests.conftest import DATA
 
@@ -229,7 +229,9 @@ def test_first_fit_decreasing(lengths):
 def test_tokens_word_by_word():
     tokenizer, own = Tokenizer.from_file(TOKENIZER), Tokens(TOKENIZER)
     for text in ["It's THE end., don't %%% a<|endoftext|>B", "İİ Ünï—. x y\x1cz", "é. 12.5 a...b ###", "<|ENDOFTEXT|>."] + texts()[1:]:
-        assert np.frombuffer(own.ids([text.encode(), b"q"])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        ids, cuts = own.ids(pa.array(["q", text, None, "q"])[1:])
+        assert ids[cuts[0] : cuts[1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert cuts[1] == cuts[2] and len(cuts) == 4 and len(ids) == cuts[3]
 
 
 def test_mixing(docs):
@@ -372,6 +374,36 @@ def test_html_text_below_names_that_only_resemble():
     assert want in main_text(little)
 
 
+def test_url_links(spark):
+    base = "http://a.org/x/y.html?z=1"
+    cases = {
+        '<link rel="canonical" href="/go?u=http://bad.net/es/p">': "a.org/go?u=http://bad.net/es/p",
+        '<!-- <link rel="canonical" href="http://bad.net/es/1"> -->': None,
+        '<script>var x = \'<link rel="canonical" href="http://bad.net/es/2">\';</script>': None,
+        '<link data-rel="canonical" rel="next" href="http://bad.net/es/3">': None,
+        '<link rel="canonical" data-href="http://bad.net/es/4" href="http://c.org/4">': "c.org/4",
+        '<link title=\'rel="canonical"\' href="http://bad.net/es/5">': None,
+        '<link rel="canonical" href="?p=2">': "a.org/x/y.html?p=2",
+        '<link rel="canonical" href="../q#top">': "a.org/q",
+        '<link rel="canonical" href="./r/../s/.">': "a.org/x/s/",
+        '<link rel="canonical" href="/../../t">': "a.org/t",
+        '<link rel="canonical" href="http://c.org/?a=1&amp;b=2&#38;c=3&#x26;d=4&copy">': "c.org/?a=1&b=2&c=3&d=4&copy",
+        '<link rel="shortlink CANONICAL" href=//C.org/9>': "c.org/9",
+        '<link href="http://c.org/10" rel=canonical title="a > b">': "c.org/10",
+        '<link rel=canonical href="mailto:x@y.z">': None,
+        '<link rel=canonical href="#here">': None,
+        '<meta http-equiv="Refresh" content="0; URL=\'http://c.org/12\'">': "c.org/12",
+        '<meta name="refresh" content="0; url=http://bad.net/es/13">': None,
+        '<meta http-equiv=refresh content=5>': None,
+        "<link rel=canonical": None,
+    }
+    pages = spark.createDataFrame([(i, base.replace("y", f"y{i}"), h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.a: r.b for r in page_links(pages).collect()}
+    want = {f"a.org/x/y{i}.html?z=1": b and b.replace("y.html", f"y{i}.html") for i, b in enumerate(cases.values())}
+    assert got == {a: b for a, b in want.items() if b}
+    assert all(r.verdict == "allow" for r in filter_urls(pages, RULES).collect())
+
+
 def article_of(page):
     """The blocks of a given page's article element, read with patterns."""
     inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", page)[1]
@@ -427,6 +459,19 @@ def test_nearest(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_of_mixed_widths(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=2).tolist()) for i in range(60)] + [(60, [1.0, 2.0, 3.0]), (61, [1.0, 0.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 60} and [r.vec_id for r in got if r.query_id == 60] == [61]
+    v = np.array([r[1] for r in rows[:60]])
+    for q in (0, 20, 40):
+        own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+        score = v @ v[q]
+        want = sorted((i for i in range(60) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert len(set(want) & {i for _, i in own}) >= 18 and len(own) == 20
+
+
 def test_language(spark):
     got = identify(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).where("held_out").select("lang", "lang_pred", "rejected").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and not any(r.rejected for r in got)
@@ -457,6 +502,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {"doc_id", "sequence_id", "offset"} <= set(frame.columns)
 
 
+def test_stages_keep_columns_with_any_names(spark, docs):
+    names = ["_id", "_sha", "_own", "_take", "score", "k", "row", "take", "tokens", "Rejected", "digest"]
+    rows = [(i, t, ["en", "de"][i % 2], f"src{i % 4}", None, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts()) if len(t or "") < 3000]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, "")
+        assert got.columns == frame.columns
+        found = got.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names), name
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
     folder = f"{DATA}/sf0.001"
