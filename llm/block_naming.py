@@ -92,16 +92,15 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
 
 
 def drop_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents, all columns, that ``exact_duplicates`` keeps."""
+    """The documents, all columns whatever their names, that ``exact_duplicates`` keeps."""
     found = cut_lineage(exact_duplicates(docs, block_chars))
-    by_row = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(
-        F.max("kept").alias("_kept"), F.count("*").alias("_n")
-    )
-    texts = docs.withColumn("_text_sha", F.sha2(normalised("text"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    left = texts.join(by_row.where("not _kept"), same, "left_anti")
-    repeated = cut_lineage(by_row.where("_kept and _n > 1"))
+    by_row = found.groupBy(F.struct("doc_id", "text_sha256").alias("k")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    by_row = cut_lineage(by_row)
+    sha = F.sha2(normalised("text"), 256)
+    rows = docs.select(F.struct("doc_id", sha.alias("text_sha256")).alias("k"), F.struct("*").alias("row"))
+    left = rows.join(by_row.where("not kept").select("k"), "k", "left_anti")
+    repeated = cut_lineage(by_row.where("kept and n > 1").select("k"))
     if not repeated.isEmpty():
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
-        left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.drop("_text_sha")
+        once = left.join(repeated, "k", "left_semi").dropDuplicates(["k"])
+        left = left.join(repeated, "k", "left_anti").unionByName(once)
+    return left.select("row.*")

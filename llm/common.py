@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nearkin.session import cut_lineage
 
-__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "text_digest", "block_rows", "add_blocks"]
+__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "text_digest", "free_name", "block_rows", "add_blocks"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def text_digest(text: str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores before it until none of the columns has it in any spelling."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 

@@ -458,6 +458,6 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = cut_lineage(members.where("size > 0").select("component", "doc_id", "digest"))
     first = cut_lineage(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    drop = members.join(first, "component").where(~stays).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    return docs.withColumn("_own", text_digest()).join(drop, same, "left_anti").drop("_own")
+    drop = cut_lineage(members.join(first, "component").where(~stays).select(F.struct("doc_id", "digest").alias("k")).distinct())
+    rows = docs.select(F.struct("doc_id", text_digest().alias("digest")).alias("k"), F.struct("*").alias("row"))
+    return rows.join(drop, "k", "left_anti").select("row.*")

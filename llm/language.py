@@ -90,6 +90,10 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield block_rows(total, PLACES)
 
 
+# Unit vectors are summed as whole numbers of this many steps: below 2 ** 53 their order does not matter.
+STEPS = 1 << 24
+
+
 def _step(model: Model, first: bool, last: bool):
     """Sums of the unit vectors per centroid; in the last pass the least cosine per length class."""
 
@@ -110,7 +114,7 @@ def _step(model: Model, first: bool, last: bool):
                 if last:
                     lengths = counts.sum(axis=1)
                     np.minimum.at(least, _length_class(counts)[lengths > 0], cosine.max(axis=1)[lengths > 0])
-            np.add.at(sums, cluster, vectors)
+            np.add.at(sums, cluster, np.rint(vectors * STEPS))
         if last:
             yield block_rows(2.0 - least, LENGTH_CLASSES, cluster=0)
         else:
@@ -157,16 +161,19 @@ def train(docs: DataFrame, clusters: int = 3, rounds: int = 4, sample: int = 400
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: Model, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """The documents, all columns, with lang_pred, score (0 to 1) and rejected added in the same pass.
 
     A null text and one without a letter get ``und``, score 0, rejected.  Every other text
     gets its nearest language, rejected or not; with no language learned all get ``und``.
-    Columns of the input with one of the three names are replaced.
+    Columns of the input with one of the three names are replaced; ``added`` gives other names.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    schema = docs.select("*", *(F.lit(value).alias(name) for name, value in zip(added, ("", 0.0, True)))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -184,7 +191,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names, score, far = [UNKNOWN] * len(piece), np.zeros(len(piece)), np.ones(len(piece), bool)
             yield pa.RecordBatch.from_arrays(
                 [*piece.columns, pa.array(names), pa.array(np.where(letters, score, 0.0)), pa.array(far | ~letters)],
-                [*piece.schema.names, "lang_pred", "score", "rejected"],
+                [*piece.schema.names, *added],
             )
 
     return docs.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import cut_lineage, quiet_shuffles, text_digest
+from llm.common import cut_lineage, free_name, quiet_shuffles, text_digest
 from nearkin.operators.order import totals_before
 
 Weights = Mapping[tuple[str, ...], int]
@@ -154,18 +154,21 @@ def _first_words(text: pa.Scalar, count: int) -> str:
     return raw[:at].decode()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        place = batch.schema.get_field_index("text")
-        take, own = batch.column("_take").to_pylist(), batch.column("_tokens_own").to_pylist()
-        if take != own:
-            texts = [_first_words(x, t) if t < o else x.as_py() for x, t, o in zip(batch.column("text"), take, own)]
-            batch = batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type))
-        yield batch
+def _cut(take: str, own: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            wanted, held = batch.column(take).to_pylist(), batch.column(own).to_pylist()
+            if wanted != held:
+                texts = [_first_words(x, t) if t < o else x.as_py() for x, t, o in zip(batch.column("text"), wanted, held)]
+                batch = batch.set_column(place, "text", pa.array(texts, batch.schema.field("text").type))
+            yield batch
+
+    return run
 
 
 def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights, **options) -> DataFrame:
-    """The mixture as documents, all columns, one row per document and epoch.
+    """The mixture as documents, all columns whatever their names, one row per document and epoch.
 
     The last document of a leaf's epoch is cut after its last token; a column n_chars then
     follows the text.  Rows that share a doc_id, a leaf and their text count as copies of one document.
@@ -174,33 +177,24 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: Weights
     measured = _measured(docs, levels, text_digest().alias("digest"))
     taken = _mix(measured, names, weights, more=("digest",), **options)
     # Rows with equal keys have equal texts and may stand in for each other, so one is drawn for all.
-    keys = [
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), *(F.col(n).alias(f"_{n}") for n in names),
-        F.col("n_tokens").alias("_tokens"),
-    ]
-    repeated = cut_lineage(measured.groupBy(*keys).count().where("count > 1").drop("count"))
-    taken = taken.groupBy(*keys, "epoch").agg(F.sum("take_tokens").alias("_sum"), F.count("*").alias("_n")).withColumn(
-        "_take", F.explode(F.expr(
-            "transform(sequence(1, cast(_n as int)), i -> greatest(0, least(_tokens, _sum - (i - 1) * _tokens)))"
-        ))
-    ).where("_take > 0").drop("_sum", "_n", "epoch")
-    columns = docs.columns
-    rows = docs.withColumns(
-        {f"{n}_own": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()}
-        | {"_tokens_own": word_tokens(), "_digest_own": text_digest()}
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_own") == F.col("_digest")) & (F.col("_tokens_own") == F.col("_tokens"))
-    for n in names:
-        same = same & (F.col(f"{n}_own") == F.col(f"_{n}"))
-    once = rows.where("_tokens_own > 0")
+    key = F.struct("doc_id", "digest", *names, F.col("n_tokens").alias("tokens")).alias("k")
+    repeated = cut_lineage(measured.groupBy(key).count().where("count > 1").select("k"))
+    taken = taken.groupBy(key, "epoch").agg(F.sum("take_tokens").alias("total"), F.count("*").alias("n")).select("k", F.explode(F.expr(
+        "transform(sequence(1, cast(n as int)), i -> greatest(0, least(k.tokens, total - (i - 1) * k.tokens)))"
+    )).alias("take")).where("take > 0")
+    leaf = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
+    rows = docs.select(
+        F.struct("doc_id", text_digest().alias("digest"), *leaf, word_tokens().alias("tokens")).alias("k"), F.struct("*").alias("row")
+    ).where("k.tokens > 0")
     if not repeated.isEmpty():
-        first = once.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest_own", "_tokens_own", *(f"{n}_own" for n in names)])
-        once = once.join(repeated, same, "left_anti").unionByName(first)
-    found = once.join(taken, same).select(*columns, "_take", "_tokens_own")
-    cut = found.mapInArrow(_cut, found.schema).select(columns)
+        first = rows.join(repeated, "k", "left_semi").dropDuplicates(["k"])
+        rows = rows.join(repeated, "k", "left_anti").unionByName(first)
+    columns = docs.columns
+    take = free_name(columns, "take")
+    own = free_name([*columns, take], "tokens")
+    found = rows.join(cut_lineage(taken), "k").select("row.*", F.col("take").alias(take), F.col("k.tokens").alias(own))
+    cut = found.mapInArrow(_cut(take, own), found.schema)
     if "n_chars" in columns:
-        partly = F.col("_take") < F.col("_tokens_own")
-        cut = found.mapInArrow(_cut, found.schema).withColumn(
-            "n_chars", F.when(partly, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        ).select(columns)
-    return cut
+        partly = F.col(take) < F.col(own)
+        cut = cut.withColumn("n_chars", F.when(partly, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(columns)
