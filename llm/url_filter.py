@@ -63,25 +63,82 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return fitting.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.allowed")
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Edges ``a, b`` (addresses) from a page to its canonical address and to where it refreshes to."""
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"
-    tag = pages.select("url", F.explode(F.filter(tags, lambda t: t.rlike(wanted))).alias("tag"))
-    canonical = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    target = F.regexp_replace(F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh), "&amp;", "&")
-    found = tag.select("url", target.alias("to")).where("to != ''")
-    site = F.concat(F.regexp_extract("url", r"^([^:/?#]+)://", 1), F.lit("://"), host(F.col("url")))
-    folder = F.regexp_extract(path(F.col("url")), r"^(.*/)?", 0)
-    whole = (
-        F.when(F.instr("to", "://") > 0, F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to"))
-        .when(F.startswith("to", F.lit("/")), F.concat(site, "to"))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), "to"))
+#: What may hold text that looks like a tag: comments, and elements whose text is not read as tags.
+_NOT_READ = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template|xmp|iframe)\b.*?(?:</\1\s*>|\z)"
+_TAGS = r"(?i)<(?:link|meta)\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+_ATTRIBUTE = r"""\s([a-zA-Z][-a-zA-Z0-9:_]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_PIECE = r"(?i)&#[0-9]{1,7};?|&#x[0-9a-f]{1,6};?|&(?:amp|lt|gt|quot|apos);|&|[^&]+"
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+_SCHEME = r"^[a-zA-Z][-a-zA-Z0-9+.]*:"
+
+
+def decoded(text: Column) -> Column:
+    """The text with character references decoded; those beyond ASCII, which no plain URL holds, stay."""
+
+    def piece(p: Column) -> Column:
+        hexadecimal = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+)", 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(F.nullif(F.regexp_extract(p, r"^&#([0-9]+)", 1), F.lit(""))).cast("int")
+        named = F.when(F.lit(False), p)
+        for name, character in _NAMED.items():
+            named = named.when(F.lower(p) == name, F.lit(character))
+        return F.coalesce(F.when((code > 0) & (code < 128), F.char(code)), named, p)
+
+    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), piece), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on with its ``.`` and ``..`` steps taken."""
+    steps = F.split(path, "/")
+    nothing = F.array().cast("array<string>")
+    walked = F.aggregate(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), nothing, lambda done, step: (
+        F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(step == ".", done).otherwise(F.array_append(done, step))
+    ))
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    found = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(F.size(walked) > 0, ends).otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), found).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The whole URL that a reference on a page stands for; null if it names no page of the web."""
+    own = F.regexp_extract(base, r"^([^:/?#]+)://", 1)
+    site = F.concat(own, F.lit("://"), host(base))
+    folder = F.regexp_extract(path(base), r"^(.*/)?", 0)
+    tail = F.regexp_extract(target, r"[?#].*$", 0)
+    steps = F.regexp_extract(target, r"^[^?#]*", 0)
+    return (
+        F.when(target.rlike(_SCHEME + "//"), target)
+        .when(target.rlike(_SCHEME), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(own, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, without_dots(steps), tail))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, path(base), target))
+        .when((target == "") | F.startswith(target, F.lit("#")), F.lit(None))
+        .otherwise(F.concat(site, without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), steps)), tail))
     )
-    # A generator keeps the expression in one place; a filter pushed below it would repeat it many times.
-    found = found.select("url", F.explode(F.array(whole)).alias("to"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Edges ``a, b`` (addresses) from a page to its canonical address and to where it refreshes to.
+
+    Only tags count that a browser would read as such: none in comments, scripts and the like,
+    and of an attribute given twice the first.
+    """
+    read = F.regexp_replace(F.coalesce("html", F.lit("")), _NOT_READ, " ")
+    candidate = pages.where(F.col("html").rlike(r"(?i)canonical|refresh"))
+    tags = candidate.select("url", F.explode(F.regexp_extract_all(read, F.lit(_TAGS), F.lit(0))).alias("tag"))
+    # A generator keeps an expression in one place; a projection or a filter would repeat it.
+    parts = tags.select("url", F.lower(F.substring("tag", 2, 4)).alias("kind"), F.explode(F.array(F.struct(
+        F.transform(F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(1)), F.lower).alias("names"),
+        F.transform(F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(2)), lambda v: decoded(F.regexp_replace(v, r"^[\"']|[\"']$", ""))).alias("values"),
+    ))).alias("t"))
+
+    def value(name: str) -> Column:
+        at = F.array_position("t.names", name)
+        return F.coalesce(F.get("t.values", F.when(at > 0, at - 1).otherwise(-1).cast("int")), F.lit(""))
+
+    canonical = F.when(F.array_contains(F.split(F.lower(F.trim(value("rel"))), r"\s+"), "canonical"), value("href"))
+    refresh = F.when(F.lower(F.trim(value("http-equiv"))) == "refresh", F.regexp_extract(value("content"), r"(?i)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1))
+    found = parts.select("url", F.explode(F.array(F.trim(F.when(F.col("kind") == "link", canonical).otherwise(refresh)))).alias("to")).where("to != ''")
+    found = found.select("url", F.explode(F.array(resolve(F.col("url"), F.col("to")))).alias("to")).where("to is not null")
     return found.select(address(F.col("url")).alias("a"), address(F.col("to")).alias("b")).where("a != '' and b != ''")
 
 
