@@ -17,6 +17,7 @@ work, and its packed lists of best rows are merged in two levels.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from llm.common import cut_lineage, quiet_shuffles
 
 ROWS, QUERIES = 1024, 256  # per block
+MOST_WIDTHS = 16
 
 _PACKED = "block long, ids binary, vectors binary, places binary"
 _HIT = np.dtype([("query", "<i8"), ("id", "<i8"), ("score", "<f8")])
@@ -150,15 +152,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``id, vector`` (doubles) of the rows that take part.
 
-    Left out are rows without id, vectors that are null, empty or zero or hold a null or
-    non-finite component, and vectors narrower than the widest.  Of rows with one id the least vector counts.
+    Left out are rows without id and vectors that are null, empty or zero or hold a null or
+    non-finite component.  Of rows with one id the least vector counts.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vector")).where(
         "id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x != 0)"
     )
-    rows = cut_lineage(rows.groupBy("id").agg(F.min("vector").alias("vector")))
-    width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
-    return rows.where(F.size("vector") == width)
+    return cut_lineage(rows.groupBy("id").agg(F.min("vector").alias("vector")))
 
 
 def nearest(
@@ -166,10 +166,20 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows found for every row whose id is divisible by ``every``.
 
-    Ties go to the smaller id.  A table without usable rows gives no row.
+    Ties go to the smaller id.  A table without usable rows gives no row.  Vectors of different widths
+    have no inner product: each width is searched by itself, and more than ``MOST_WIDTHS`` are an error.
     """
     quiet_shuffles(vectors.sparkSession)
     rows = usable(vectors)
+    widths = [r["w"] for r in rows.select(F.size("vector").alias("w")).distinct().limit(MOST_WIDTHS + 1).collect()]
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} widths")
+    found = [_nearest(rows.where(F.size("vector") == w), every, k, pivots, prefix, share, seed) for w in sorted(widths)]
+    return reduce(DataFrame.unionByName, found) if found else _nearest(rows, every, k, pivots, prefix, share, seed)
+
+
+def _nearest(rows: DataFrame, every: int, k: int, pivots: int, prefix: int, share: float, seed: int) -> DataFrame:
+    """The search among rows of one width."""
     longest, count, asked = rows.agg(
         F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))), F.count("*"), F.count_if(F.col("id") % every == 0)
     ).first()
