@@ -408,6 +408,24 @@ _STATEMENTS = {
         f"{mode}_{name}": _search_row(f"{mode}_{name}_c")
         for mode in ("centroid", "closest", "vote") for name in ("brute", "metadata", "kmeans")
     },
+    "fallback_no_gender": _knn_row("knn_brute_c"),
+    "fallback_gender_only": f"""SELECT query_id, CAST(r AS INTEGER) AS rank, id, speaker_id, {_r6('distance')} AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, id) AS r FROM (
+            SELECT p.query_id, g.id, g.speaker_id, {_cosine('g.embedding', 'p.embedding')} AS distance
+            FROM fx_probes p JOIN best_gender_c b USING (query_id)
+            JOIN (SELECT query_id, label FROM metadata_route_c UNION ALL SELECT query_id, 'male' FROM fx_probes) r
+                ON r.query_id = p.query_id AND (b.gender = 'male') = (r.label = 'male')
+            JOIN fx_speakers s ON r.label = CASE WHEN b.gender = 'male' THEN s.gender ELSE concat(s.gender, ':', s.nationality) END
+            JOIN fx_gallery g ON g.speaker_id = s.speaker_id)) WHERE r <= {LIMIT}""",
+    "fallback_no_clusters": _search_row("centroid_brute_c"),
+    "fallback_empty_clusters": f"""SELECT query_id, CAST(r AS INTEGER) AS rank, speaker_id, {_r6('score')} AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, speaker_id) AS r FROM (
+            SELECT p.query_id, c.speaker_id, list_dot_product(c.embedding, p.embedding) AS score
+            FROM fx_probes p JOIN (SELECT query_id, label FROM cluster_route_c WHERE rank = 1) r USING (query_id), speaker_vectors c
+            WHERE r.label IN ({', '.join(map(str, FILTER_CLUSTERS))})
+                OR EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = r.label AND m.speaker_id = c.speaker_id))) WHERE r <= {TOP_K}""",
+    "fallback_no_hits": """SELECT speaker_id AS truth, '__NO_PREDICTION__' AS prediction, -1.0::DOUBLE AS score, CAST(0 AS INTEGER) AS correct,
+        count(*) AS probes FROM fx_probes GROUP BY speaker_id""",
     "top1_accuracy": _metric_row("closest_kmeans_c", METRICS[:1]),
     "hit_at_k": _metric_row("closest_kmeans_c", METRICS[1:2]),
     "macro_prf": _metric_row("closest_kmeans_c", METRICS[2:5]),
@@ -429,6 +447,15 @@ _STATEMENTS = {
         UNION ALL SELECT 'missing_label', count(*) FROM fx_clips WHERE speaker_id IS NULL
         UNION ALL SELECT 'missing_vector', count(*) FROM fx_clips WHERE embedding IS NULL
         UNION ALL SELECT 'wrong_width', count(*) FROM fx_clips WHERE len(embedding) <> {WIDTH})""",
+    "stage_check": f"""SELECT 'gallery' AS input, * FROM (
+        SELECT 'missing_columns' AS check_name, CAST(0 AS BIGINT) AS violations
+        UNION ALL SELECT 'no_rows', CAST(count(*) = 0 AS BIGINT) FROM fx_clips
+        UNION ALL SELECT 'missing_label', count(*) FROM fx_clips WHERE speaker_id IS NULL
+        UNION ALL SELECT 'missing_vector', count(*) FROM fx_clips WHERE embedding IS NULL
+        UNION ALL SELECT 'wrong_width', count(*) FROM fx_clips WHERE len(embedding) <> {EXPECTED_DIM})
+        UNION ALL SELECT 'metadata', * FROM (SELECT 'missing_columns', CAST(0 AS BIGINT)
+        UNION ALL SELECT 'no_rows', CAST(count(*) = 0 AS BIGINT) FROM fx_metadata
+        UNION ALL SELECT 'missing_label', count(*) FROM fx_metadata WHERE speaker_id IS NULL)""",
     "table_profile": _profile(),
 }
 

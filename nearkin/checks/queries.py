@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -480,6 +481,52 @@ def _register_searches() -> None:
 _register_searches()
 
 
+# Fallbacks: what a search does where a route leads nowhere
+
+
+@_register("fallback_no_gender")
+def _fallback_no_gender(v: Views) -> DataFrame:
+    """Without centroids of genders a search by metadata covers all rows."""
+    enrolled = v.enrolled("metadata_hierarchy")
+    pairs = replace(enrolled, metadata_centroids=enrolled.metadata_centroids.where("category <> 'gender'"))
+    return _rounded(utterance_hits(v.probes(), pairs, "metadata_hierarchy", "cosine", LIMIT, N_PROBES), "distance")
+
+
+@_register("fallback_gender_only")
+def _fallback_gender_only(v: Views) -> DataFrame:
+    """Without centroids of men's nationalities probes like men are searched among all men."""
+    enrolled = v.enrolled("metadata_hierarchy")
+    known = enrolled.metadata_centroids.where("category_value not like 'male:%'")
+    hits = utterance_hits(v.probes(), replace(enrolled, metadata_centroids=known), "metadata_hierarchy", "cosine", LIMIT, N_PROBES)
+    return _rounded(hits, "distance")
+
+
+@_register("fallback_no_clusters")
+def _fallback_no_clusters(v: Views) -> DataFrame:
+    """Without cluster centroids a centroid search covers all speakers."""
+    enrolled = v.enrolled("kmeans_clusters")
+    none = replace(enrolled, cluster_centroids=enrolled.cluster_centroids.where("cluster_id < 0"))
+    return _rounded(search(v.probes(), none, "cosine", "kmeans_clusters", "speaker_centroid", TOP_K), "score")
+
+
+@_register("fallback_empty_clusters")
+def _fallback_empty_clusters(v: Views) -> DataFrame:
+    """A probe whose cluster holds no speaker is compared with all of them."""
+    enrolled = v.enrolled("kmeans_clusters")
+    left = F.when(~F.col("cluster_id").isin(FILTER_CLUSTERS), F.col("cluster_id"))
+    emptied = replace(enrolled, gallery=cut_lineage(enrolled.gallery.withColumn("cluster_id", left)))
+    return _rounded(search(v.probes(), emptied, "cosine", "kmeans_clusters", "speaker_centroid", TOP_K), "score")
+
+
+@_register("fallback_no_hits")
+def _fallback_no_hits(v: Views) -> DataFrame:
+    """Probes without hits count as wrong, with a score of their own."""
+    enrolled = v.enrolled("kmeans_clusters")
+    none = replace(enrolled, cluster_centroids=enrolled.cluster_centroids.where("cluster_id < 0"))
+    found = search(v.probes(), none, "cosine", "kmeans_clusters", "closest", TOP_K)
+    return outcomes(v.probes(), found).groupBy("truth", "prediction", "score", "correct").agg(F.count("*").alias("probes"))
+
+
 # Scoring
 
 
@@ -552,6 +599,13 @@ def _contract_check(v: Views) -> DataFrame:
     return profile.contract_check(v.clips(), WIDTH)
 
 
+@_register("stage_check")
+def _stage_check(v: Views) -> DataFrame:
+    """What the inputs of an enrolment lack."""
+    metadata = readers.clean_metadata(v.metadata_raw())
+    return profile.stage_check("populate", {"gallery": v.clips(), "metadata": metadata}, EXPECTED_DIM)
+
+
 @_register("table_profile")
 def _table_profile(v: Views) -> DataFrame:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

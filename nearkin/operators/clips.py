@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.operators.order import number_rows
+from nearkin.session import cut_lineage
 
 
 def mark_holdout(clips: DataFrame, speaker: str = "speaker_id", video: str = "video_id") -> DataFrame:
     """Add ``held_out``: the clip is in the last video of a speaker who has several.
 
     A speaker has several videos when the first differs from the last, so two
-    plain aggregates replace a distinct count.
+    plain aggregates replace a distinct count.  They are written before the clips are joined to
+    them, so that adaptive execution can split a speaker who holds many clips.
     """
-    ends = clips.groupBy(speaker).agg(F.min(video).alias("_first"), F.max(video).alias("_last"))
+    ends = cut_lineage(clips.groupBy(speaker).agg(F.min(video).alias("_first"), F.max(video).alias("_last")))
     last = (F.col(video) == F.col("_last")) & (F.col("_first") < F.col("_last"))
     return clips.join(ends, speaker).withColumn("held_out", last).drop("_first", "_last")
 
@@ -52,7 +54,10 @@ def number_by_size(clips: DataFrame) -> DataFrame:
 
 
 def first_probes(probes: DataFrame, n: int | None) -> DataFrame:
-    return probes if n is None else probes.orderBy("query_id").limit(n)
+    """The probes with the ``n`` smallest ids; only ids are sorted."""
+    if n is None:
+        return probes
+    return probes.join(probes.select("query_id").orderBy("query_id").limit(n), "query_id", "left_semi")
 
 
 def speaker_groups(speakers: DataFrame) -> DataFrame:
