@@ -18,6 +18,7 @@ from llm.language import identify
 from llm.license_scan import scan
 from llm.line_quality import judge
 from llm.mixing import mix
+from llm.mixing_sql import mixing_sql
 from llm.packing import pack
 from llm.permutation_index import nearest
 from llm.substring_dedup import remove_repeats
@@ -145,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_mixing": mixing_sql(WEIGHTS),
     "op3_url_filter": r"""
         WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
              p AS (SELECT page_id,

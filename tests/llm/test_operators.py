@@ -26,7 +26,7 @@ from llm.block_naming import drop_duplicates, exact_duplicates
 from llm.common import connected_components
 from llm.html_text import extract, main_text
 from llm.jaccard_join import keep_first, near_duplicates, parity, shared_needed
-from llm.language import identify
+from llm.language import identify, predict, train
 from llm.license_scan import TEMPLATES, scan
 from llm.mixing import budgets, mix, mixed_documents
 from llm.packing import Tokens, first_fit_decreasing, pack
@@ -477,6 +477,45 @@ def test_language(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and not any(r.rejected for r in got)
 
 
+def slow_trigrams(text):
+    """Trigram counts by place, letter by letter."""
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode())
+    found = Counter()
+    for i in range(len(raw) - 2):
+        if raw[i : i + 3] != b"   ":
+            found[int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32 >> 19] += 1
+    return found
+
+
+def test_language_against_brute_force(spark):
+    """Document frequencies, weights and nearest centroids one by one; the same model for any partitioning."""
+    frame = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").where("doc_id % 5 = 0 and length(text) < 4000")
+    model, again = train(frame), train(frame.repartition(7))
+    assert np.allclose(model.centroids, again.centroids, atol=1e-7) and np.array_equal(model.idf, again.idf)
+    rows = frame.collect()
+    counts = [slow_trigrams(r.text) for r in rows]
+    learned = [c for c, r in zip(counts, rows) if r.text is not None and r.lang is not None]
+    often = Counter(p for c in learned for p in c)
+    idf = np.array([np.log((1 + len(learned)) / (1 + often[p])) + 1 for p in range(len(model.idf))])
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    assert np.allclose((model.centroids**2).sum(axis=0), 1, atol=1e-4) and model.languages == sorted({r.lang for r in rows if r.lang})
+    got = {r.doc_id: r for r in predict(frame, model).collect()}
+    for r, c in zip(rows, counts):
+        vector = {p: np.log1p(n) * idf[p] for p, n in c.items()}
+        length = np.sqrt(sum(v * v for v in vector.values())) or 1.0
+        cosine = sum((model.centroids[p].astype(float) * v / length for p, v in vector.items()), np.zeros(model.centroids.shape[1]))
+        best = cosine.argmax()
+        own = got[r.doc_id]
+        if re.search(r"[^\W\d_]", r.text or ""):
+            assert abs(own.score - min(max(cosine[best], 0), 1)) < 1e-4
+            near = {model.languages[k // model.clusters] for k in np.flatnonzero(cosine > cosine[best] - 1e-4)}
+            assert own.lang_pred in near
+            total = sum(c.values())
+            assert own.rejected == (own.score < model.least[min(int(np.log2(1 + total)), len(model.least) - 1)])
+        else:
+            assert (own.lang_pred, own.score, own.rejected) == ("und", 0.0, True)
+
+
 def test_language_of_odd_rows(docs):
     got = identify(docs).collect()
     assert all((r.lang_pred == "und" and r.rejected) == (not re.search(r"[^\W\d_]", r.text or "")) for r in got)
