@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,18 @@ from llm.words import pieces
 
 CAPACITY = 2048
 END = 1
-# Words and stems whose ids a worker keeps, about 200 bytes each; the rest are tokenized anew.
-_KNOWN_WORDS, _KNOWN_STEMS = 400_000, 400_000
+# Parts of words whose ids a worker keeps, about 200 bytes each; the rest are tokenized anew.
+_KNOWN = 1_000_000
+_MARKS = ".,;:!?%$#&*"
 
 
 class Tokens:
-    """Ids of texts as little-endian bytes, word by word.
+    """Ids of texts, word by word.
 
     The tokenizer ignores case, drops white space and never joins what it separates, so a
     text's ids are those of its words, one after another.  Nor does it join letters and the
-    marks after them, so most words are made up of a known stem and known marks.
+    marks after them, so a word is a stem and its marks.  Arrow splits texts and words and numbers
+    the distinct parts; each of these is looked up once.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,63 +48,48 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _encode(self, stems: list[bytes]) -> dict[bytes, bytes]:
-        found = {}
-        for at in range(0, len(stems), 10_000):
-            part = stems[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            found.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, encoded))
-        return found
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; those not yet known are tokenized in one go."""
-        found = list(map(self.known.get, words))
-        missing = [w for w, f in zip(words, found) if f is None]
-        if missing:
-            parts = {w: _parts(w) for w in missing}
-            new = self._encode(list({p for ps in parts.values() for p in ps if p not in self.stems}))
-            if len(self.stems) < _KNOWN_STEMS:
-                self.stems.update(new)
-            new = {w: b"".join([new.get(p) or self.stems.get(p, b"") for p in ps]) for w, ps in parts.items()}
-            if len(self.known) < _KNOWN_WORDS:
-                self.known.update(new)
-            found = [new[w] if f is None else f for w, f in zip(words, found)]
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts as bytes; those not yet known are tokenized in one go."""
+        found = list(map(self.known.get, parts))
+        places = [i for i, f in enumerate(found) if f is None]
+        new = {}
+        for at in range(0, len(places), 10_000):
+            some = places[at : at + 10_000]
+            for i, e in zip(some, self.tokenizer.encode_batch([parts[i] for i in some], add_special_tokens=False)):
+                new[parts[i]] = found[i] = array("I", e.ids).tobytes()
+        if len(self.known) < _KNOWN:
+            self.known.update(new)
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and where each text begins and the last one ends.
-
-        Arrow splits the texts and numbers their distinct words; each of these is looked up once.
-        """
+        """The ids of all texts one after another, and where each text begins and the last one ends."""
         words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
         numbered = words.flatten().dictionary_encode()
-        distinct = self._words(numbered.dictionary.cast(pa.large_binary()).to_pylist())
-        length = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 4
+        halves = [half.dictionary_encode() for half in _halves(numbered.dictionary)]
+        pools = [self._found(half.dictionary.to_pylist()) for half in halves]
+        pool = np.frombuffer(b"".join([b"".join(p) for p in pools]), dtype=np.uint32)
+        length = np.fromiter((len(p) // 4 for half in pools for p in half), dtype=np.int64)
         first = np.cumsum(length) - length
-        pool = np.frombuffer(b"".join(distinct), dtype="<u4")
-        word = numbered.indices.to_numpy()
-        size = length[word]
+        # Each word as two runs of the pool: its stem's and its marks'.
+        stem, marks = (half.indices.to_numpy() for half in halves)
+        both = np.stack([stem, marks + len(pools[0])], axis=1)[numbered.indices.to_numpy()].ravel()
+        size = length[both]
         end = np.cumsum(size)
-        place = np.arange(end[-1] if len(end) else 0) + np.repeat(first[word] - (end - size), size)
-        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-        return pool[place], np.append(0, end)[offsets]
-
-
-_MARKS = b".,;:!?%$#&*"
-
-
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """Pieces of a word that the tokenizer treats apart."""
-    if b"<|" in word:  # may be a special token, where case counts
-        return (word,)
-    word = word.lower()
-    stem = word.rstrip(_MARKS)
-    if not stem or stem == word or not stem.decode()[-1].isalpha():
-        return (word,)
-    return stem, word[len(stem) :]
+        place = np.arange(end[-1] if len(end) else 0) + np.repeat(first[both] - (end - size), size)
+        return pool[place], np.append(0, end)[2 * offsets]
+
+
+def _halves(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Stem and marks of each word; the marks are empty where a word must be tokenized as a whole."""
+    special = pc.match_substring(words, "<|")  # may hold a special token, where case counts
+    lower = pc.ascii_lower(words)
+    stem = pc.ascii_rtrim(lower, characters=_MARKS)
+    parted = pc.and_(pc.not_equal(stem, lower), pc.and_(pc.match_substring_regex(stem, r"\pL$"), pc.invert(special)))
+    marks = pc.struct_field(pc.extract_regex(lower, r"(?P<marks>[.,;:!?%$#&*]*)$"), "marks")
+    return pc.if_else(parted, stem, pc.if_else(special, words, lower)), pc.if_else(parted, marks, "")
 
 
 _LOADED: dict[str, Tokens] = {}
