@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+class _Written(threading.local):
+    """Paths of the tables this thread has written to the shared folder, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
+
+
+def written_tables() -> int:
+    """How many tables this thread has written so far; marks a place for ``remove_tables``."""
+    return len(_WRITTEN.paths)
+
+
+def remove_tables(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables written from the place ``first`` up to before ``last``; nothing may read them any more."""
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for place, written in enumerate(_WRITTEN.paths[first:last], start=first):
+        if written:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(settings).delete(path, True)
+            _WRITTEN.paths[place] = ""
+
+
 def cut_lineage(frame: DataFrame, by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
@@ -47,6 +73,7 @@ def cut_lineage(frame: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/nearkin/{uuid.uuid4().hex}"
+    _WRITTEN.paths.append(path)
     if by is None:
         frame.write.parquet(path)
     else:

@@ -236,3 +236,17 @@ def test_results_table_rounds_the_binary_value(spark):
                                   f"architecture string, aggregation string, metric string, cluster_probes int, {', '.join(n + ' double' for n in names)}")
     row = results_table(frame).first()
     assert [row[n] for n in names[:5]] == ["0.17", "2.67", "9.38", "100.00", f"{66.665:.2f}"]
+
+
+def test_tables_of_a_stage_are_removed(spark):
+    from nearkin.session import cut_lineage, remove_tables, written_tables
+
+    first = written_tables()
+    frames = [cut_lineage(spark.range(n)) for n in (3, 4, 5)]
+    remove_tables(spark, first, first + 2)
+    assert frames[2].count() == 5 and written_tables() == first + 3
+    for gone in frames[:2]:
+        with pytest.raises(Exception, match="(?i)not.exist|no such file"):
+            gone.collect()
+    remove_tables(spark, first, first + 3)
+    remove_tables(spark, first, first + 3)
