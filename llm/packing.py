@@ -54,15 +54,30 @@ class Tokens:
         """The ids of distinct parts as bytes; those not yet known are tokenized in one go."""
         found = list(map(self.known.get, parts))
         places = [i for i, f in enumerate(found) if f is None]
-        new = {}
-        for at in range(0, len(places), 10_000):
-            some = places[at : at + 10_000]
-            for i, e in zip(some, self.tokenizer.encode_batch([parts[i] for i in some], add_special_tokens=False)):
-                new[parts[i]] = found[i] = array("I", e.ids).tobytes()
+        for letters in (True, False):
+            kind = [i for i in places if parts[i].isalpha() == letters]
+            for at in range(0, len(kind), 1000):
+                some = kind[at : at + 1000]
+                for i, raw in zip(some, self._encode([parts[i] for i in some], letters)):
+                    found[i] = raw
         if len(self.known) < _KNOWN:
-            self.known.update(new)
+            self.known.update((parts[i], found[i]) for i in places)
         return found
 
+    def _encode(self, parts: list[str], letters: bool) -> list[bytes]:
+        """The ids of each part.
+
+        Parts of letters alone are one word each to the tokenizer, and it takes many of them as one
+        text; if it still counts another number of words, each is encoded by itself.
+        """
+        if letters:
+            whole = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+            cuts = np.searchsorted(whole.word_ids, np.arange(len(parts) + 1))
+            if len(whole.word_ids) and whole.word_ids[-1] == len(parts) - 1:
+                ids = array("I", whole.ids)
+                return [ids[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text begins and the last one ends."""
         words = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
@@ -71,14 +86,14 @@ class Tokens:
         halves = [half.dictionary_encode() for half in _halves(numbered.dictionary)]
         pools = [self._found(half.dictionary.to_pylist()) for half in halves]
         pool = np.frombuffer(b"".join([b"".join(p) for p in pools]), dtype=np.uint32)
-        length = np.fromiter((len(p) // 4 for half in pools for p in half), dtype=np.int64)
+        length = np.array([len(p) for half in pools for p in half], dtype=np.int64) // 4
         first = np.cumsum(length) - length
         # Each word as two runs of the pool: its stem's and its marks'.
         stem, marks = (half.indices.to_numpy() for half in halves)
-        both = np.stack([stem, marks + len(pools[0])], axis=1)[numbered.indices.to_numpy()].ravel()
+        both = np.stack([stem, marks + np.int32(len(pools[0]))], axis=1)[numbered.indices.to_numpy()].ravel()
         size = length[both]
-        end = np.cumsum(size)
-        place = np.arange(end[-1] if len(end) else 0) + np.repeat(first[both] - (end - size), size)
+        end = np.cumsum(size, dtype=np.int64)
+        place = np.repeat(first[both] - (end - size), size) + np.arange(end[-1] if len(end) else 0)
         return pool[place], np.append(0, end)[2 * offsets]
 
 
