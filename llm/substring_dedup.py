@@ -31,7 +31,7 @@ from llm.common import cut_lineage, quiet_shuffles, signed
 from llm.words import Words, mix, pieces, split_words
 
 MOST_HOT, LEAST_HOT = 4_000_000, 2_000
-BUCKET_STRINGS = 40_000  # about; fewer buckets make fewer and longer frames, each held by one task
+BUCKET_STRINGS = 16_000  # about; more make fewer and longer frames, but a task holds a bucket
 FLUSH_BYTES = 24 << 20
 
 
