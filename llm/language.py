@@ -10,8 +10,7 @@ Rejection is by distance: a text whose cosine to the nearest centroid lies under
 the least cosine seen among training texts of its length class is foreign to all learned
 languages, and so is a text without any letter.
 
-Frequencies and language counts come from all training documents.  Clusters and distances
-are fitted on about ``sample`` documents per language, chosen by a hash of their ids.
+Frequencies, clusters and distances are all fitted on every training document.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import add_blocks, block_rows, cut_lineage, quiet_shuffles
+from llm.common import add_blocks, block_rows, quiet_shuffles
 from llm.words import pieces
 
 PLACES = 1 << 13
@@ -104,7 +103,7 @@ def _step(model: Model, first: bool, last: bool):
         for piece in _small(batches):
             counts = trigram_counts(piece.column("text"))
             vectors = weighted(counts, model.idf)
-            known = np.array([place[x] for x in piece.column("lang").to_pylist()])
+            known = np.array([place[x] for x in piece.column("lang").to_pylist()], dtype=np.int64)
             if first:
                 cluster = known * model.clusters + np.array(piece.column("start").to_pylist())
             else:
@@ -114,7 +113,8 @@ def _step(model: Model, first: bool, last: bool):
                 if last:
                     lengths = counts.sum(axis=1)
                     np.minimum.at(least, _length_class(counts)[lengths > 0], cosine.max(axis=1)[lengths > 0])
-            np.add.at(sums, cluster, np.rint(vectors * STEPS))
+            for k in np.unique(cluster):
+                sums[k] += np.rint(vectors[cluster == k] * STEPS).sum(axis=0, dtype=np.float64)
         if last:
             yield block_rows(2.0 - least, LENGTH_CLASSES, cluster=0)
         else:
@@ -124,8 +124,8 @@ def _step(model: Model, first: bool, last: bool):
     return run
 
 
-def train(docs: DataFrame, clusters: int = 3, rounds: int = 4, sample: int = 4000) -> Model:
-    """Learn from ``doc_id, text, lang``; rows without text or lang are left out."""
+def train(docs: DataFrame, clusters: int = 3, rounds: int = 4) -> Model:
+    """Learn from all of ``doc_id, text, lang``; rows without text or lang are left out."""
     quiet_shuffles(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     counted = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -135,24 +135,19 @@ def train(docs: DataFrame, clusters: int = 3, rounds: int = 4, sample: int = 400
     documents = sum(counted.values())
     often = np.frombuffer(found[0]["counts"], dtype="<i8") if found else np.zeros(PLACES)
     idf = (np.log((1 + documents) / (1 + often)) + 1).astype(np.float32)
-    share = F.lit(1.0)
-    for name, n in counted.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1_000_003))
-    chosen = cut_lineage(
-        docs.where(drawn < share * 1_000_003).select("text", "lang", F.pmod(drawn, F.lit(clusters)).alias("start"))
-    )
+    learned = docs.select("text", "lang", F.pmod(drawn, F.lit(clusters)).alias("start"))
     model = Model(sorted(counted), idf, np.zeros((PLACES, len(counted) * clusters), np.float32), clusters, np.zeros(LENGTH_CLASSES))
     for turn in range(rounds):
         parts = add_blocks(
-            chosen.mapInArrow(_step(model, turn == 0, False), "block long, counts binary, cluster long"), "<f8", ("cluster",)
+            learned.mapInArrow(_step(model, turn == 0, False), "block long, counts binary, cluster long"), "<f8", ("cluster",)
         ).collect()
         centroids = np.zeros_like(model.centroids)
         for r in parts:
             one = np.frombuffer(r["counts"], dtype="<f8")
             centroids[:, r["cluster"]] = one / max(np.sqrt((one**2).sum()), 1e-12)
         model.centroids = centroids
-    tasks = chosen.mapInArrow(_step(model, False, True), "block long, counts binary, cluster long")
+    tasks = learned.mapInArrow(_step(model, False, True), "block long, counts binary, cluster long")
     least = np.full(LENGTH_CLASSES, 2.0)
     for r in tasks.collect():
         least = np.minimum(least, 2.0 - np.frombuffer(r["counts"], dtype="<f8"))

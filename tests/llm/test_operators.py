@@ -516,6 +516,17 @@ def test_language_against_brute_force(spark):
             assert (own.lang_pred, own.score, own.rejected) == ("und", 0.0, True)
 
 
+def test_language_learns_from_every_document(spark):
+    """Words that one document of many has leave their mark on the centroids."""
+    text = "concat('mnop qrst', CASE WHEN id % 500 = 0 THEN concat(' ', repeat(char(97 + CAST(id / 500 AS INT) % 12), 3)) ELSE '' END)"
+    frame = spark.range(12_000).selectExpr("id AS doc_id", f"{text} AS text", "'xx' AS lang")
+    model = train(frame)
+    for i in range(12):
+        places = list(slow_trigrams(chr(97 + i) * 3))
+        assert len(places) == 1 and model.idf[places[0]] == np.float32(np.log(12_001 / 3) + 1)
+    assert all((model.centroids[list(slow_trigrams(f"qrst {chr(97 + i) * 3}"))] > 0).any(axis=1).all() for i in range(12))
+
+
 def test_language_of_odd_rows(docs):
     got = identify(docs).collect()
     assert all((r.lang_pred == "und" and r.rejected) == (not re.search(r"[^\W\d_]", r.text or "")) for r in got)
