@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import nearkin.operators.nearest as nearest_module
 from nearkin.operators.nearest import append_nearest, nearest
 from nearkin.operators.ranking import rank_speakers
 from nearkin.operators.routing import route_metadata
@@ -300,6 +301,29 @@ def test_a_sweep_reads_the_gallery_once_for_each_metric(crowd, spark):
     assert plan.count("Relation [") == 1
 
 
+@pytest.mark.parametrize("cell_bytes", [64 * 1000, 64 * 60])
+def test_a_task_holds_no_more_queries_than_its_results_allow(crowd, monkeypatch, cell_bytes):
+    """Blocks of queries (one block of candidates would not do) and of candidates give the plain result."""
+    _, _, asked, enrolled, probes = crowd
+    routed = probes.withColumn("routed", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("0"), F.lit("3"))))
+    common = {"routed": "routed", "bucket": "cluster_id", "width": 8}
+    plain = by_query(nearest(routed, enrolled.gallery, 25, "cosine", **common))
+    monkeypatch.setattr(nearest_module, "TASK_BYTES", 7 * (16 * 8 + 200 * 25), raising=False)
+    held = []
+    stream = nearest_module._stream_candidates
+
+    def recorded(small, *rest):
+        held.append(small.num_rows)
+        return stream(small, *rest)
+
+    monkeypatch.setattr(nearest_module, "_stream_candidates", recorded)
+    assert by_query(nearest(routed, enrolled.gallery, 25, "cosine", cell_bytes=cell_bytes, **common)) == plain
+    few = enrolled.gallery.where("id < 8")
+    again = nearest(routed, few, 25, "cosine", cell_bytes=64 * 2, **common)
+    assert by_query(again) == by_query(nearest(routed, few, 25, "cosine", strategy="candidates", **common))
+    assert max(held, default=0) < len(asked)
+
+
 def test_repeated_ids_count_alike_in_every_form(spark):
     rows = [(i // 2, "a", [1.0, float(i % 7)], 0) for i in range(40)]
     gallery = spark.createDataFrame(rows, GALLERY).repartition(4)

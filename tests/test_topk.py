@@ -1,5 +1,7 @@
 """The top-k kernel against a plain loop over all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -126,3 +128,19 @@ def test_small_helpers():
     free, index = route_index(pa.array([["x"], None, [], ["y", "x"], [None]], pa.list_(pa.string())))
     assert list(free) == [1]
     assert {k: list(v) for k, v in index.items()} == {"x": [0, 3], "y": [3]}
+
+
+@pytest.mark.parametrize("measure", ["cosine", "euclidean"])
+def test_memory_does_not_follow_the_rows_offered(measure):
+    """Neither many rows nor rows that each beat the ones before make a task hold copies of them."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60_000, 64))
+    queries = rows[:300] + 0.1
+    rows = rows[np.argsort(-np.abs(rows - queries[0]).sum(axis=1))]
+    best = TopK(queries, 25, measure)
+    tracemalloc.start()
+    best.feed(pa.table({"id": np.arange(len(rows))}), rows)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.hits(pa.chunked_array([np.arange(300)]))[0].num_rows == 300 * 25
+    assert held < rows.nbytes
