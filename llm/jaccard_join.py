@@ -256,24 +256,21 @@ def _post(n: int, percent: int, bound: int, shared):
 
 
 def _compatible(posted: DataFrame, percent: int) -> DataFrame:
-    """The list entries of sets that share enough lists with sets of about their size.
+    """The list entries of sets that share enough lists with sets of about their size, with how many ``lists`` a set has.
 
-    Sizes that can be linked lie in one or in neighbouring classes, so a set stands in two.
+    Of a list ordered by size the neighbours of a set are nearest to it in size.  If a set of the
+    list can be linked with it, the neighbour on that side lies between and can be, too.
     """
-    steps = float(np.log(100 / percent))
-    several = cut_lineage(
-        posted.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key")
-    )
-    lists = cut_lineage(posted.join(several, "key", "left_semi").distinct())
+    by_size, of_set = Window.partitionBy("key").orderBy("size"), Window.partitionBy("set")
+    below, above = F.lag("size").over(by_size), F.lead("size").over(by_size)
+    least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST) + 1
+    lists = posted.repartition("key").distinct()  # one shuffle for this and for the order by size
     for _ in range(2):
-        # A little is taken off so that rounding cannot part two sizes at the very limit.
-        low = F.floor(F.log(F.col("size").cast("double")) / steps - 1e-9)
-        placed = lists.withColumn("near", F.explode(F.array(low, low + 1, low + 2)))
-        met = cut_lineage(placed.groupBy("key", "near").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("key", "near"))
-        lists = placed.join(met, ["key", "near"], "left_semi").drop("near").distinct()
-        least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST) + 1
-        enough = lists.groupBy("set", "size").agg(F.count("*").alias("lists")).where(F.col("lists") >= least)
-        lists = cut_lineage(lists.join(cut_lineage(enough.select("set")), "set", "left_semi"))
+        near = lists.select("key", "set", "size", below.alias("below"), above.alias("above")).where(
+            (F.col("below") * 100 >= F.col("size") * percent) | (F.col("size") * 100 >= F.col("above") * percent)
+        )
+        counted = near.select("key", "set", "size", F.count("*").over(of_set).alias("lists"))
+        lists = cut_lineage(counted.where(F.col("lists") >= least))
     return lists
 
 
@@ -327,7 +324,11 @@ def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(mixed, "key", "left_semi"))
 
 
-def _leader_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+def _marks(parities: DataFrame, of: str, as_: str) -> DataFrame:
+    return parities.select(F.col("set").alias(of), *(F.col(p).alias(f"{as_}{p[1:]}") for p in PARITY))
+
+
+def _leader_pairs(placed: DataFrame, parities: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each set ``a`` the leader ``b`` of another component that most of its lists name.
 
     A list has a leader for each class of sizes; every other round the classes lie half a step further.
@@ -337,12 +338,12 @@ def _leader_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     placed = placed.withColumn("class", class_)
     # Later rounds also try other leaders than the most frequent one.
     rank = F.struct("lists", F.hash("set"), "set") if turn < 2 else F.struct(F.xxhash64("set", F.lit(turn)), "lists", "set")
-    leaders = cut_lineage(placed.groupBy("key", "class").agg(F.max(F.struct(rank.alias("rank"), "set", "size", "component", *PARITY)).alias("l")))
+    leaders = cut_lineage(placed.groupBy("key", "class").agg(F.max(F.struct(rank.alias("rank"), "set", "size", "component")).alias("l")))
     named = placed.join(leaders, ["key", "class"]).where(F.col("component") != F.col("l.component")).select(
         F.col("set").alias("a"), F.col("size").alias("n"), F.col("l.set").alias("b"), F.col("l.size").alias("m"),
-        *(F.col(p).alias(f"x{p[1:]}") for p in PARITY), *(F.col(f"l.{p}").alias(f"y{p[1:]}") for p in PARITY),
-    ).where(_may_link("x", "y", percent))
+    ).where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     votes = named.groupBy("a", "n", "b", "m").agg(F.count("*").alias("votes"))
+    votes = votes.join(_marks(parities, "b", "y"), "b").join(_marks(parities, "a", "x"), "a").where(_may_link("x", "y", percent))
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b", "n", "m")).alias("v")).select("a", "v.b", "v.n", "v.m")
 
 
@@ -396,18 +397,17 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     shared = context.broadcast(often)
     posted = cut_lineage(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"))
     shared.destroy()
-    lists = cut_lineage(_compatible(posted, percent).join(names.select("set", *PARITY), "set"))
-    # The texts of one document per set that shares a list with another set.
-    wanted = names.join(lists.select("set").distinct(), "set", "left_semi").select("doc_id", "set")
+    lists = _compatible(posted, percent)
+    # The sets that share a list with another set, and the texts of one document for each.
+    sharing = cut_lineage(names.join(lists.select("set").distinct(), "set", "left_semi"))
+    parities, wanted = sharing.select("set", *PARITY), sharing.select("doc_id", "set")
     texts = docs.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = cut_lineage(
         texts.mapInArrow(_sets(n), "set long, grams binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
     )
-    many = cut_lineage(lists.groupBy("set").agg(F.count("*").alias("lists")))
-    lists = cut_lineage(lists.join(many, "set"))
     links, measured_with, placed = None, [], lists.withColumn("component", F.col("set"))
     for turn in range(MOST_LEADER_ROUNDS):
-        found = measure_pairs(_leader_pairs(placed, percent, turn), sets)
+        found = measure_pairs(_leader_pairs(placed, parities, percent, turn), sets)
         measured_with.append(found)
         new = _linked(found, percent)
         if turn > 1 and new.isEmpty():
@@ -419,7 +419,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")
     least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST)
     short = placed.join(long, "key").withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least)
-    short = cut_lineage(short.join(cut_lineage(_distances(measured_with)), "set", "left"))
+    short = cut_lineage(short.join(parities, "set").join(cut_lineage(_distances(measured_with)), "set", "left"))
     left = short.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component", F.col("from").alias("x"), *(F.col(p).alias(f"x{p[1:]}") for p in PARITY))
     right = short.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"), F.col("from").alias("y"), *(F.col(p).alias(f"y{p[1:]}") for p in PARITY))
     rest = left.join(right, "key").where(

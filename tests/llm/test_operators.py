@@ -145,6 +145,14 @@ def test_hot_groups_can_be_split(docs):
         assert "Aggregate" not in re.findall(r"^[ :+-]*(\w+)", plan.toString(), re.M)
 
 
+def test_lists_keep_only_sets_of_sizes_that_can_link(spark):
+    """A list entry goes if no other set of its list is near enough in size, and a set that shares too few lists."""
+    rows = [(k, s, n) for k in (1, 2) for s, n in ((10, 100), (11, 120), (12, 105))] + [(3, 10, 100), (3, 13, 104), (4, 12, 105), (1, 10, 100)]
+    posted = spark.createDataFrame(rows, "key long, set long, size int")
+    got = {tuple(r) for r in jaccard_join._compatible(posted, 90).select("key", "set", "size", "lists").collect()}
+    assert got == {(k, s, n, 2) for k in (1, 2) for s, n in ((10, 100), (12, 105))}
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near = "{} more".format
