@@ -44,6 +44,7 @@ from pyspark.sql.window import Window
 
 from llm.common import connected_components, cut_lineage, quiet_shuffles, signed, text_digest
 from llm.words import Words, mix, pieces, split_words
+from nearkin.session import remove_tables, written_tables
 
 COUNTER_BITS, BLOCK_BITS = 22, 16
 LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
@@ -395,9 +396,11 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
         raise ValueError("two different sets have one 64-bit name; choose other seeds")
     bound = boundary(names, scanned, percent)
     shared = context.broadcast(often)
+    first = written_tables()
     posted = cut_lineage(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"))
     shared.destroy()
     lists = _compatible(posted, percent)
+    remove_tables(docs.sparkSession, first, written_tables() - 1)  # all but the lists themselves
     # The sets that share a list with another set, and the texts of one document for each.
     sharing = cut_lineage(names.join(lists.select("set").distinct(), "set", "left_semi"))
     parities, wanted = sharing.select("set", *PARITY), sharing.select("doc_id", "set")
@@ -407,13 +410,19 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     )
     links, measured_with, placed = None, [], lists.withColumn("component", F.col("set"))
     for turn in range(MOST_LEADER_ROUNDS):
+        first = written_tables()
         found = measure_pairs(_leader_pairs(placed, parities, percent, turn), sets)
+        remove_tables(docs.sparkSession, first, written_tables() - 1)
         measured_with.append(found)
         new = _linked(found, percent)
         if turn > 1 and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
+        first, outdated = written_tables(), first - 1
         placed = _placed(lists, links)
+        remove_tables(docs.sparkSession, first, written_tables() - 1)
+        if turn:  # the first round reads the lists, which stay
+            remove_tables(docs.sparkSession, outdated, outdated + 1)
     # Linked sets share c lists, so they still meet if each leaves its c - 1 longest ones.
     long = cut_lineage(placed.groupBy("key").agg(F.count("*").alias("entries")))
     order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import os
 import re
 import time
 import zlib
@@ -35,6 +36,7 @@ from llm.queries import QUERIES, RULES, SQL, WEIGHTS, source_levels
 from llm.substring_dedup import remove_repeats
 from llm.url_filter import filter_urls, page_links
 from llm.words import split_words
+from nearkin import session
 from tests.conftest import DATA
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, row string, budget int"
@@ -153,6 +155,21 @@ def test_lists_keep_only_sets_of_sizes_that_can_link(spark):
     assert got == {(k, s, n, 2) for k in (1, 2) for s, n in ((10, 100), (12, 105))}
 
 
+def test_posted_entries_and_outdated_lists_leave_the_disk(docs, monkeypatch):
+    """Of the tables of list entries only the lists and those of the last round are still there at the end."""
+    written, cut = [], jaccard_join.cut_lineage
+
+    def noted(frame):
+        table = cut(frame)
+        written.append((set(frame.columns), session._WRITTEN.paths[-1]))
+        return table
+
+    monkeypatch.setattr(jaccard_join, "cut_lineage", noted)
+    jaccard_join.similar_sets(docs)[0].collect()
+    entries = [os.path.exists(path) for columns, path in written if {"key", "set", "size"} <= columns and "from" not in columns]
+    assert len(entries) >= 5 and sum(entries) == 2
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near = "{} more".format
