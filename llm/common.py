@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nearkin.session import cut_lineage
 
-__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "signed", "text_digest", "free_name", "block_rows", "add_blocks"]
+__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "marked_places", "among", "signed", "text_digest", "free_name", "block_rows", "add_blocks"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +91,31 @@ def _all_stars(edges: DataFrame) -> bool:
     return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
+PLACE_BITS = 24
+
+
+def _place(columns: tuple[str, ...]) -> Column:
+    return F.xxhash64(*columns).bitwiseAND((1 << PLACE_BITS) - 1)
+
+
+def marked_places(wanted: DataFrame, *columns: str) -> DataFrame:
+    """The places, among 2**24, of the values in these columns by a hash, 64 to a row: at most 2**18 rows, so they may be broadcast."""
+    return cut_lineage(
+        wanted.select(_place(columns).alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("marks"))
+    )
+
+
+def among(rows: DataFrame, marked: DataFrame, *columns: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose place is marked, or with ``left_anti`` the others, which surely hold none of the marked values.
+
+    Rows are told apart where they lie, and the exact join that follows moves only those that may match.
+    """
+    place = _place(columns)
+    hit = (F.shiftright(place, 6) == marked["word"]) & (F.getbit(marked["marks"], place.bitwiseAND(63).cast("int")) == 1)
+    return rows.join(F.broadcast(marked), hit, how)
+
+
 def block_rows(values: np.ndarray, size: int, **constant: int) -> pa.RecordBatch:
     """An array of counters as rows ``block, counts`` of ``size`` numbers each, blocks of zeros left out."""
     blocks = values.reshape(-1, size)

@@ -42,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import connected_components, cut_lineage, quiet_shuffles, signed, text_digest
+from llm.common import among, connected_components, cut_lineage, marked_places, quiet_shuffles, signed, text_digest
 from llm.words import Words, mix, pieces, split_words
 from nearkin.session import remove_tables, written_tables
 
-COUNTER_BITS, BLOCK_BITS = 22, 16
+COUNTER_BITS, BLOCK_BITS, SLOTS = 22, 16, 8
 LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
 MOST_LEADER_ROUNDS = 6
 GRAMS_PER_LIST = 50
@@ -151,17 +151,20 @@ def _measure(n: int):
 
 
 def _sparse(counts: np.ndarray) -> bytes:
-    """The places of a block's counts other than zero, two bytes each, and then these counts, eight bytes each."""
-    at = np.flatnonzero(counts)
-    return at.astype("<u2").tobytes() + counts[at].astype("<u8").tobytes()
+    """A byte for each of a block's counts, 255 at most, and of those from 255 on the places, two bytes each, and the rest, eight bytes each."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    at = np.flatnonzero(low == 255)
+    return low.tobytes() + at.astype("<u2").tobytes() + (counts[at] - 255).astype("<u8").tobytes()
 
 
 def _added(parts: Iterator[pa.RecordBatch]) -> np.ndarray:
     total = np.zeros(1 << BLOCK_BITS, dtype=np.uint64)
     for part in parts:
         for raw in part.column("counts"):
-            n = len(raw.as_buffer()) // 10
-            total[np.frombuffer(raw.as_buffer(), "<u2", n)] += np.frombuffer(raw.as_buffer(), "<u8", n, 2 * n)
+            data, size = raw.as_buffer(), 1 << BLOCK_BITS
+            n = (len(data) - size) // 10
+            total += np.frombuffer(data, np.uint8, size)
+            total[np.frombuffer(data, "<u2", n, size)] += np.frombuffer(data, "<u8", n, size + 2 * n)
     return total
 
 
@@ -187,7 +190,7 @@ def how_often(counts: np.ndarray) -> np.ndarray:
 
 def _frequencies(measured: DataFrame) -> tuple[np.ndarray, float]:
     """How often n-grams occur, a byte for each of 2**22 counters over all documents, and the entries seen per entry posted."""
-    slot = F.pmod(F.spark_partition_id(), F.lit(64)).alias("slot")
+    slot = F.pmod(F.spark_partition_id(), F.lit(SLOTS)).alias("slot")
     parts = (
         measured.where("block is not null").select("block", slot, "counts")
         .groupBy("block", "slot").applyInArrow(_add_some, "block int, counts binary")
@@ -302,6 +305,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` (with sizes ``n, m``) and how many members ``both`` have, counted on whole sets."""
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+    sets = among(sets, marked_places(ends, "set"), "set")
     left = sets.select(F.col("set").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("set").alias("b"), F.col("grams").alias("y"))
     return cut_lineage(
@@ -316,9 +322,9 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
     """List entries with the component of their set; only lists that hold several components."""
     found = connected_components(links)
-    placed = lists.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn(
+    placed = cut_lineage(lists.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.coalesce("component", "set")
-    )
+    ))
     mixed = cut_lineage(
         placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     )
@@ -376,53 +382,54 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     ``component`` is the smallest set name reachable by links.  The links connect every
     component fully; links inside a component that was already connected are not repeated.
     A null or empty text has the empty set, size 0, and is linked with nothing.
+    Both are written, links last, and read no other table written here.
     ``digest`` tells apart the texts of rows with one doc_id.
     """
     quiet_shuffles(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
+    spark, first = docs.sparkSession, written_tables()
     docs = docs.select("doc_id", "text")
     measured = cut_lineage(docs.withColumn("digest", text_digest()).mapInArrow(
         _measure(n), "doc_id long, digest binary, size long, set long, guard long, block int, counts binary, " + ", ".join(f"{p} long" for p in PARITY)
     ))
     often, scanned = _frequencies(measured)
-    members = measured.where("block is null").drop("block", "counts")
+    rows = measured.where("block is null")
     names = cut_lineage(
-        members.where("size > 0").groupBy("set").agg(
+        rows.where("size > 0").groupBy("set").agg(
             F.min("doc_id").alias("doc_id"), F.min("size").alias("size"),
             (F.min("guard") != F.max("guard")).alias("clash"), *(F.min(p).alias(p) for p in PARITY),
         )
     )
+    members = cut_lineage(rows.select("doc_id", "digest", "size", "set"))
+    remove_tables(spark, first, first + 1)
     if not names.where("clash").isEmpty():
         raise ValueError("two different sets have one 64-bit name; choose other seeds")
     bound = boundary(names, scanned, percent)
-    shared = context.broadcast(often)
-    first = written_tables()
-    posted = cut_lineage(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"))
+    shared, first = spark.sparkContext.broadcast(often), written_tables()
+    # Entries go straight to the tasks that read their lists; they outnumber all that is written here.
+    lists = _compatible(docs.mapInArrow(_post(n, percent, bound, shared), "key long, set long, size int"), percent)
     shared.destroy()
-    lists = _compatible(posted, percent)
-    remove_tables(docs.sparkSession, first, written_tables() - 1)  # all but the lists themselves
+    remove_tables(spark, first, written_tables() - 1)  # all but the lists themselves
     # The sets that share a list with another set, and the texts of one document for each.
     sharing = cut_lineage(names.join(lists.select("set").distinct(), "set", "left_semi"))
     parities, wanted = sharing.select("set", *PARITY), sharing.select("doc_id", "set")
-    texts = docs.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = cut_lineage(
-        texts.mapInArrow(_sets(n), "set long, grams binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
-    )
+    texts = among(docs, marked_places(wanted, "doc_id"), "doc_id")
+    sets = among(texts.mapInArrow(_sets(n), "set long, grams binary"), marked_places(wanted, "set"), "set")
+    sets = cut_lineage(sets.join(wanted, "set", "left_semi").dropDuplicates(["set"]))
     links, measured_with, placed = None, [], lists.withColumn("component", F.col("set"))
     for turn in range(MOST_LEADER_ROUNDS):
         first = written_tables()
         found = measure_pairs(_leader_pairs(placed, parities, percent, turn), sets)
-        remove_tables(docs.sparkSession, first, written_tables() - 1)
+        remove_tables(spark, first, written_tables() - 1)
         measured_with.append(found)
         new = _linked(found, percent)
         if turn > 1 and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         first, outdated = written_tables(), first - 1
-        placed = _placed(lists, links)
-        remove_tables(docs.sparkSession, first, written_tables() - 1)
+        placed = _placed(placed.drop("component"), links)  # a list of one component keeps to one
+        remove_tables(spark, first, written_tables() - 1)
         if turn:  # the first round reads the lists, which stay
-            remove_tables(docs.sparkSession, outdated, outdated + 1)
+            remove_tables(spark, outdated, outdated + 1)
     # Linked sets share c lists, so they still meet if each leaves its c - 1 longest ones.
     long = cut_lineage(placed.groupBy("key").agg(F.count("*").alias("entries")))
     order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")
@@ -436,10 +443,10 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     )
     links = links.unionByName(_linked(measure_pairs(rest.select("a", "n", "b", "m").distinct(), sets), percent))
     components = connected_components(links)
-    members = members.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn(
+    members = cut_lineage(members.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.when(F.col("size") > 0, F.coalesce("component", "set"))
-    )
-    return members.select("doc_id", "digest", "size", "set", "component"), links
+    ).select("doc_id", "digest", "size", "set", "component"))
+    return members, cut_lineage(links)
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -448,8 +455,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     Null and empty texts have n_shingles 0 and stay alone.  Repeated rows are linked
     through their equal sets.  A null doc_id never names a component that has another id.
     """
+    first = written_tables()
     members, _ = similar_sets(docs, n, percent)
-    members = cut_lineage(members)
+    remove_tables(docs.sparkSession, first, written_tables() - 2)  # all but these two
+    remove_tables(docs.sparkSession, written_tables() - 1, written_tables())  # the links
     least = cut_lineage(members.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least")))
     return members.join(least, "component", "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
@@ -463,10 +472,15 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of several texts with that id the one of the smallest digest stays.  Rows are told apart by
     doc_id and text, so repeated rows of the text that stays are all kept, as are texts without words.
     """
+    begin = written_tables()
     members, _ = similar_sets(docs, n, percent)
-    members = cut_lineage(members.where("size > 0").select("component", "doc_id", "digest"))
+    remove_tables(docs.sparkSession, begin, written_tables() - 2)  # all but these two
+    members = members.where("size > 0").select("component", "doc_id", "digest")
     first = cut_lineage(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     drop = cut_lineage(members.join(first, "component").where(~stays).select(F.struct("doc_id", "digest").alias("k")).distinct())
+    remove_tables(docs.sparkSession, begin, written_tables() - 1)
     rows = docs.select(F.struct("doc_id", text_digest().alias("digest")).alias("k"), F.struct("*").alias("row"))
-    return rows.join(drop, "k", "left_anti").select("row.*")
+    marked = marked_places(drop, "k")
+    left = among(rows, marked, "k", how="left_anti").unionByName(among(rows, marked, "k").join(drop, "k", "left_anti"))
+    return left.select("row.*")

@@ -24,7 +24,7 @@ import llm.jaccard_join as jaccard_join
 import llm.permutation_index as permutation_index
 import llm.substring_dedup as substring_dedup
 from llm.block_naming import drop_duplicates, exact_duplicates
-from llm.common import connected_components
+from llm.common import among, connected_components, marked_places
 from llm.html_text import extract, main_text
 from llm.jaccard_join import keep_first, near_duplicates, parity, shared_needed
 from llm.language import identify, predict, train
@@ -170,6 +170,25 @@ def test_posted_entries_and_outdated_lists_leave_the_disk(docs, monkeypatch):
     assert len(entries) >= 5 and sum(entries) == 2
 
 
+def test_only_tables_that_the_result_reads_stay(spark):
+    """Of all tables written on the way, sets of n-grams included, two are left: those that the result reads."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*words[:70], f"x{i}"])) for i in range(4)] + [(9, " ".join(words[::-1]))]
+    for operator, number in ((near_duplicates, 5), (keep_first, 2)):
+        first = session.written_tables()
+        result = operator(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sum(bool(p) and os.path.exists(p) for p in session._WRITTEN.paths[first:]) == 2
+        assert result.count() == number
+
+
+def test_rows_among_marked_places(spark):
+    rows, wanted = spark.range(200_000).selectExpr("nullif(id, 7) as id"), spark.range(0, 200_000, 1000).selectExpr("nullif(id, 0) as id")
+    marked = marked_places(wanted, "id")
+    found, others = ({r.id for r in among(rows, marked, "id", how=how).collect()} for how in ("left_semi", "left_anti"))
+    assert found >= {None, *range(1000, 200_000, 1000)} and len(found) < 300
+    assert not found & others and len(found) + len(others) == 200_000
+
+
 def test_keep_first_of_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near = "{} more".format
