@@ -65,11 +65,10 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut_lineage(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u != v").distinct()
+        # No more rows than edges, so equal ones may stay until the minima are taken.
+        large = cut_lineage(
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         )
-        large = cut_lineage(large)
         least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(

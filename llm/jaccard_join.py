@@ -21,7 +21,8 @@ size, four megabytes, so it may be broadcast); it only orders n-grams and cannot
 Lists are not turned into pairs.  Each set is first compared with the one set that most of its
 lists name as their leader: of the sets of about one size the one found in most lists, which in a
 group of near copies is what they were copied from.  That contracts such groups, round by round,
-until a round finds no new link.  After that only sets of one list that still lie in different
+until the lists hold few pairs of different components for their entries or a round takes away
+few of these pairs.  After that only sets of one list that still lie in different
 components are compared, and of these only pairs that no leader holds apart: two sets differ in at
 least as many members as their distances to a third one differ.  Sets equal as a whole count
 once.  Every comparison is exact on the whole sets.
@@ -49,6 +50,7 @@ from nearkin.session import remove_tables, written_tables
 COUNTER_BITS, BLOCK_BITS, SLOTS = 22, 16, 8
 LARGEST_BOUNDARY = 24  # subsets of larger sets outnumber any list
 MOST_LEADER_ROUNDS = 6
+FEW_PAIRS, LEAST_GAIN = 64, 0.1  # pairs of different components for each list entry; share of them that a round takes away
 GRAMS_PER_LIST = 50
 PARITY = [f"p{i}" for i in range(8)]
 MEASURED = ["doc_id", "digest", "size", "set", "guard", "block", "counts", *PARITY]
@@ -319,16 +321,28 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.where(F.col("both") * 100 >= percent * (F.col("n") + F.col("m") - F.col("both")))
 
 
-def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """List entries with the component of their set; only lists that hold several components."""
+def _placed(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """List entries with the component of their set and how many ``entries`` the list has; only lists that hold several components.
+
+    Then those lists, with the number of ``pairs`` of entries of different components.
+    """
     found = connected_components(links)
     placed = cut_lineage(lists.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn(
         "component", F.coalesce("component", "set")
     ))
-    mixed = cut_lineage(
-        placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.sum("c").alias("entries"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"), F.count("*").alias("components")
     )
-    return cut_lineage(placed.join(mixed, "key", "left_semi"))
+    mixed = cut_lineage(counted.where("components > 1").select(
+        "key", "entries", ((F.col("entries").cast("double") * F.col("entries") - F.col("squares")) / 2).alias("pairs")
+    ))
+    return cut_lineage(placed.join(mixed.select("key", "entries"), "key")), mixed
+
+
+def _pairs_left(mixed: DataFrame) -> tuple[float, int]:
+    """How many pairs of entries of different components lists hold, and how many entries."""
+    seen = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("entries").alias("entries")).first()
+    return seen["pairs"] or 0.0, seen["entries"] or 0
 
 
 def _marks(parities: DataFrame, of: str, as_: str) -> DataFrame:
@@ -344,7 +358,7 @@ def _leader_pairs(placed: DataFrame, parities: DataFrame, percent: int, turn: in
     class_ = F.floor(F.log(F.col("size").cast("double")) / steps + 0.5 * (turn % 2))
     placed = placed.withColumn("class", class_)
     # Later rounds also try other leaders than the most frequent one.
-    rank = F.struct("lists", F.hash("set"), "set") if turn < 2 else F.struct(F.xxhash64("set", F.lit(turn)), "lists", "set")
+    rank = F.struct("lists", F.hash("set"), "set") if turn < 1 else F.struct(F.xxhash64("set", F.lit(turn)), "lists", "set")
     leaders = cut_lineage(placed.groupBy("key", "class").agg(F.max(F.struct(rank.alias("rank"), "set", "size", "component")).alias("l")))
     named = placed.join(leaders, ["key", "class"]).where(F.col("component") != F.col("l.component")).select(
         F.col("set").alias("a"), F.col("size").alias("n"), F.col("l.set").alias("b"), F.col("l.size").alias("m"),
@@ -415,7 +429,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     texts = among(docs, marked_places(wanted, "doc_id"), "doc_id")
     sets = among(texts.mapInArrow(_sets(n), "set long, grams binary"), marked_places(wanted, "set"), "set")
     sets = cut_lineage(sets.join(wanted, "set", "left_semi").dropDuplicates(["set"]))
-    links, measured_with, placed = None, [], lists.withColumn("component", F.col("set"))
+    links, measured_with, placed, before = None, [], lists.withColumn("component", F.col("set")), 0.0
     for turn in range(MOST_LEADER_ROUNDS):
         first = written_tables()
         found = measure_pairs(_leader_pairs(placed, parities, percent, turn), sets)
@@ -426,15 +440,18 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
             break
         links = new if links is None else links.unionByName(new)
         first, outdated = written_tables(), first - 1
-        placed = _placed(placed.drop("component"), links)  # a list of one component keeps to one
+        placed, mixed = _placed(placed.drop("component", "entries"), links)  # a list of one component keeps to one
+        pairs, entries = _pairs_left(mixed)
         remove_tables(spark, first, written_tables() - 1)
         if turn:  # the first round reads the lists, which stay
             remove_tables(spark, outdated, outdated + 1)
+        if turn and (pairs <= FEW_PAIRS * entries or pairs > (1 - LEAST_GAIN) * before):
+            break  # both layouts of the classes and both kinds of leaders were tried
+        before = pairs
     # Linked sets share c lists, so they still meet if each leaves its c - 1 longest ones.
-    long = cut_lineage(placed.groupBy("key").agg(F.count("*").alias("entries")))
     order = Window.partitionBy("set").orderBy(F.desc("entries"), "key")
     least = F.floor(F.ceil(F.col("size") * percent / 100) / GRAMS_PER_LIST)
-    short = placed.join(long, "key").withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least)
+    short = placed.withColumn("turn", F.row_number().over(order)).where(F.col("turn") > least)
     short = cut_lineage(short.join(parities, "set").join(cut_lineage(_distances(measured_with)), "set", "left"))
     left = short.select("key", F.col("set").alias("a"), F.col("size").alias("n"), "component", F.col("from").alias("x"), *(F.col(p).alias(f"x{p[1:]}") for p in PARITY))
     right = short.select("key", F.col("set").alias("b"), F.col("size").alias("m"), F.col("component").alias("other"), F.col("from").alias("y"), *(F.col(p).alias(f"y{p[1:]}") for p in PARITY))

@@ -646,3 +646,21 @@ def test_rarity_counters_add_up():
     assert (jaccard_join._added(iter(batches)) == sum(parts)).all()
     often = jaccard_join.how_often(np.array([0.0, 1, 2, 3, 1000, 2.0**63]))
     assert often[0] == 0 and often[-1] == 255 and (np.diff(often.astype(int)) > 0).all()
+
+
+def test_leaders_stop_where_they_contract_nothing(spark, monkeypatch):
+    """Sets that share a passage and are not alike stay in one list; leaders are not tried round after round for a link each."""
+    passage = [f"common{i}" for i in range(4)]
+    rows = [(i, " ".join([*passage, *(f"w{i}_{j}" for j in range(8))])) for i in range(400)]
+    chains = [(1000 + 100 * c + i, " ".join(f"c{c}_{j}" for j in range(6 * i, 6 * i + 80))) for c in range(3) for i in range(8)]
+    docs = spark.createDataFrame(rows + chains, "doc_id long, text string")
+    turns, pairs = [], jaccard_join._leader_pairs
+
+    def noted(*args):
+        turns.append(args[-1])
+        return pairs(*args)
+
+    monkeypatch.setattr(jaccard_join, "_leader_pairs", noted)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 80).collect()}
+    assert turns == [0, 1]
+    assert got == {i: i for i, _ in rows} | {i: i // 100 * 100 for i, _ in chains}
