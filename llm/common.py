@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nearkin.session import cut_lineage
 
-__all__ = ["cut_lineage", "quiet_shuffles", "table", "input_bytes", "connected_components", "marked_places", "among", "signed", "text_digest", "free_name", "block_rows", "add_blocks"]
+__all__ = ["cut_lineage", "quiet_shuffles", "small_batches", "table", "input_bytes", "connected_components", "marked_places", "among", "signed", "text_digest", "free_name", "block_rows", "add_blocks"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def quiet_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Arrow batches of about 4 MB to Python, whatever the length of the texts.
+
+    A batch is held by the JVM, by the stream and by the Python worker; 10,000 rows of whole texts have no such bound.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def input_bytes(frame: DataFrame, column: str) -> int:
     """Bytes of a text column over all rows."""
     return frame.select(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0

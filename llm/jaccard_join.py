@@ -43,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import among, connected_components, cut_lineage, marked_places, quiet_shuffles, signed, text_digest
-from llm.words import Words, mix, pieces, split_words
+from llm.common import among, connected_components, cut_lineage, marked_places, quiet_shuffles, signed, small_batches, text_digest
+from llm.words import SMALL_PIECE, Words, mix, pieces, split_words
 from nearkin.session import remove_tables, written_tables
 
 COUNTER_BITS, BLOCK_BITS, SLOTS = 22, 16, 8
@@ -129,7 +129,7 @@ def _measure(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 rows, bits = [], []
                 for grams in gram_sets(split_words(piece.column("text"), lower=True), n):
                     rows.append((len(grams), *set_names(grams)))
@@ -230,7 +230,7 @@ def _post(n: int, percent: int, bound: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 keys, names, sizes, seen = [], [], [], set()
                 for grams in gram_sets(split_words(piece.column("text"), lower=True), n):
                     name, size = set_names(grams)[0], len(grams)
@@ -283,7 +283,7 @@ def _compatible(posted: DataFrame, percent: int) -> DataFrame:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 found = gram_sets(split_words(piece.column("text"), lower=True), n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_names(g)[0] for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())],
@@ -400,6 +400,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFr
     ``digest`` tells apart the texts of rows with one doc_id.
     """
     quiet_shuffles(docs.sparkSession)
+    small_batches(docs.sparkSession)
     spark, first = docs.sparkSession, written_tables()
     docs = docs.select("doc_id", "text")
     measured = cut_lineage(docs.withColumn("digest", text_digest()).mapInArrow(

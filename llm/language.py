@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import add_blocks, block_rows, quiet_shuffles
-from llm.words import pieces
+from llm.common import add_blocks, block_rows, quiet_shuffles, small_batches
+from llm.words import SMALL_PIECE, pieces
 
 PLACES = 1 << 13
 PIECE_ROWS = 256
@@ -77,7 +77,7 @@ def _length_class(counts: np.ndarray) -> np.ndarray:
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", SMALL_PIECE):
             for at in range(0, len(piece), PIECE_ROWS):
                 yield piece.slice(at, PIECE_ROWS)
 
@@ -127,6 +127,7 @@ def _step(model: Model, first: bool, last: bool):
 def train(docs: DataFrame, clusters: int = 3, rounds: int = 4) -> Model:
     """Learn from all of ``doc_id, text, lang``; rows without text or lang are left out."""
     quiet_shuffles(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     counted = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counted:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import cut_lineage, quiet_shuffles
+from llm.common import cut_lineage, quiet_shuffles, small_batches
 from llm.words import pieces
 
 CAPACITY = 2048
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
     A very long text gives many pieces; other columns are not read, and an empty table gives no row.
     """
     quiet_shuffles(docs.sparkSession)
+    small_batches(docs.sparkSession)
     schema = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     cut = cut_lineage(
         docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_pieces(tokenizer, capacity), schema)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+SMALL_PIECE = 1 << 18  # where arrays of many times a piece's size are made of it
 SPACES = b" \t\n\x0b\x0c\r"
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -111,13 +112,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, offsets), hashes)
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch cut between rows so that a piece holds about a megabyte of the text column."""
+def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut between rows so that a piece holds about ``size`` bytes, a megabyte, of the text column."""
     texts = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at, done = 0, 0
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield batch.slice(at, to - at)
         at, done = to, int(ends[to - 1])

@@ -24,7 +24,7 @@ import llm.jaccard_join as jaccard_join
 import llm.permutation_index as permutation_index
 import llm.substring_dedup as substring_dedup
 from llm.block_naming import drop_duplicates, exact_duplicates
-from llm.common import among, connected_components, marked_places
+from llm.common import among, connected_components, marked_places, small_batches
 from llm.html_text import extract, main_text
 from llm.jaccard_join import keep_first, near_duplicates, parity, shared_needed
 from llm.language import identify, predict, train
@@ -664,3 +664,16 @@ def test_leaders_stop_where_they_contract_nothing(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 80).collect()}
     assert turns == [0, 1]
     assert got == {i: i for i, _ in rows} | {i: i // 100 * 100 for i, _ in chains}
+
+
+def test_long_texts_come_to_python_in_small_batches(spark):
+    """What Python holds of a table of long texts at once is bounded by bytes, not by 10,000 rows."""
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], ["bytes", "rows"])
+
+    small_batches(spark)
+    docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("word "), 1000).alias("text"))
+    seen = docs.mapInArrow(measure, "bytes long, rows long").agg(F.max("bytes").alias("most"), F.sum("rows").alias("rows")).first()
+    assert seen["most"] < 6 << 20 and seen["rows"] == 4000
