@@ -23,17 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import cut_lineage, quiet_shuffles, signed
-from llm.words import Words, mix, pieces, split_words
+from llm.words import SMALL_PIECE, SPACES, Words, mix, pieces, split_bytes, split_words
 
 MOST_HOT, LEAST_HOT = 4_000_000, 2_000
 BUCKET_STRINGS = 16_000  # about; more make fewer and longer frames, but a task holds a bucket
 FLUSH_BYTES = 24 << 20
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(SPACES)] = True
+_PLAIN = np.where(_SPACE, 32, np.arange(256)).astype(np.uint8)
+
 
 class SuperKmers:
     """Super-k-mers of several texts: windows ``first[i]`` to ``last[i]`` have the minimiser ``value[i]``."""
@@ -47,12 +52,8 @@ class SuperKmers:
         self.value = np.empty(0, np.uint64)
         if not len(self.text):
             return
-        total = len(words.hashes) - m + 1
-        grams = np.zeros(total, dtype=np.uint64)
-        for i in range(m):
-            grams = mix(grams + words.hashes[i : i + total])
         width, have = k - m + 1, 1
-        least = grams
+        least = words.grams(m)
         while have < width:
             step = min(have, width - have)
             least = np.minimum(least[: len(least) - step], least[step:])
@@ -84,31 +85,27 @@ class SuperKmers:
         alone = found[each]
         first = self.first[each] + np.where(alone, offset, 0)
         self.last = np.where(alone, first, self.last[each])
-        at, value = self.words.runs(self.k)
-        own = value[np.minimum(np.searchsorted(at, first), len(at) - 1)]
-        self.first, self.value = first, np.where(alone, mix(own), self.value[each])
+        self.first, self.value = first, np.where(alone, mix(self.words.grams(self.k)[first]), self.value[each])
 
     def strings(self) -> list[bytes]:
         """The words of each super-k-mer, joined by one space."""
         w = self.words
-        spaced = np.zeros(len(w.data), dtype=bool)
-        keep = np.zeros(len(w.data) + 1, dtype=np.int64)
-        np.add.at(keep, w.start, 1)
-        np.add.at(keep, w.end, -1)
-        word = np.cumsum(keep[:-1]) > 0
-        spaced[1:] = ~word[1:] & word[:-1]
-        kept = word | spaced
-        place = np.cumsum(kept) - 1
-        raw = np.where(word, w.data, 32)[kept].astype(np.uint8).tobytes()
-        begin = place[w.start[self.first]].tolist()
-        end = (place[w.end[self.last + self.k - 1] - 1] + 1).tolist()
+        word = ~_SPACE[w.data]
+        kept = word.copy()
+        kept[1:] |= word[:-1]  # the first space after a word stays
+        raw = _PLAIN[w.data[kept]].tobytes()
+        length = w.end - w.start
+        place = np.zeros(len(length), dtype=np.int64)
+        np.cumsum(length[:-1] + (w.start[1:] > w.end[:-1]), out=place[1:])
+        last = self.last + self.k - 1
+        begin, end = place[self.first].tolist(), (place[last] + length[last]).tolist()
         return [raw[a:b] for a, b in zip(begin, end)]
 
 
 def _count_minimisers(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 value, number = np.unique(SuperKmers(split_words(piece.column("text")), k, m).value, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(number)], ["minimiser", "number"])
 
@@ -145,7 +142,7 @@ def _send(k: int, m: int, buckets: int, shared):
         found: dict[bytes, list[int]] = {}
         held = 0
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 parts = SuperKmers(split_words(piece.column("text")), k, m)
                 parts.split_hot(shared.value)
                 if not len(parts.value):
@@ -168,31 +165,46 @@ def _digest(string: bytes) -> bytes:
     return hashlib.blake2b(string, digest_size=16).digest()
 
 
+def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of strings of about ``SMALL_PIECE`` bytes: arrays of many times that size are made of each."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SMALL_PIECE, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def repeated_windows(strings: dict[bytes, int], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """Strings with windows that occur more than once, and which of their windows do."""
     ordered = list(strings)
-    words = split_words(pa.array([s.decode() for s in ordered], pa.string()))
-    at, value = words.runs(k)
-    owner = np.searchsorted(words.first, at, side="right") - 1
-    weight = np.array([strings[s] for s in ordered], dtype=np.int64)[owner]
+    raw = b"".join(ordered)
+    data, offsets = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, ordered)])
+    found = []
+    for t, to in _parts(offsets):
+        words = split_bytes(data[offsets[t] : offsets[to]], offsets[t : to + 1] - offsets[t])
+        at, text, value = words.windows(k)
+        found.append((text + t, value, words.start[at] + offsets[t], words.end[at + k - 1] + offsets[t]))
+    if not found:
+        return
+    owner, value, begin, end = map(np.concatenate, zip(*found))
+    weight = np.array(list(strings.values()), dtype=np.int64)[owner]
     order = np.argsort(value, kind="stable")
-    run = np.cumsum(np.append(True, value[order][1:] != value[order][:-1])) - 1 if len(order) else order
-    times = np.bincount(run, weights=weight[order]) if len(order) else np.empty(0)
-    again = np.zeros(len(at), dtype=bool)
+    same = value[order][1:] == value[order][:-1]
+    run = np.cumsum(np.append(True, ~same)) - 1 if len(order) else order
+    times = np.bincount(run, weights=weight[order])
+    again = np.zeros(len(order), dtype=bool)
     again[order] = times[run] > 1
     # Windows of one hash but other words would be counted together; their words decide.
-    raw = words.data.tobytes()
-    begin, end = words.start[at], words.end[at + k - 1]
-    pairs = np.flatnonzero((run[1:] == run[:-1]))
-    for p in pairs.tolist():
-        a, b = order[p], order[p + 1]
-        if raw[begin[a] : end[a]] != raw[begin[b] : end[b]]:
-            same = order[run == run[p]]
-            exact: dict[bytes, int] = {}
-            for i in same:
-                exact[raw[begin[i] : end[i]]] = exact.get(raw[begin[i] : end[i]], 0) + int(weight[i])
-            for i in same:
-                again[i] = exact[raw[begin[i] : end[i]]] > 1
+    pairs = np.flatnonzero(same)
+    a, b = order[pairs], order[pairs + 1]
+    differ = [raw[i:j] != raw[p:q] for i, j, p, q in zip(*(x.tolist() for x in (begin[a], end[a], begin[b], end[b])))]
+    for r in np.unique(run[pairs[np.array(differ, dtype=bool)]]).tolist():
+        members = order[run == r].tolist()
+        exact: dict[bytes, int] = {}
+        for i in members:
+            exact[raw[begin[i] : end[i]]] = exact.get(raw[begin[i] : end[i]], 0) + int(weight[i])
+        for i in members:
+            again[i] = exact[raw[begin[i] : end[i]]] > 1
     cuts = np.searchsorted(owner, np.arange(len(ordered) + 1))
     for t in np.unique(owner[again]).tolist():
         yield ordered[t], again[cuts[t] : cuts[t + 1]]
@@ -216,7 +228,7 @@ def _occurrences(k: int, m: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 keys = [hashlib.md5(t.as_buffer()).digest() if t.is_valid else b"" for t in piece.column("text")]
                 parts = SuperKmers(split_words(piece.column("text")), k, m)
                 parts.split_hot(shared.value)
@@ -240,21 +252,34 @@ def _occurrences(k: int, m: int, shared):
     return run
 
 
+def _covered(first: np.ndarray, hits: pa.Array, k: int) -> np.ndarray:
+    """Which words a repeated window covers; text ``t`` has the words ``first[t]:first[t + 1]`` and in ``hits`` super-k-mers with a bit for each window."""
+    change = np.zeros(first[-1] + 1, dtype=np.int64)
+    first = np.repeat(first[:-1], pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False))
+    hits = hits.flatten()
+    first += hits.field("start").to_numpy()
+    masks = hits.field("mask").to_pylist()
+    begin = np.cumsum([0, *map(len, masks)])
+    bits = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(masks), np.uint8)))
+    hit = np.searchsorted(begin, bits >> 3, side="right") - 1
+    at = first[hit] + bits - 8 * begin[hit]
+    np.add.at(change, at, 1)
+    np.add.at(change, at + k, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def _finish(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 rows, texts = [], []
-                for text, hits in zip(piece.column("text"), piece.column("hits")):
-                    words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                    change = np.zeros(len(words) + 1, dtype=np.int64)
-                    for hit in hits.as_py() or ():
-                        at = hit["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(hit["mask"], np.uint8)))
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + k, -1)
-                    covered = np.cumsum(change)[:-1] > 0
-                    kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
-                    rows.append((len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest()))
+                words = [text.as_buffer().to_pybytes().split() if text.is_valid else [] for text in piece.column("text")]
+                first = np.cumsum([0, *map(len, words)])
+                covered = _covered(first, piece.column("hits"), k)
+                removed = np.diff(np.append(0, np.cumsum(covered))[first])
+                for text, a, lost in zip(words, first.tolist(), removed.tolist()):
+                    kept = b" ".join([w for w, c in zip(text, covered[a : a + len(text)].tolist()) if not c] if lost else text)
+                    rows.append((len(text), lost, hashlib.sha256(kept).hexdigest()))
                     texts.append(kept.decode())
                 n, removed, sha = zip(*rows)
                 yield pa.RecordBatch.from_arrays(

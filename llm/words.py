@@ -85,6 +85,23 @@ class Words:
         at = np.flatnonzero(inside[:total])
         return at, value[at]
 
+    def grams(self, n: int) -> np.ndarray:
+        """The hash of ``n`` words from each word on, across texts, too: differences of sums, so a long run costs what a short one does."""
+        total = len(self.hashes) - n + 1
+        if total <= 0:
+            return np.empty(0, dtype=np.uint64)
+        up, down = _POWERS.upto(len(self.hashes) + 1)
+        sums = np.zeros(len(self.hashes) + 1, dtype=np.uint64)
+        np.cumsum(self.hashes * up[: len(self.hashes)], out=sums[1:])
+        return mix((sums[n:] - sums[:total]) * down[:total])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``runs``, for long runs: their first words, their texts and their hashes."""
+        count = np.maximum(self.counts() - n + 1, 0)
+        text = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(text)) + (self.first[:-1] - np.cumsum(count) + count)[text]
+        return at, text, self.grams(n)[at]
+
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """All words of a string array; a null counts as an empty text."""
@@ -92,9 +109,11 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    if lower:
-        data = _LOWER[data]
+    return split_bytes(_LOWER[data] if lower else data, offsets - offsets[0])
+
+
+def split_bytes(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """All words of texts in UTF-8 that lie behind each other; text ``t`` is ``data[offsets[t]:offsets[t + 1]]``."""
     n = len(data)
     word = ~_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)

@@ -23,6 +23,7 @@ import corpus_pipeline
 import llm.jaccard_join as jaccard_join
 import llm.permutation_index as permutation_index
 import llm.substring_dedup as substring_dedup
+import llm.words as words
 from llm.block_naming import drop_duplicates, exact_duplicates
 from llm.common import among, connected_components, marked_places, small_batches
 from llm.html_text import extract, main_text
@@ -33,7 +34,7 @@ from llm.mixing import budgets, mix, mixed_documents
 from llm.packing import Tokens, first_fit_decreasing, pack
 from llm.permutation_index import nearest
 from llm.queries import QUERIES, RULES, SQL, WEIGHTS, source_levels
-from llm.substring_dedup import remove_repeats
+from llm.substring_dedup import remove_repeats, repeated_windows
 from llm.url_filter import filter_urls, page_links
 from llm.words import split_words
 from nearkin import session
@@ -244,6 +245,36 @@ def test_repeated_passages(docs, least_hot, monkeypatch):
     assert Counter(map(tuple, remove_repeats(docs).drop("kept_text").collect())) == want
 
 
+def test_windows_cost_the_same_at_any_length(monkeypatch):
+    # A round of mixing for each word of a window was half of the work of counting.
+    strings = {t.encode(): 1 + i % 2 for i, t in enumerate({" ".join(WORD.findall(t or "")) for t in texts()}) if t.count(" ") > 50}
+    done, spread = [], words.mix
+    for k in (5, 35):
+        mixed = []
+        monkeypatch.setattr(words, "mix", lambda x, mixed=mixed: mixed.append(len(x)) or spread(x))
+        assert list(repeated_windows(strings, k))
+        done.append(sum(mixed))
+    assert done[1] <= done[0]
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 500])
+@pytest.mark.parametrize("kinds", [1 << 63, 7])
+def test_equal_windows_by_their_words(piece, kinds, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SMALL_PIECE", piece)
+    grams = words.Words.grams
+    monkeypatch.setattr(words.Words, "grams", lambda self, n: grams(self, n) % np.uint64(kinds))
+    plain = [t for t in {" ".join(WORD.findall(t or "")) for t in texts()} if 50 < t.count(" ") < 1000]
+    strings = {t.encode(): 1 + i % 2 for i, t in enumerate(plain[:12])}
+    count = Counter()
+    for string, times in strings.items():
+        w = string.split()
+        for i in range(len(w) - 34):
+            count[tuple(w[i : i + 35])] += times
+    got = {s: mask.tolist() for s, mask in repeated_windows(strings, 35)}
+    want = {s: [count[tuple(w[i : i + 35])] > 1 for i in range(len(w) - 34)] for s, w in ((s, s.split()) for s in strings)}
+    assert got == {s: mask for s, mask in want.items() if any(mask)}
+
+
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = pack(docs, TOKENIZER, group=16).toPandas()
